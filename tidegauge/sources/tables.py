@@ -1,0 +1,11 @@
+"""Reading the supplied parquet tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidegauge.session import prepare
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
