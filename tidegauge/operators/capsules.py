@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.constants import BUCKET, ENVIRONMENTS, EVENT_TYPES, MAX_SAMPLES, SEVERITIES
-from tidegauge.functions.text import fingerprint_messages
+from tidegauge.functions.text import fingerprint, template_messages
+from tidegauge.session import materialize
 
 KEY = ["fingerprint_hash", "service_name", "time_bucket"]
 REQUIRED = ["event_id", "service_name", "timestamp"]
@@ -34,12 +35,14 @@ def split_valid(events: DataFrame, ingest_time: Column | None = None) -> tuple[D
     return events.filter(reason.isNull()), dead
 
 
-def hourly_fingerprints(events: DataFrame, mode: str = "compat") -> DataFrame:
-    """Valid events with template, fingerprint and the hour they belong to."""
+def hourly_templates(events: DataFrame, mode: str = "compat") -> DataFrame:
+    """Valid events with their template and the hour they belong to."""
     valid, _ = split_valid(events)
-    return fingerprint_messages(valid, mode=mode).withColumn(
-        "time_bucket", F.window("timestamp", BUCKET).start
-    )
+    return template_messages(valid, mode=mode).withColumn("time_bucket", F.window("timestamp", BUCKET).start)
+
+
+def hourly_fingerprints(events: DataFrame, mode: str = "compat") -> DataFrame:
+    return hourly_templates(events, mode).withColumn("fingerprint_hash", fingerprint("template"))
 
 
 def bottom_k(df: DataFrame, keys: list[str], id_col: str, k: int = MAX_SAMPLES) -> DataFrame:
@@ -57,53 +60,68 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
-def capsule_counts(fingerprinted: DataFrame) -> DataFrame:
+def capsule_counts(templated: DataFrame) -> DataFrame:
     """Counts, severity map, primary severity and time range of each capsule.
 
-    Two hash aggregates: rows are combined per (key, severity) before the shuffle, and
-    the second one packs at most one entry per severity.
+    The template stands for its fingerprint while grouping, so the hash is computed once
+    per capsule. The severities are a closed set and counted as columns: one hash
+    aggregate that combines a hot template before the shuffle.
     """
-    per_severity = fingerprinted.groupBy(*KEY, "severity").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("template").alias("template"),
+    counts = templated.groupBy("template", "service_name", "time_bucket").agg(
+        F.count(F.lit(1)).alias("count"),
         F.min("timestamp").alias("first_seen_at"),
         F.max("timestamp").alias("last_seen_at"),
+        *[F.count_if(F.col("severity") == s).alias(f"_{s}") for s in SEVERITIES],
+    )
+    entries = F.filter(
+        F.array(*[F.struct(F.lit(s).alias("severity"), F.col(f"_{s}").alias("n")) for s in SEVERITIES]),
+        lambda e: e["n"] > 0,
     )
-    known = F.col("severity").isNotNull()
-    return per_severity.groupBy(*KEY).agg(
-        F.min("template").alias("template"),
-        F.max(F.when(known, F.struct("n", severity_rank(F.col("severity")).alias("r"), "severity")))["severity"]
-        .alias("severity"),
-        F.sum("n").alias("count"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.when(known, F.struct("severity", "n"))))
-        ).alias("severity_distribution"),
-        F.min("first_seen_at").alias("first_seen_at"),
-        F.max("last_seen_at").alias("last_seen_at"),
+    # most frequent first; among equals the higher rank
+    ranked = F.array(
+        *[F.when(F.col(f"_{s}") > 0, F.struct(F.col(f"_{s}").alias("n"), F.lit(i).alias("r"), F.lit(s).alias("severity")))
+          for i, s in enumerate(SEVERITIES)]
+    )
+    return counts.select(
+        fingerprint("template").alias("fingerprint_hash"), "template", "service_name", "time_bucket",
+        F.array_max(ranked)["severity"].alias("severity"), "count",
+        F.map_from_entries(entries).alias("severity_distribution"), "first_seen_at", "last_seen_at",
     )
 
 
-def capsule_samples(fingerprinted: DataFrame, with_attributes: bool = False) -> DataFrame:
+def capsule_samples(templated: DataFrame, with_attributes: bool = False) -> DataFrame:
     """At most ten sample ids (and, if asked, their attribute maps) per capsule."""
-    cols = [*KEY, "event_id"] + (["attributes"] if with_attributes else [])
-    picked = bottom_k(fingerprinted.select(*cols), KEY, "event_id")
-    fields = ["sample_hash", "event_id"] + (["attributes"] if with_attributes else [])
-    ranked = F.array_sort(
-        F.collect_list(F.struct(*fields)),
-        lambda a, b: F.when(a["sample_hash"] < b["sample_hash"], -1).when(a["sample_hash"] > b["sample_hash"], 1)
-        .when(a["event_id"] < b["event_id"], -1).when(a["event_id"] > b["event_id"], 1).otherwise(0),
-    )
-    out = picked.groupBy(*KEY).agg(ranked.alias("_s"))
-    columns = [*KEY, F.transform("_s", lambda s: s["event_id"]).alias("sample_event_ids")]
+    keys = ["template", "service_name", "time_bucket"]
+    more = ["attributes"] if with_attributes else []
+    picked = bottom_k(templated.select(*keys, "event_id", *more), keys, "event_id")
+    # at most ten entries, put in rank order
+    packed = picked.groupBy(*keys).agg(F.collect_list(F.struct("sample_rank", "event_id", *more)).alias("_s"))
+
+    def in_order(field: str) -> Column:
+        places = F.transform("_s", lambda s: s["sample_rank"])
+        return F.transform(F.array_sort(places), lambda r: F.get(F.col("_s"), F.array_position(places, r) - 1)[field])
+
+    columns = [*keys, in_order("event_id").alias("sample_event_ids")]
     if with_attributes:
-        columns.append(F.transform("_s", lambda s: s["attributes"]).alias("sample_array"))
-    return out.select(*columns)
+        columns.append(in_order("attributes").alias("sample_array"))
+    return packed.select(*columns)
+
 
+def build_capsules(
+    events: DataFrame, mode: str = "compat", with_attributes: bool = False, stage: bool = False
+) -> DataFrame:
+    """Events to capsules, unique per (fingerprint, service, hour).
 
-def build_capsules(events: DataFrame, mode: str = "compat", with_attributes: bool = False) -> DataFrame:
-    """Events to capsules, unique per (fingerprint, service, hour)."""
-    rows = hourly_fingerprints(events, mode)
-    return capsule_counts(rows).join(capsule_samples(rows, with_attributes), KEY)
+    Counts and samples read the templated rows once each. With ``stage`` these rows are
+    written to the shared folder first, which trades one narrow write for running the
+    pattern rules once; worth it when messages are long.
+    """
+    rows = hourly_templates(events, mode)
+    if stage:
+        narrow = ["template", "service_name", "time_bucket", "severity", "timestamp", "event_id"]
+        rows = materialize(rows.select(*narrow, *(["attributes"] if with_attributes else [])), "templates")
+    keys = ["template", "service_name", "time_bucket"]
+    return capsule_counts(rows).join(capsule_samples(rows, with_attributes), keys)
 
 
 def capsule_id() -> Column:

@@ -7,7 +7,7 @@ from tidegauge.functions import text as tx
 from tidegauge.plans.ctes import FP, TEL, mask_sql, redact_sql
 from tidegauge.plans.registry import query
 from tidegauge.sources import adapters
-from tidegauge.sources.tables import table
+from tidegauge.sources.tables import spread, table
 
 
 @query("redact_documents", f"""
@@ -15,7 +15,7 @@ WITH r AS (SELECT doc_id, text, {redact_sql('text')} AS redacted FROM documents)
 SELECT doc_id, sha256(redacted) AS redacted_hash, length(redacted) AS n_chars, redacted <> text AS redaction_hit,
   TRUE AS redaction_checked FROM r""")
 def redact_documents(spark, d):
-    return tx.redact(table(spark, d, "documents").select("doc_id", "text"), "text").select(
+    return tx.redact(spread(table(spark, d, "documents")).select("doc_id", "text"), "text").select(
         "doc_id", F.sha2("redacted", 256).alias("redacted_hash"), F.length("redacted").alias("n_chars"),
         "redaction_hit", "redaction_checked",
     )
@@ -24,7 +24,7 @@ def redact_documents(spark, d):
 @query("redact_conversations", f"""
 SELECT conv_id, turn, role, sha256({redact_sql('text')}) AS redacted_hash FROM conversations""")
 def redact_conversations(spark, d):
-    return tx.redact(table(spark, d, "conversations"), "text").select(
+    return tx.redact(spread(table(spark, d, "conversations")), "text").select(
         "conv_id", "turn", "role", F.sha2("redacted", 256).alias("redacted_hash")
     )
 
@@ -47,7 +47,7 @@ def _count_sql() -> str:
 
 @query("personal_data_by_source", _count_sql())
 def personal_data_by_source(spark, d):
-    counted = tx.count_personal_data(table(spark, d, "documents").select("source", "text"), "text")
+    counted = tx.count_personal_data(spread(table(spark, d, "documents")).select("source", "text"), "text")
     return counted.groupBy("source").agg(
         F.count(F.lit(1)).alias("documents"), *[F.sum(f"n_{k}").alias(f"n_{k}") for k, _, _ in REDACTION_PATTERNS]
     )
@@ -56,7 +56,7 @@ def personal_data_by_source(spark, d):
 @query("mask_documents", f"""
 SELECT doc_id, sha256({mask_sql('text')}) AS fingerprint_hash FROM documents""")
 def mask_documents(spark, d):
-    return tx.mask(table(spark, d, "documents").select("doc_id", "text"), "text").select(
+    return tx.mask(spread(table(spark, d, "documents")).select("doc_id", "text"), "text").select(
         "doc_id", tx.fingerprint("template").alias("fingerprint_hash")
     )
 

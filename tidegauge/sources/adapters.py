@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.constants import ARTIFACT_TYPES
-from tidegauge.sources.tables import table
+from tidegauge.sources.tables import spread, table
 
 
 def _text(column: Column) -> Column:
@@ -19,7 +19,7 @@ def _text(column: Column) -> Column:
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     """Events as telemetry rows with a message that carries personal data."""
-    ev = table(spark, folder, "events")
+    ev = spread(table(spark, folder, "events"))
     user, event, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
     whole = F.floor("value").cast("bigint")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
