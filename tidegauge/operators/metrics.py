@@ -135,18 +135,20 @@ def multi_window(
     return grid.withColumns(cols).drop("_g", "_t")
 
 
+def _spends(sli: str, target: float, factor: float) -> Column:
+    # both sides are rounded, so an error rate exactly at the limit does not fire
+    limit = round(factor * (1 - target), 9)
+    return F.coalesce(F.round(1 - F.col(sli) / 100, 9) > limit, F.lit(False))
+
+
 def burn_rate_alert(df: DataFrame, short: str, long: str, target: float, factor: float = 14.4) -> DataFrame:
     """Both windows spend the error budget faster than ``factor`` times the allowed rate."""
-    limit = factor * (1 - target)
-    fast = lambda c: F.coalesce(1 - F.col(c) / 100 > limit, F.lit(False))
-    return df.withColumn("burning", fast(short) & fast(long))
+    return df.withColumn("burning", _spends(short, target, factor) & _spends(long, target, factor))
 
 
 def burn_rate_single(df: DataFrame, sli: str, traffic: str, target: float, factor: float = 6.0) -> DataFrame:
     """One-window burn alert that needs traffic."""
-    return df.withColumn(
-        "burning", F.coalesce((1 - F.col(sli) / 100 > factor * (1 - target)) & (F.col(traffic) > 0), F.lit(False))
-    )
+    return df.withColumn("burning", _spends(sli, target, factor) & (F.col(traffic) > 0))
 
 
 def runs(df: DataFrame, keys: list[str], flag: str, step: int, order: str = "step") -> DataFrame:

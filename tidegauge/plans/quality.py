@@ -1 +1,138 @@
+"""Telemetry quality, gaps, recommendations, confidence."""
 
+from pyspark.sql import functions as F
+
+from tidegauge.functions import scoring
+from tidegauge.operators import capsules as cp
+from tidegauge.operators import journeys as jn
+from tidegauge.operators import quality as qu
+from tidegauge.operators import traces as tr
+from tidegauge.plans.ctes import CAPSULES, CATALOG, FP, JOURNEYS
+from tidegauge.plans.registry import query, r6
+from tidegauge.sources import adapters
+
+_QUALITY = CAPSULES + """,
+smp AS (SELECT *, CASE kind WHEN 'purchase' THEN 5 WHEN 'error' THEN 5 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 ELSE 1 END AS n_keys,
+  kind = 'error' OR (kind = 'click' AND value >= 10) AS traced FROM caprank WHERE rk <= 10),
+per AS (SELECT fingerprint_hash, service_name, time_bucket, bool_or(kind IN ('purchase', 'signup')) AS rum, bool_or(traced) AS traced,
+  count(*) FILTER (n_keys >= 3) AS structured, count(*) FILTER (kind = 'purchase') AS req, count(*) AS samples
+  FROM smp WHERE time_bucket BETWEEN TIMESTAMP '2024-01-31' - INTERVAL 30 DAY AND TIMESTAMP '2024-01-31' GROUP BY ALL),
+agg AS (SELECT service_name, count(*) FILTER (rum) / count(*) * 100 AS rum, count(*) FILTER (traced) / count(*) * 100 AS trace,
+  sum(structured) / sum(samples) * 100 AS structured, sum(req) / sum(samples) * 100 AS req, count(*) AS n FROM per GROUP BY service_name),
+svc AS (SELECT 'svc-' || s_suppkey AS service_name FROM supplier WHERE s_acctbal >= 0),
+q AS (SELECT service_name, coalesce(rum, 0) AS rum, coalesce(trace, 0) AS trace, coalesce(structured, 0) AS structured, coalesce(req, 0) AS req, coalesce(n, 0) AS n
+  FROM svc LEFT JOIN agg USING (service_name)),
+gaps AS (
+  SELECT service_name, 'rum_coverage' AS metric_name, rum AS v, 50 AS threshold, CASE WHEN rum < 20 THEN 'important' ELSE 'nice_to_have' END AS severity, 'enable_rum' AS kind, least(30, 50 - rum) AS uplift FROM q WHERE rum < 50
+  UNION ALL SELECT service_name, 'trace_coverage', trace, 5, 'critical', 'add_tracing', least(40, 5 - trace) FROM q WHERE trace < 5
+  UNION ALL SELECT service_name, 'structured_log', structured, 70, 'important', 'add_structured_logging', least(25, 70 - structured) FROM q WHERE structured < 70
+  UNION ALL SELECT service_name, 'request_id_presence', req, 80, 'important', 'add_request_id', least(20, 80 - req) FROM q WHERE req < 80)"""
+
+
+def measured(spark, d):
+    caps = cp.capsule_samples(cp.hourly_templates(adapters.telemetry(spark, d)), with_attributes=True)
+    return qu.service_quality(adapters.services(spark, d), caps, "2024-01-31", 30)
+
+
+@query("service_quality", f"""
+WITH {_QUALITY} SELECT service_name, round(rum, 6) AS rum_coverage_pct, round(trace, 6) AS trace_coverage_pct, round(structured, 6) AS structured_log_pct,
+  round(req, 6) AS request_id_presence_pct, n AS total_samples, round(rum * 0.3 + trace * 0.35 + structured * 0.2 + req * 0.15, 1) AS overall_quality_score FROM q""")
+def service_quality(spark, d):
+    return measured(spark, d).select(
+        "service_name", *[r6(c).alias(c) for c in ("rum_coverage_pct", "trace_coverage_pct", "structured_log_pct", "request_id_presence_pct")],
+        "total_samples", F.round(scoring.overall_quality(*[F.col(c) for c in (
+            "rum_coverage_pct", "trace_coverage_pct", "structured_log_pct", "request_id_presence_pct")]), 1).alias("overall_quality_score"),
+    )
+
+
+@query("quality_gaps", f"""
+WITH {_QUALITY} SELECT service_name, metric_name, round(v, 6) AS current_value, threshold, severity, kind AS recommendation_type, round(uplift, 6) AS expected_uplift FROM gaps""")
+def quality_gaps(spark, d):
+    return qu.quality_gaps(measured(spark, d)).withColumns({"current_value": r6("current_value"), "expected_uplift": r6("expected_uplift")})
+
+
+@query("instrumentation_recommendations", f"""
+WITH {_QUALITY} SELECT md5(service_name || '|' || kind) AS recommendation_id, service_name, kind AS recommendation_type,
+  'raise ' || metric_name || ' to ' || threshold || '%' AS description, round(uplift, 6) AS expected_confidence_uplift,
+  CASE kind WHEN 'enable_rum' THEN 'medium' WHEN 'add_tracing' THEN 'high' WHEN 'add_structured_logging' THEN 'medium' ELSE 'low' END AS implementation_cost,
+  severity AS priority, 'pending' AS status FROM gaps""")
+def instrumentation_recommendations(spark, d):
+    return qu.recommendations(qu.quality_gaps(measured(spark, d))).withColumn("expected_confidence_uplift", r6("expected_confidence_uplift"))
+
+
+def placed_journeys(spark, d):
+    """Catalogue journeys of the services that emit telemetry, each with its own time span."""
+    j = adapters.journeys(spark, d)
+    start = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("journey_id"), F.lit(600)) * 3600)
+    return j.select(
+        "journey_id", F.concat(F.lit("svc-"), (F.col("service_id") % 10).cast("string")).alias("service_name"),
+        start.alias("discovered_at"), F.timestamp_seconds(F.unix_seconds(start) + F.col("traffic_volume_per_day") * 21600).alias("last_seen_at"),
+        "traffic_volume_per_day",
+        # an odd journey misses the median of its first step
+        F.transform("endpoints", lambda e, i: F.struct(
+            e.alias("span_name"), F.when((i == 0) & (F.col("journey_id") % 2 == 1), None).otherwise(F.lit(1.0)).alias("duration_p50"))).alias("step_sequence"),
+    )
+
+
+_PLACED = FP + "," + CATALOG + """,
+pj AS (SELECT journey_id, 'svc-' || (service_id % 10) AS service_name, TIMESTAMP '2024-01-01' + to_hours(CAST(journey_id % 600 AS BIGINT)) AS discovered_at,
+  TIMESTAMP '2024-01-01' + to_hours(CAST(journey_id % 600 AS BIGINT)) + to_hours(CAST(traffic_volume_per_day * 6 AS BIGINT)) AS last_seen_at, traffic_volume_per_day,
+  CASE WHEN journey_id % 2 = 1 THEN (n_endpoints - 1) / n_endpoints ELSE 1 END * 100 AS completeness FROM catj),
+ck AS (SELECT DISTINCT fingerprint_hash, service_name, time_bucket FROM fp),
+cov AS (SELECT journey_id, any_value(traffic_volume_per_day) AS traffic, any_value(completeness) AS completeness, count(time_bucket) AS capsules, count(DISTINCT time_bucket) AS hours,
+  least(100, count(time_bucket) / any_value(traffic_volume_per_day * 6) * 100) AS coverage_pct,
+  least(100, count(DISTINCT time_bucket) / any_value(traffic_volume_per_day * 6) * 100) AS hour_coverage_pct
+  FROM pj LEFT JOIN ck ON pj.service_name = ck.service_name AND time_bucket BETWEEN discovered_at AND last_seen_at GROUP BY journey_id)"""
+
+
+def coverage(spark, d):
+    caps = cp.hourly_templates(adapters.telemetry(spark, d)).select("template", "service_name", "time_bucket").distinct()
+    return jn.capsule_coverage(placed_journeys(spark, d), caps)
+
+
+@query("journey_coverage", f"""
+WITH {_PLACED} SELECT journey_id, capsules, hours, round(coverage_pct, 6) AS coverage_pct, round(hour_coverage_pct, 6) AS hour_coverage_pct FROM cov""")
+def journey_coverage(spark, d):
+    return coverage(spark, d).withColumns({"coverage_pct": r6("coverage_pct"), "hour_coverage_pct": r6("hour_coverage_pct")})
+
+
+_SCORED = _PLACED + """,
+m AS (SELECT journey_id, traffic * 40 AS n, coverage_pct AS cov, completeness AS comp, traffic * 6 // 24 AS days, (journey_id % 20) * 1.0 AS rum FROM cov),
+sc AS (SELECT *, CASE WHEN n < 100 THEN n / 100 * 30 WHEN n < 1000 THEN 30 + (log10(n) - 2) * 40 WHEN n < 10000 THEN 70 + (log10(n) - 3) * 25 ELSE 95 + least(5, (n - 10000) / 10000 * 5) END AS ss FROM m),
+base AS (SELECT *, ss * 0.4 + CASE WHEN cov < 50 THEN cov * 0.8 ELSE cov END * 0.3 + CASE WHEN comp < 80 THEN comp * 0.7 ELSE comp END * 0.3 AS b,
+  ss * 0.4 + CASE WHEN least(100, cov + 25) < 50 THEN least(100, cov + 25) * 0.8 ELSE least(100, cov + 25) END * 0.3
+    + CASE WHEN least(100, comp + 10) < 80 THEN least(100, comp + 10) * 0.7 ELSE least(100, comp + 10) END * 0.3 AS b2 FROM sc),
+pen AS (SELECT *, b * CASE WHEN n < 100 THEN 0.5 ELSE 1 END * CASE WHEN days < 7 THEN 0.8 ELSE 1 END * CASE WHEN rum < 10 THEN 0.9 ELSE 1 END AS p FROM base)"""
+
+
+def metrics(spark, d):
+    j = placed_journeys(spark, d).select(
+        "journey_id", (F.col("traffic_volume_per_day") * 40).alias("sample_size"),
+        jn.step_completeness(F.col("step_sequence")).alias("completeness_pct"),
+        F.floor((F.unix_seconds("last_seen_at") - F.unix_seconds("discovered_at")) / 86400).alias("window_days"),
+        (F.col("journey_id") % 20).cast("double").alias("rum_pct"),
+    )
+    return j.join(coverage(spark, d).select("journey_id", "coverage_pct"), "journey_id")
+
+
+@query("journey_confidence", f"""
+WITH {_SCORED} SELECT journey_id, round(comp, 6) AS completeness_pct, round(b, 6) AS base_confidence,
+  round(greatest(0, least(100, CASE WHEN cov > 90 AND comp > 90 AND n > 10000 THEN least(100, p * 1.1) ELSE p END)), 6) AS confidence FROM pen""")
+def journey_confidence(spark, d):
+    out = jn.journey_scores(metrics(spark, d))
+    return out.select("journey_id", r6("completeness_pct").alias("completeness_pct"), r6("base_confidence").alias("base_confidence"), r6("confidence").alias("confidence"))
+
+
+@query("confidence_uplift", f"""
+WITH {_SCORED} SELECT journey_id, round(greatest(0, b2 - b), 6) AS uplift FROM base""")
+def confidence_uplift(spark, d):
+    up = scoring.confidence_uplift(F.col("sample_size"), F.col("coverage_pct"), F.col("completeness_pct"), F.lit(25.0), F.lit(10.0))
+    return metrics(spark, d).select("journey_id", r6(up).alias("uplift"))
+
+
+@query("step_completeness", f"""
+WITH {JOURNEYS} SELECT entry_point, 100.0 AS completeness_pct, n_steps FROM steps1""")
+def step_completeness(spark, d):
+    return tr.discover_journeys(adapters.spans(spark, d), min_trace_count=1).select(
+        "entry_point", jn.step_completeness(F.col("step_sequence")).alias("completeness_pct"), F.size("step_sequence").alias("n_steps")
+    )
