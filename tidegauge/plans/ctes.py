@@ -175,7 +175,7 @@ arts AS (
     CASE WHEN (p_partkey + i) % 5 = 0 THEN 'pending' ELSE 'approved' END AS approval_status
   FROM part CROSS JOIN (VALUES (0, 'prometheus_recording', 5.0), (1, 'prometheus_alert', 10.0),
     (2, 'grafana_dashboard', 2.0), (3, 'runbook', 1.0)) AS k(i, kind, cost)),
-slos AS (SELECT p_partkey AS slo_id, p_partkey AS sli_id FROM part WHERE p_partkey % 50 <> 49),
+slos AS (SELECT p_partkey AS slo_id, p_partkey AS sli_id FROM part WHERE p_size < 50),
 chain AS (
   SELECT a.*, o.sli_id, j.journey_id, j.service_id, j.traffic_volume_per_day, j.n_endpoints, s.organization_id
   FROM arts a LEFT JOIN slos o USING (slo_id)

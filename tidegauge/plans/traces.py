@@ -110,9 +110,9 @@ def breadth_first_order(spark, d):
 
 
 def stored_journeys(spark, d):
-    """What an earlier run knew: half the journeys of the catalogue, seen at their last line."""
+    """What an earlier run knew: journeys first seen before mid 1998."""
     j = adapters.journeys(spark, d)
-    return j.filter(F.col("service_id") % 2 == 0).select(
+    return j.filter(F.col("discovered_at") < "1998-06-01").select(
         "service_id", "name", "entry_point", "exit_point", "traffic_volume_per_day",
         F.lit(80.0).alias("confidence_score"), F.array(F.lit("old")).alias("sample_trace_ids"), "discovered_at", "last_seen_at",
     )
@@ -120,14 +120,14 @@ def stored_journeys(spark, d):
 
 @query("journey_merge", """
 WITH j AS (SELECT 'part-' || l_partkey AS name, min(l_suppkey) AS service_id, count(*) AS traffic, min(l_shipdate) AS first, max(l_shipdate) AS last, l_partkey FROM lineitem GROUP BY l_partkey)
-SELECT service_id, name, CASE WHEN l_partkey % 3 = 0 AND service_id % 2 = 0 THEN traffic ELSE traffic * 2 END AS traffic_volume_per_day,
-  CASE WHEN l_partkey % 3 = 0 AND service_id % 2 = 0 THEN 80.0 ELSE 90.0 END AS confidence_score,
-  CASE WHEN l_partkey % 3 = 0 AND service_id % 2 = 0 THEN 'old' ELSE 'new' END AS sample_trace_ids,
-  strftime(CASE WHEN service_id % 2 = 0 THEN first ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS discovered_at,
-  strftime(CASE WHEN l_partkey % 3 = 0 AND service_id % 2 = 0 THEN last ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS last_seen_at
-FROM j WHERE service_id % 2 = 0 OR l_partkey % 3 <> 0""")
+SELECT service_id, name, CASE WHEN last < '2001-09-01' AND first < '1998-06-01' THEN traffic ELSE traffic * 2 END AS traffic_volume_per_day,
+  CASE WHEN last < '2001-09-01' AND first < '1998-06-01' THEN 80.0 ELSE 90.0 END AS confidence_score,
+  CASE WHEN last < '2001-09-01' AND first < '1998-06-01' THEN 'old' ELSE 'new' END AS sample_trace_ids,
+  strftime(CASE WHEN first < '1998-06-01' THEN first ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS discovered_at,
+  strftime(CASE WHEN last < '2001-09-01' AND first < '1998-06-01' THEN last ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS last_seen_at
+FROM j WHERE first < '1998-06-01' OR last >= '2001-09-01'""")
 def journey_merge(spark, d):
-    fresh = adapters.journeys(spark, d).filter(F.col("journey_id") % 3 != 0).select(
+    fresh = adapters.journeys(spark, d).filter(F.col("last_seen_at") >= "2001-09-01").select(
         "service_id", "name", "entry_point", "exit_point", (F.col("traffic_volume_per_day") * 2).alias("traffic_volume_per_day"),
         F.lit(90.0).alias("confidence_score"), F.array(F.lit("new")).alias("sample_trace_ids"),
     )
@@ -139,8 +139,8 @@ def journey_merge(spark, d):
 
 
 @query("stale_journeys", """
-WITH j AS (SELECT 'part-' || l_partkey AS name, min(l_suppkey) AS service_id, max(l_shipdate) AS last FROM lineitem GROUP BY l_partkey)
-SELECT name, CASE WHEN last < TIMESTAMP '2001-12-01' - INTERVAL 7 DAY THEN 40.0 ELSE 80.0 END AS confidence_score FROM j WHERE service_id % 2 = 0""")
+WITH j AS (SELECT 'part-' || l_partkey AS name, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY l_partkey)
+SELECT name, CASE WHEN last < TIMESTAMP '2001-12-01' - INTERVAL 7 DAY THEN 40.0 ELSE 80.0 END AS confidence_score FROM j WHERE first < '1998-06-01'""")
 def stale_journeys(spark, d):
     once = jn.decay_stale(stored_journeys(spark, d), "2001-12-01")
     # a second run on the same date changes nothing

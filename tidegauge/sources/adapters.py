@@ -205,8 +205,8 @@ def journeys(spark: SparkSession, folder: str) -> DataFrame:
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines' parts crossed with the four artifact kinds, one artifact each.
 
-    ``slo_id`` and ``sli_id`` equal the part key; every 50th objective is missing so
-    that broken links exist.
+    ``slo_id`` and ``sli_id`` equal the part key; parts of the largest size have no
+    objective, so that broken links exist.
     """
     parts = table(spark, folder, "part")
     kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind")) for i, k in enumerate(ARTIFACT_TYPES)])
@@ -221,7 +221,7 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
 
 def objectives(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part")
-    return parts.filter(F.col("p_partkey") % 50 != 49).select(
+    return parts.filter(F.col("p_size") < 50).select(
         F.col("p_partkey").alias("slo_id"),
         F.col("p_partkey").alias("sli_id"),
         F.col("p_size").cast("double").alias("threshold_value"),
