@@ -60,41 +60,49 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
-def capsule_counts(templated: DataFrame) -> DataFrame:
-    """Counts, severity map, primary severity and time range of each capsule.
+def capsule_totals(templated: DataFrame, keys: list) -> DataFrame:
+    """Count, time range and one counter per severity; batch and stream share it.
 
-    The template stands for its fingerprint while grouping, so the hash is computed once
-    per capsule. The severities are a closed set and counted as columns: one hash
+    The severities are a closed set and counted as columns, so this is one hash
     aggregate that combines a hot template before the shuffle.
     """
-    counts = templated.groupBy("template", "service_name", "time_bucket").agg(
+    return templated.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),
         F.min("timestamp").alias("first_seen_at"),
         F.max("timestamp").alias("last_seen_at"),
         *[F.count_if(F.col("severity") == s).alias(f"_{s}") for s in SEVERITIES],
     )
+
+
+def describe_totals(totals: DataFrame) -> DataFrame:
+    """Fingerprint, severity map and primary severity from the totals.
+
+    The primary severity is the most frequent one; among equals the higher rank.
+    """
     entries = F.filter(
         F.array(*[F.struct(F.lit(s).alias("severity"), F.col(f"_{s}").alias("n")) for s in SEVERITIES]),
         lambda e: e["n"] > 0,
     )
-    # most frequent first; among equals the higher rank
     ranked = F.array(
         *[F.when(F.col(f"_{s}") > 0, F.struct(F.col(f"_{s}").alias("n"), F.lit(i).alias("r"), F.lit(s).alias("severity")))
           for i, s in enumerate(SEVERITIES)]
     )
-    return counts.select(
+    return totals.select(
         fingerprint("template").alias("fingerprint_hash"), "template", "service_name", "time_bucket",
         F.array_max(ranked)["severity"].alias("severity"), "count",
         F.map_from_entries(entries).alias("severity_distribution"), "first_seen_at", "last_seen_at",
     )
 
 
-def capsule_samples(templated: DataFrame, with_attributes: bool = False) -> DataFrame:
-    """At most ten sample ids (and, if asked, their attribute maps) per capsule."""
-    keys = ["template", "service_name", "time_bucket"]
+def capsule_counts(templated: DataFrame) -> DataFrame:
+    """Capsules without samples. The template stands for its fingerprint while grouping,
+    so the hash is computed once per capsule."""
+    return describe_totals(capsule_totals(templated, ["template", "service_name", "time_bucket"]))
+
+
+def pack_samples(picked: DataFrame, keys: list[str], with_attributes: bool = False) -> DataFrame:
+    """The rows kept by ``bottom_k`` as arrays in rank order, at most ten entries."""
     more = ["attributes"] if with_attributes else []
-    picked = bottom_k(templated.select(*keys, "event_id", *more), keys, "event_id")
-    # at most ten entries, put in rank order
     packed = picked.groupBy(*keys).agg(F.collect_list(F.struct("sample_rank", "event_id", *more)).alias("_s"))
 
     def in_order(field: str) -> Column:
@@ -107,6 +115,13 @@ def capsule_samples(templated: DataFrame, with_attributes: bool = False) -> Data
     return packed.select(*columns)
 
 
+def capsule_samples(templated: DataFrame, with_attributes: bool = False) -> DataFrame:
+    """At most ten sample ids (and, if asked, their attribute maps) per capsule."""
+    keys = ["template", "service_name", "time_bucket"]
+    more = ["attributes"] if with_attributes else []
+    return pack_samples(bottom_k(templated.select(*keys, "event_id", *more), keys, "event_id"), keys, with_attributes)
+
+
 def build_capsules(
     events: DataFrame, mode: str = "compat", with_attributes: bool = False, stage: bool = False
 ) -> DataFrame:

@@ -1 +1,122 @@
+"""Streaming jobs run to the end of their input; results equal the batch operators."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidegauge.operators import capsules as cp
+from tidegauge.operators.vectors import embed_with
+from tidegauge.plans.capsules import _RAW, _SHOWN, raw_events, shown
+from tidegauge.plans.ctes import CAPSULES, FP, TEL
+from tidegauge.plans.registry import query
+from tidegauge.session import workspace
+from tidegauge.sources import adapters, stores
+from tidegauge.streaming import jobs, sinks
+
+ONCE = {"availableNow": True}
+
+
+def streamed(spark, df, purpose):
+    """Lands rows as files, the input of a file stream."""
+    path = workspace(spark, purpose)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def finish(q):
+    q.awaitTermination()
+
+
+@query("stream_capsules", f"WITH {CAPSULES} SELECT {_SHOWN} FROM cap")
+def stream_capsules(spark, d):
+    events = streamed(spark, adapters.telemetry(spark, d).drop("attributes"), "raw-telemetry")
+    totals, samples, marks = (workspace(spark, p) for p in ("totals", "samples", "marks"))
+    finish(jobs.start_totals(events, totals, workspace(spark, "checkpoint"), ONCE))
+    finish(jobs.start_samples(events, samples, marks, workspace(spark, "checkpoint"), ONCE))
+    return shown(jobs.read_capsules(spark, totals, samples))
+
+
+@query("stream_dead_letters", f"WITH {_RAW} SELECT event_id, reason FROM judged WHERE reason IS NOT NULL")
+def stream_dead_letters(spark, d):
+    events = streamed(spark, raw_events(spark, d).drop("attributes"), "raw-telemetry")
+    path = workspace(spark, "dead-letters")
+    finish(jobs.start_dead_letters(events, path, workspace(spark, "checkpoint"), ONCE))
+    return jobs.read_batches(spark, path).select(F.get_json_object("original", "$.event_id").alias("event_id"), "reason")
+
+
+@query("stream_split", f"""
+WITH {_RAW} SELECT CASE WHEN reason IS NULL THEN 'valid' ELSE 'dead' END AS branch, count(*) AS events FROM judged GROUP BY ALL""")
+def stream_split(spark, d):
+    events = streamed(spark, raw_events(spark, d).drop("attributes"), "raw-telemetry")
+    good, dead = workspace(spark, "valid"), workspace(spark, "dead")
+    finish(events.writeStream.option("checkpointLocation", workspace(spark, "checkpoint")).foreachBatch(
+        sinks.split_writer(good, dead)).trigger(**ONCE).start())
+    both = jobs.read_batches(spark, good).select(F.lit("valid").alias("branch")).unionByName(
+        jobs.read_batches(spark, dead).select(F.lit("dead").alias("branch")))
+    return both.groupBy("branch").agg(F.count(F.lit(1)).alias("events"))
+
+
+class LetterEmbedder:
+    """A stand-in model: letter counts folded into ``dimension`` slots."""
+
+    name = "letters"
+
+    def __init__(self, dimension: int = 26):
+        self.dimension = dimension
+
+    def embed(self, texts):
+        out = np.zeros((len(texts), self.dimension), dtype=np.float32)
+        for i, text in enumerate(texts):
+            codes = np.frombuffer(text.lower().encode("ascii", "ignore"), dtype=np.uint8)
+            letters = codes[(codes >= 97) & (codes <= 122)] - 97
+            np.add.at(out[i], letters % self.dimension, 1)
+        return out
+
+
+def pattern_rows(spark, d):
+    rows = cp.hourly_fingerprints(adapters.telemetry(spark, d))
+    return rows.groupBy("fingerprint_hash", "template").agg(F.bool_or("redaction_hit").alias("redaction_applied"))
+
+
+@query("stream_embeddings", f"""
+WITH {FP}, t AS (SELECT fingerprint_hash, template, bool_or(message <> redacted) AS ok FROM fp GROUP BY ALL)
+SELECT fingerprint_hash, CASE WHEN ok THEN 'embedded' ELSE 'refused' END AS branch, CASE WHEN ok THEN 26 ELSE 0 END AS dimension FROM t""")
+def stream_embeddings(spark, d):
+    patterns = streamed(spark, pattern_rows(spark, d), "capsule-events")
+    vectors, fallback, refused = (workspace(spark, p) for p in ("vectors", "fallback", "refused"))
+    finish(jobs.start_embeddings(patterns, LetterEmbedder(), vectors, fallback, refused, workspace(spark, "checkpoint"), ONCE))
+    return jobs.read_batches(spark, vectors).select(
+        "fingerprint_hash", F.lit("embedded").alias("branch"), F.size("vector").alias("dimension")
+    ).unionByName(jobs.read_batches(spark, refused).select("fingerprint_hash", F.lit("refused").alias("branch"), F.lit(0).alias("dimension")))
+
+
+@query("model_embeddings", f"""
+WITH {TEL}, w AS (SELECT DISTINCT kind FROM tel), l AS (SELECT kind, unnest(string_split(kind, '')) AS c FROM w), n AS (SELECT kind, c, count(*) AS n FROM l GROUP BY ALL)
+SELECT kind, c, round(n / sqrt(sum(n * n) OVER (PARTITION BY kind)), 4) AS x FROM n""")
+def model_embeddings(spark, d):
+    from tidegauge.sources.tables import table
+
+    kinds = table(spark, d, "events").select(F.col("event_type").alias("kind")).distinct()
+    e = embed_with(kinds, "kind", LetterEmbedder())
+    cells = e.select("kind", F.posexplode("vector").alias("i", "x")).filter("x > 0")
+    return cells.select("kind", F.char(F.col("i") + 97).alias("c"), F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@query("stream_consumer", f"""
+WITH {CAPSULES}, s AS (SELECT 'svc-' || s_suppkey AS service_name, s_suppkey AS service_id FROM supplier)
+SELECT fingerprint_hash, service_id, CAST(epoch(time_bucket) AS BIGINT) AS bucket, len(string_split(sample_event_ids, ',')) AS samples, count FROM cap JOIN s USING (service_name)""")
+def stream_consumer(spark, d):
+    caps = cp.build_capsules(adapters.telemetry(spark, d)).select(
+        "fingerprint_hash", "template", "service_name", "severity", "count", "sample_event_ids", "time_bucket"
+    )
+    topic = workspace(spark, "capsule-events")
+    caps.select(F.to_json(F.struct("*")).alias("value")).write.text(topic)
+    schema = "fingerprint_hash string, template string, service_name string, severity string, count bigint, sample_event_ids array<string>, time_bucket timestamp"
+    parsed = spark.readStream.text(topic).select(F.from_json("value", schema).alias("c")).select("c.*")
+    named = parsed.withColumn("sample_array", stores.expand_sample_ids(F.col("sample_event_ids"), F.col("time_bucket"))).drop("sample_event_ids")
+    found, _ = cp.with_service_id(named, adapters.services(spark, d))
+    table = workspace(spark, "capsules")
+    finish(found.writeStream.option("checkpointLocation", workspace(spark, "checkpoint")).foreachBatch(
+        sinks.upsert_writer(table, ["fingerprint_hash", "service_id", "time_bucket"], "time_bucket")).trigger(**ONCE).start())
+    return spark.read.parquet(table).select(
+        "fingerprint_hash", "service_id", F.unix_seconds("time_bucket").alias("bucket"), F.size("sample_array").alias("samples"), "count"
+    )

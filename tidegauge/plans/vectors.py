@@ -8,6 +8,7 @@ from tidegauge.operators import evidence as ev
 from tidegauge.operators import vectors as vc
 from tidegauge.plans.ctes import CAPSULES, CATALOG, FP, HITS, VEC
 from tidegauge.plans.registry import query, r6, stamp
+from tidegauge.session import materialize
 from tidegauge.sources import adapters
 
 
@@ -99,7 +100,8 @@ emb AS (SELECT fingerprint_hash, slot, w / sqrt(sum(w * w) OVER (PARTITION BY fi
 
 def templates(spark, d):
     rows = cp.hourly_templates(adapters.telemetry(spark, d)).select("template").distinct()
-    return rows.select(F.sha2("template", 256).alias("fingerprint_hash"), "template")
+    # read several times by the embedding
+    return materialize(rows.select(F.sha2("template", 256).alias("fingerprint_hash"), "template"), "templates")
 
 
 @query("template_embeddings", f"WITH {_EMB} SELECT fingerprint_hash, slot, round(x, 6) AS x FROM emb")
@@ -132,7 +134,9 @@ _JOURNEY_TEXT = "checkout request failed payment account"
 
 def evidence_parts(spark, d):
     """Indicators of every service (five each) and the capsules they may cite."""
-    rows = cp.hourly_templates(adapters.telemetry(spark, d))
+    rows = cp.hourly_templates(adapters.telemetry(spark, d)).select(
+        "template", "service_name", "redaction_hit", "event_id", "attributes"
+    )
     caps = rows.groupBy("template", "service_name").agg(
         F.count(F.lit(1)).alias("count"), F.bool_or("redaction_hit").alias("redaction_applied")
     )
@@ -145,6 +149,7 @@ def evidence_parts(spark, d):
     caps = caps.join(samples, ["template", "service_name"]).withColumn(
         "capsule_id", F.md5(F.concat_ws("|", F.sha2("template", 256), "service_name"))
     )
+    caps = materialize(caps, "capsules")
     services = adapters.telemetry(spark, d).groupBy("service_name").agg(F.max("trace_id").alias("t"))
     base = services.select("service_name", F.lit(_JOURNEY_TEXT).alias("name"), F.lit("/api/checkout").alias("entry_point"),
                            F.array("t").alias("sample_trace_ids"))
@@ -158,6 +163,7 @@ def evidence_parts(spark, d):
 def links(spark, d):
     ind, caps = evidence_parts(spark, d)
     vectors = vc.embed_terms(caps, "capsule_id", "template").join(caps.select("capsule_id", "service_name"), "capsule_id")
+    vectors = materialize(vectors, "vectors")
     return ev.link_evidence(ind, caps, vectors, 10, 0.1), ind, caps
 
 

@@ -61,7 +61,7 @@ def trace_export(exports: DataFrame) -> DataFrame:
         "service_name": F.col("service"),
         "environment": F.lit("prod"),
         "event_type": F.lit("trace"),
-        "timestamp": F.timestamp_millis(F.floor(F.col("span.startTimeUnixNano") / 1000000).cast("bigint")),
+        "timestamp": F.timestamp_millis(F.expr("span.startTimeUnixNano div 1000000")),
         "message": F.col("span.name"),
         "trace_id": hexed("span.traceId"),
         "span_id": hexed("span.spanId"),

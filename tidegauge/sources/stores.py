@@ -25,9 +25,9 @@ def read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | Non
         raise
 
 
-def _replace_partitions(df: DataFrame, path: str, partition: str, keys: list[str]) -> None:
-    # hashing on partition and key keeps one day from becoming one task
-    df.repartition(partition, *keys).write.mode("overwrite").option(
+def _replace_partitions(df: DataFrame, path: str, partition: str) -> None:
+    # the rebalance splits a huge day over many tasks and keeps a small one in one file
+    df.hint("rebalance", F.col(partition)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(partition).parquet(path)
 
@@ -43,9 +43,9 @@ def upsert(
     spark = changes.sparkSession
     day = F.to_date(time_column)
     fresh = changes.withColumn("day", day)
+    # a hash of the whole row settles ties the same way on every attempt
     order = Window.partitionBy(*keys).orderBy(
-        *([F.col(newest).desc()] if newest else []), F.xxhash64(*[c for c in changes.columns if c not in keys
-                                                                   and changes.schema[c].dataType.typeName() != "map"])
+        *([F.col(newest).desc()] if newest else []), F.xxhash64(F.to_json(F.struct(*changes.columns)))
     )
     fresh = fresh.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
     scratch = [workspace(spark, "upsert"), workspace(spark, "upsert")]
@@ -55,7 +55,7 @@ def upsert(
         days = fresh.select("day").distinct()
         kept = old.join(F.broadcast(days), "day", "left_semi").join(fresh.select(*keys), keys, "left_anti")
         fresh = materialize(kept.select(*fresh.columns).unionByName(fresh), "upsert", scratch[1])
-    _replace_partitions(fresh, path, "day", keys)
+    _replace_partitions(fresh, path, "day")
     for folder in scratch:
         discard(spark, folder)
 
@@ -113,11 +113,11 @@ def collection_stats(vectors: DataFrame, name: str = "capsules") -> DataFrame:
 
 
 def write_samples(capsules: DataFrame, path: str) -> None:
-    """Samples as gzipped JSON lines in folders by day and fingerprint prefix.
+    """Samples as gzipped JSON lines in folders by day and first fingerprint digit.
 
-    One file per capsule would mean billions of files; a folder per day and two-digit
-    prefix holds many capsules and is still pruned to by a key. A capsule with more than
-    ten samples fails the write.
+    One file per capsule would mean billions of files; a folder per day and digit holds
+    many capsules and is still pruned to by a key. A capsule with more than ten samples
+    fails the write.
     """
     too_many = F.size("sample_array") > MAX_SAMPLES
     checked = F.when(
@@ -125,11 +125,11 @@ def write_samples(capsules: DataFrame, path: str) -> None:
             capsules.schema["sample_array"].dataType)
     ).otherwise(F.col("sample_array"))
     rows = capsules.select(
-        F.to_date("time_bucket").alias("day"), F.substring("fingerprint_hash", 1, 2).alias("prefix"),
+        F.to_date("time_bucket").alias("day"), F.substring("fingerprint_hash", 1, 1).alias("prefix"),
         "fingerprint_hash", "service_name", F.unix_seconds("time_bucket").alias("bucket"),
         F.explode(checked).alias("sample"),
     )
-    rows.repartition("day", "prefix", F.pmod(F.xxhash64("fingerprint_hash"), F.lit(4))).write.mode(
+    rows.hint("rebalance", F.col("day"), F.col("prefix")).write.mode(
         "overwrite"
     ).option("compression", "gzip").partitionBy("day", "prefix").json(path)
 
@@ -139,7 +139,7 @@ def read_samples(spark: SparkSession, path: str, fingerprint: str | None = None,
     schema = "fingerprint_hash string, service_name string, bucket bigint, sample map<string,string>, day date, prefix string"
     df = spark.read.schema(schema).json(path)
     if fingerprint is not None:
-        df = df.filter((F.col("prefix") == fingerprint[:2]) & (F.col("fingerprint_hash") == fingerprint))
+        df = df.filter((F.col("prefix") == fingerprint[:1]) & (F.col("fingerprint_hash") == fingerprint))
     if day is not None:
         df = df.filter(F.col("day") == F.lit(day).cast("date"))
     return df
@@ -156,7 +156,7 @@ def expand_sample_ids(ids: Column, bucket: Column) -> Column:
 
 
 def insert_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.repartition("environment", F.pmod(F.xxhash64("capsule_id"), F.lit(16))).write.mode("append").partitionBy(
+    vectors.hint("rebalance", F.col("environment")).write.mode("append").partitionBy(
         "environment"
     ).parquet(path)
 
@@ -172,15 +172,16 @@ def delete_vectors(spark: SparkSession, path: str, ids: DataFrame, target: str)
 
 
 def refresh_summary(path: str, objectives: DataFrame, now, start_days: int = 3, end_hours: int = 1) -> None:
-    """Recomputes the days of the refresh window and replaces just these partitions.
+    """Recomputes the months the refresh window touches and replaces just these partitions.
 
-    The source is filtered to whole affected days, so older partitions stay as they are.
+    The source is filtered to whole affected months, so older partitions stay as they
+    are. A summary holds few rows per day, hence the month as the partition.
     """
     from tidegauge.operators.metrics import daily_objective_summary
 
     end = F.lit(now).cast("timestamp")
-    first = F.date_trunc("day", end - F.make_dt_interval(F.lit(start_days)))
+    first = F.date_trunc("month", end - F.make_dt_interval(F.lit(start_days)))
     last = end - F.make_dt_interval(F.lit(0), F.lit(end_hours))
     affected = objectives.filter((F.col("created_at") >= first) & (F.col("created_at") < last))
-    summary = daily_objective_summary(affected).withColumn("day", F.to_date("bucket"))
-    _replace_partitions(summary, path, "day", ["sli_id"])
+    summary = daily_objective_summary(affected).withColumn("month", F.date_format("bucket", "yyyy-MM"))
+    _replace_partitions(summary, path, "month")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from tidegauge.constants import BUCKET, LATENESS, MAX_SAMPLES
-from tidegauge.functions.text import fingerprint_messages
-from tidegauge.operators.capsules import KEY, ready_for_embedding, severity_rank, split_valid
+from tidegauge.constants import BUCKET, LATENESS, LATENESS_SECONDS, SEVERITIES
+from tidegauge.functions.text import template_messages
+from tidegauge.operators.capsules import bottom_k, capsule_totals, describe_totals, pack_samples, split_valid, ready_for_embedding
 from tidegauge.operators.vectors import Embedder, embed_with
 from tidegauge.sources.stores import read_or_none
-from tidegauge.streaming.sinks import batch_writer, upsert_writer, with_fallback
+from tidegauge.streaming.sinks import batch_writer, with_fallback
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -23,18 +21,7 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
-# A hot template is spread over this many states per hour.
-SALTS = 16
-
-_PARTIAL = (
-    "fingerprint_hash string, service_name string, time_bucket timestamp, salt int, template string, count bigint, "
-    "severity_distribution map<string,bigint>, first_seen_at timestamp, last_seen_at timestamp, "
-    "samples array<struct<sample_hash:string,event_id:string>>"
-)
-_STATE = (
-    "template string, count bigint, sev array<string>, sev_n array<bigint>, first_us bigint, last_us bigint, "
-    "hashes array<string>, ids array<string>"
-)
+KEYS = ["template", "service_name", "time_bucket"]
 
 
 def configure(spark: SparkSession) -> None:
@@ -48,100 +35,77 @@ def telemetry_stream(spark: SparkSession, options: dict, schema=None, fmt: str =
     return (reader if schema is None else reader.schema(schema)).load()
 
 
-def _accumulate(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds a micro-batch's rows to the running totals of one (capsule, salt)."""
-    fingerprint, service, window, salt = key
-    start = pd.Timestamp(window["start"])
-    end = pd.Timestamp(window["end"])
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        template, count, sev, sev_n, first, last, hashes, ids = state.get
-        severities = dict(zip(sev, sev_n))
-        samples = list(zip(hashes, ids))
-    else:
-        template, count, severities, first, last, samples = None, 0, {}, None, None, []
-    for pdf in batches:
-        count += len(pdf)
-        low = pdf["template"].min()
-        template = low if template is None else min(template, low)
-        for name, n in pdf["severity"].dropna().value_counts().items():
-            severities[name] = int(severities.get(name, 0) + n)
-        lo, hi = int(pdf["us"].min()), int(pdf["us"].max())
-        first = lo if first is None else min(first, lo)
-        last = hi if last is None else max(last, hi)
-        best = pdf[["sample_hash", "event_id"]].sort_values(["sample_hash", "event_id"]).head(MAX_SAMPLES)
-        samples = sorted(samples + list(best.itertuples(index=False, name=None)))[:MAX_SAMPLES]
-    state.update((
-        template, count, list(severities), list(severities.values()), first, last,
-        [s[0] for s in samples], [s[1] for s in samples],
-    ))
-    # the window is dropped once the watermark passes its end
-    state.setTimeoutTimestamp(int(end.timestamp() * 1000) + 1)
-    yield pd.DataFrame({
-        "fingerprint_hash": [fingerprint], "service_name": [service], "time_bucket": [start], "salt": [salt],
-        "template": [template], "count": [count], "severity_distribution": [severities],
-        "first_seen_at": [pd.Timestamp(first, unit="us")], "last_seen_at": [pd.Timestamp(last, unit="us")],
-        "samples": [[{"sample_hash": h, "event_id": i} for h, i in samples]],
-    })
-
-
-def capsule_partials(events: DataFrame, mode: str = "compat", lateness: str = LATENESS) -> DataFrame:
-    """Running totals per capsule and salt; every change re-emits the full new total.
-
-    Grouping by the hour window makes the late filter act on the window's end: a late
-    row still counts while its hour is kept and re-fires the capsule.
+def running_totals(events: DataFrame, mode: str = "compat", lateness: str = LATENESS) -> DataFrame:
+    """Totals per template, service and hour; each change re-emits the full new total.
+
+    A built-in windowed aggregate: rows are combined before the shuffle, the state holds
+    a few numbers per capsule, and a late row counts until the watermark passes the end
+    of its hour.
     """
     valid, _ = split_valid(events)
-    rows = (
-        fingerprint_messages(valid.withWatermark("timestamp", lateness), mode=mode)
-        .select(
-            "fingerprint_hash", "service_name", F.window("timestamp", BUCKET).alias("hour"),
-            F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt"),
-            "template", "severity", F.unix_micros("timestamp").alias("us"),
-            F.md5("event_id").alias("sample_hash"), "event_id",
-        )
-    )
-    return rows.groupBy("fingerprint_hash", "service_name", "hour", "salt").applyInPandasWithState(
-        _accumulate, _PARTIAL, _STATE, "update", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = template_messages(valid.withWatermark("timestamp", lateness), mode=mode)
+    totals = capsule_totals(rows, ["template", "service_name", F.window("timestamp", BUCKET).alias("hour")])
+    return totals.withColumn("time_bucket", F.col("hour.start")).drop("hour")
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """Capsules from their salted totals. A capsule has at most ``SALTS`` of them."""
-    all_samples = F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, MAX_SAMPLES)
-    totals = partials.groupBy(*KEY).agg(
-        F.min("template").alias("template"), F.sum("count").alias("count"),
-        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"),
-        F.transform(all_samples, lambda s: s["event_id"]).alias("sample_event_ids"),
-    )
-    # null severities give an empty map, which explodes to nothing
-    by_severity = partials.select(*KEY, F.explode("severity_distribution").alias("severity", "n")).groupBy(
-        *KEY, "severity"
-    ).agg(F.sum("n").alias("n"))
-    severities = by_severity.groupBy(*KEY).agg(
-        F.max(F.struct("n", severity_rank(F.col("severity")).alias("r"), "severity"))["severity"].alias("severity"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_distribution"),
+def start_totals(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "compat"
+) -> StreamingQuery:
+    configure(events.sparkSession)
+    return (
+        running_totals(events, mode).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .foreachBatch(batch_writer(path)).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
     )
-    return totals.join(severities, KEY, "left")
 
 
-def start_capsules(
-    events: DataFrame, table: str, checkpoint: str, trigger: dict | None = None, mode: str = "compat"
+def sample_writer(path: str, marks: str, mode: str = "compat") -> Callable[[DataFrame, int], None]:
+    """Keeps at most ten candidates per capsule of each batch.
+
+    The lateness rule of the totals is applied by hand: the newest event time of all
+    earlier batches is kept beside the samples under the batch id, and rows whose hour
+    ended before it, less the lateness, are dropped. A replayed batch reads the same
+    mark and overwrites its own folders.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        valid, _ = split_valid(df)
+        before = read_or_none(spark, f"{marks}/batch_id={batch_id - 1}")
+        mark = None if before is None else before.first()["mark"]
+        rows = template_messages(valid, mode=mode).withColumn("time_bucket", F.window("timestamp", BUCKET).start)
+        if mark is not None:
+            ends = F.unix_micros("time_bucket") + 3600 * 1000000
+            rows = rows.filter(ends > mark - LATENESS_SECONDS * 1000000)
+        bottom_k(rows.select(*KEYS, "event_id"), KEYS, "event_id").drop("sample_rank", "sample_hash").write.mode(
+            "overwrite"
+        ).parquet(f"{path}/batch_id={batch_id}")
+        valid.agg(F.greatest(F.max(F.unix_micros("timestamp")), F.lit(mark).cast("bigint")).alias("mark")).write.mode(
+            "overwrite"
+        ).parquet(f"{marks}/batch_id={batch_id}")
+
+    return write
+
+
+def start_samples(
+    events: DataFrame, path: str, marks: str, checkpoint: str, trigger: dict | None = None, mode: str = "compat"
 ) -> StreamingQuery:
-    """Keeps the salted totals in ``table``; read them with ``read_capsules``."""
-    configure(events.sparkSession)
-    writer: DataStreamWriter = (
-        capsule_partials(events, mode).writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(upsert_writer(table, [*KEY, "salt"], "time_bucket", "count"))
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sample_writer(path, marks, mode))
+        .trigger(**(trigger or {"processingTime": "5 minutes"})).start()
     )
-    return writer.trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
 
-def read_capsules(spark: SparkSession, table: str) -> DataFrame:
-    return merge_partials(spark.read.parquet(table).drop("day"))
+def read_capsules(spark: SparkSession, totals: str, samples: str) -> DataFrame:
+    """Capsules as of now: the newest total of every key and the best ten candidates.
+
+    A key changes in the few batches of its hour, so both sides hold few rows per key.
+    """
+    measures = ["count", "first_seen_at", "last_seen_at", *[f"_{s}" for s in SEVERITIES]]
+    newest = spark.read.parquet(totals).groupBy(*KEYS).agg(
+        F.max_by(F.struct(*measures), "batch_id").alias("t")
+    ).select(*KEYS, "t.*")
+    candidates = spark.read.parquet(samples).select(*KEYS, "event_id").distinct()
+    return describe_totals(newest).join(pack_samples(bottom_k(candidates, KEYS, "event_id"), KEYS), KEYS)
 
 
 def start_dead_letters(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
