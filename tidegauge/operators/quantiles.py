@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ def value_bucket(value: Column) -> Column:
 
 
 def values_at_ranks(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]],
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per group, the values at zero-based ranks that depend on the group size ``n``.
 
@@ -22,13 +24,17 @@ def values_at_ranks(
     2. coarse value buckets are counted and accumulated: few rows per group, so a
        window over them is small even for a group holding a third of the table;
     3. only the buckets that hold a wanted rank are opened, each in its own task.
-    Null values are ignored.
+    ``sums`` adds totals of other columns per group in the same pass. Rows with a null
+    value or key are ignored; saying so up front lets both uses of the counts share one
+    shuffle.
     """
+    sums = sums or {}
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]])
     hist = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(present)
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
+        .agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(name) for name, c in sums.items()])
+        .withColumn("_b", F.coalesce(value_bucket(F.col("_v")), F.lit(0.0)))
     )
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -36,30 +42,36 @@ def values_at_ranks(
         *[F.struct(F.lit(name).alias("name"), f(F.col("n")).cast("bigint").alias("rank")) for name, f in ranks.items()]
     )
     opened = (
-        hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-        .withColumns({"_upto": F.sum("_bc").over(running), "n": F.sum("_bc").over(whole)})
+        hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), *[F.sum(name).alias(name) for name in sums])
+        .withColumns({
+            "_upto": F.sum("_bc").over(running), "n": F.sum("_bc").over(whole),
+            **{name: F.sum(name).over(whole) for name in sums},
+        })
         .withColumn("_before", F.col("_upto") - F.col("_bc"))
         .withColumn("_want", wanted)
         .withColumn("_want", F.filter("_want", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto"))))
         .filter(F.size("_want") > 0)
-        .select(*keys, "_b", "_before", "n", "_want")
+        .select(*keys, "_b", "_before", "n", *sums, "_want")
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = (
-        hist.join(opened, [*keys, "_b"])
+        hist.select(*keys, "_b", "_v", "_c").join(opened, [*keys, "_b"])
         .withColumn("_hi", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_w", F.explode("_want"))
         .filter((F.col("_w.rank") >= F.col("_hi") - F.col("_c")) & (F.col("_w.rank") < F.col("_hi")))
     )
     return picked.groupBy(*keys).agg(
         F.max("n").alias("n"),
+        *[F.max(name).alias(name) for name in sums],
         *[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks],
     )
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "p50") -> DataFrame:
+def upper_median(
+    df: DataFrame, keys: list[str], value: str, out: str = "p50", sums: dict[str, Column] | None = None
+) -> DataFrame:
     """``sorted[n // 2]`` of every group."""
-    return values_at_ranks(df, keys, value, {out: lambda n: F.floor(n / 2)})
+    return values_at_ranks(df, keys, value, {out: lambda n: F.floor(n / 2)}, sums)
 
 
 def rank_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:

@@ -6,13 +6,15 @@ trace alone bring one small row per trace and leave skew to the adaptive skew jo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.naming import journey_name, step_label
 from tidegauge.functions.scoring import journey_confidence
 from tidegauge.operators.quantiles import interpolated_percentiles, upper_median
-from tidegauge.session import materialize
+from tidegauge.session import materialize, workspace
 
 SAMPLE_TRACES = 10
 
@@ -90,16 +92,18 @@ def step_statistics(spans: DataFrame, traces: DataFrame) -> DataFrame:
         traces.select("trace_id", "entry_point"), "trace_id"
     )
     keys = ["entry_point", "service_name", "span_name"]
-    errors = rows.groupBy(*keys).agg(F.avg(F.col("bad").cast("double")).alias("error_rate"))
-    medians = upper_median(rows, keys, "duration_ms", "duration_p50")
-    return medians.join(errors, keys)
+    stats = upper_median(rows, keys, "duration_ms", "duration_p50", {"errors": F.col("bad").cast("int")})
+    return stats.select(*keys, "n", "duration_p50", (F.col("errors") / F.col("n")).alias("error_rate"))
 
 
 def discover_journeys(
     spans: DataFrame, min_trace_count: int = 10, min_traffic_volume: int | None = None, root: str = "parent"
 ) -> DataFrame:
-    """User journeys, one per entry point with enough traces."""
-    traces = trace_summary(spans, root)
+    """User journeys, one per entry point with enough traces.
+
+    The summary, one row per trace, is read four times and therefore written once.
+    """
+    traces = materialize(trace_summary(spans, root), "traces")
     order = Window.partitionBy("entry_point").orderBy("trace_id")
     samples = (
         traces.select("entry_point", "trace_id")
@@ -215,24 +219,32 @@ def breadth_first_order(spans: DataFrame, max_rounds: int = 20) -> DataFrame:
         F.array("span_id").alias("path"),
         F.coalesce(rootless | is_root, F.lit(False)).alias("done"),
     ).filter(F.col("done") | F.col("up").isNotNull())
-    state = materialize(state, "bfs")
+
+    def land(df: DataFrame) -> DataFrame:
+        # settled and moving spans in folders of their own
+        path = workspace(spans.sparkSession, "walk")
+        df.write.partitionBy("done").parquet(path)
+        return spans.sparkSession.read.schema(df.schema).parquet(path)
+
+    state = land(state)
+    settled, moving = [state.filter("done")], state.filter("not done")
     for _ in range(max_rounds):
-        # a pointer is settled once it leaves the root; others jump twice as far
-        above = state.select(
+        # every moving pointer jumps to where its target points; one that has reached a
+        # settled span is settled too
+        targets = reduce(lambda a, b: a.unionByName(b), [*settled, moving]).select(
             "trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"),
             F.col("path").alias("path2"), F.col("done").alias("done2"),
         )
-        moving = state.filter(~F.col("done"))
-        moved = moving.join(above, ["trace_id", "up"]).select(
-            "trace_id", "span_id",
-            F.col("up2").alias("up"),
-            F.concat("path2", "path").alias("path"),
+        jumped = land(moving.join(targets, ["trace_id", "up"]).select(
+            "trace_id", "span_id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"),
             F.col("done2").alias("done"),
-        )
-        state = materialize(state.filter("done").unionByName(moved), "bfs")
-        if state.filter(~F.col("done")).isEmpty():
+        ))
+        settled.append(jumped.filter("done"))
+        moving = jumped.filter("not done")
+        if moving.isEmpty():
             break
-    walk = state.filter("done").withColumn("depth", F.size("path") - 1)
+    state = reduce(lambda a, b: a.unionByName(b), settled)
+    walk = state.withColumn("depth", F.size("path") - 1)
     level = walk.groupBy("trace_id", "depth").agg(F.count(F.lit(1)).alias("_n"))
     above_levels = Window.partitionBy("trace_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     offsets = level.select(

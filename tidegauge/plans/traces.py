@@ -6,6 +6,7 @@ from tidegauge.operators import journeys as jn
 from tidegauge.operators import traces as tr
 from tidegauge.plans.ctes import JOURNEYS, SPANS, TRACES
 from tidegauge.plans.registry import joined, query, r6
+from tidegauge.session import materialize
 from tidegauge.sources import adapters
 
 
@@ -14,7 +15,7 @@ WITH {SPANS} SELECT p.service_name AS caller, c.service_name AS callee, count(*)
 FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id
 WHERE p.service_name <> c.service_name GROUP BY ALL""")
 def service_dependencies(spark, d):
-    return tr.dependency_edges(adapters.spans(spark, d))
+    return tr.dependency_edges(stored_spans(spark, d))
 
 
 @query("leaf_spans", f"""
@@ -40,12 +41,17 @@ def trace_summary_by_span_id(spark, d):
 @query("step_statistics", f"""
 WITH {JOURNEYS} SELECT entry_point, service_name, span_name, n, duration_p50, round(error_rate, 6) AS error_rate FROM steps""")
 def step_statistics(spark, d):
-    spans = adapters.spans(spark, d)
+    spans = stored_spans(spark, d)
     return tr.step_statistics(spans, tr.trace_summary(spans)).withColumn("error_rate", r6("error_rate"))
 
 
+def stored_spans(spark, d):
+    """The spans as a stored table; deriving them ranks every order's lines."""
+    return materialize(adapters.spans(spark, d), "spans")
+
+
 def found(spark, d):
-    return tr.discover_journeys(adapters.spans(spark, d))
+    return tr.discover_journeys(stored_spans(spark, d))
 
 
 @query("journeys", f"""
@@ -106,7 +112,7 @@ WITH RECURSIVE {SPANS}, walk AS (
   SELECT s.trace_id, s.span_id, w.depth + 1, list_append(w.path, s.span_id) FROM spans s JOIN walk w ON s.trace_id = w.trace_id AND s.parent_span_id = w.span_id)
 SELECT trace_id, span_id, depth, row_number() OVER (PARTITION BY trace_id ORDER BY depth, path) AS position FROM walk""")
 def breadth_first_order(spark, d):
-    return tr.breadth_first_order(adapters.spans(spark, d))
+    return tr.breadth_first_order(stored_spans(spark, d))
 
 
 def stored_journeys(spark, d):
