@@ -127,6 +127,8 @@ def batch_search(
     if radius is not None:
         fields.append("sketch")
     wanted = queries.select(*fields)
+    # counted and then read block by block, so it is derived only once
+    wanted = materialize(wanted, "queries")
     n = wanted.count()
     corpus_fields = ["capsule_id", "vector", *same]
     corpus_fields += [F.unix_seconds("time_bucket").alias("_t")] if timed else []
@@ -136,7 +138,7 @@ def batch_search(
     if n_blocks > 1:
         # hash blocks are uneven; twice as many keeps each near the bound
         n_blocks *= 2
-        wanted = materialize(wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))), "queries")
+        wanted = wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     found = None
     bits = SKETCH_BITS
     masks = [m for m in range(1 << bits) if radius is not None and m.bit_count() <= radius]
@@ -265,12 +267,15 @@ def embed_terms(df: DataFrame, id_col: str, text: str, fit: DataFrame | None = N
         .join(F.broadcast(size), F.lit(True))
         .select(id_col, "slot", (F.col("tf") * F.coalesce("idf", unseen)).alias("w"))
     )
-    # at most `dimension` entries per text
-    packed = weighted.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+    # same partitioning as the grouping below, hence no second shuffle
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    # at most `dimension` entries per text; the filter also keeps the optimizer from
+    # rebuilding the map for every slot
+    packed = (
+        weighted.withColumn("x", F.col("w") / norm)
+        .groupBy(id_col)
+        .agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
+        .filter(F.size("m") > 0)
     )
     slots = F.sequence(F.lit(0), F.lit(dimension - 1))
-    return packed.select(
-        id_col, F.transform(slots, lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("norm")).alias("vector")
-    )
+    return packed.select(id_col, F.transform(slots, lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
