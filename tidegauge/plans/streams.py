@@ -7,7 +7,7 @@ from tidegauge.operators import capsules as cp
 from tidegauge.operators.vectors import embed_with
 from tidegauge.plans.capsules import _RAW, _SHOWN, raw_events, shown
 from tidegauge.plans.ctes import CAPSULES, FP, TEL
-from tidegauge.plans.registry import query
+from tidegauge.plans.registry import map_text, query, stamp
 from tidegauge.session import workspace
 from tidegauge.sources import adapters, stores
 from tidegauge.streaming import jobs, sinks
@@ -30,11 +30,21 @@ def finish(q):
 def stream_capsules(spark, d):
     events = streamed(spark, adapters.telemetry(spark, d).drop("attributes"), "raw-telemetry")
     totals, samples, marks = (workspace(spark, p) for p in ("totals", "samples", "marks"))
-    finish(jobs.start_totals(events, totals, workspace(spark, "checkpoint"), ONCE))
-    finish(jobs.start_samples(events, samples, marks, workspace(spark, "checkpoint"), ONCE))
+    finish(jobs.start_capsules(events, totals, samples, marks, workspace(spark, "checkpoint"), ONCE))
     return shown(jobs.read_capsules(spark, totals, samples))
 
 
+@query("stream_running_totals", f"""
+WITH {CAPSULES} SELECT fingerprint_hash, service_name, strftime(time_bucket, '%Y-%m-%d %H:%M:%S') AS time_bucket, count, severity, severity_distribution FROM cap""")
+def stream_running_totals(spark, d):
+    events = streamed(spark, adapters.telemetry(spark, d).drop("attributes"), "raw-telemetry")
+    path = workspace(spark, "totals")
+    finish(jobs.start_totals(events, path, workspace(spark, "checkpoint"), ONCE))
+    return jobs.read_totals(spark, path).select(
+        "fingerprint_hash", "service_name", stamp("time_bucket"), "count", "severity", map_text("severity_distribution")
+    )
+
+
 @query("stream_dead_letters", f"WITH {_RAW} SELECT event_id, reason FROM judged WHERE reason IS NOT NULL")
 def stream_dead_letters(spark, d):
     events = streamed(spark, raw_events(spark, d).drop("attributes"), "raw-telemetry")

@@ -12,6 +12,7 @@ from tidegauge.constants import BUCKET, LATENESS, LATENESS_SECONDS, SEVERITIES
 from tidegauge.functions.text import template_messages
 from tidegauge.operators.capsules import bottom_k, capsule_totals, describe_totals, pack_samples, split_valid, ready_for_embedding
 from tidegauge.operators.vectors import Embedder, embed_with
+from tidegauge.session import discard, materialize, workspace
 from tidegauge.sources.stores import read_or_none
 from tidegauge.streaming.sinks import batch_writer, with_fallback
 
@@ -19,6 +20,8 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # one stateful operator per job: late rows meet the newest watermark, not the one before
+    "spark.sql.streaming.statefulOperator.allowMultiple": "false",
 }
 
 KEYS = ["template", "service_name", "time_bucket"]
@@ -58,13 +61,20 @@ def start_totals(
     )
 
 
-def sample_writer(path: str, marks: str, mode: str = "compat") -> Callable[[DataFrame, int], None]:
-    """Keeps at most ten candidates per capsule of each batch.
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The newest total of every key. A key changes in the few batches of its hour."""
+    measures = ["count", "first_seen_at", "last_seen_at", *[f"_{s}" for s in SEVERITIES]]
+    newest = spark.read.parquet(path).groupBy(*KEYS).agg(F.max_by(F.struct(*measures), "batch_id").alias("t"))
+    return describe_totals(newest.select(*KEYS, "t.*"))
+
 
-    The lateness rule of the totals is applied by hand: the newest event time of all
-    earlier batches is kept beside the samples under the batch id, and rows whose hour
-    ended before it, less the lateness, are dropped. A replayed batch reads the same
-    mark and overwrites its own folders.
+def capsule_writer(totals: str, samples: str, marks: str, mode: str = "compat") -> Callable[[DataFrame, int], None]:
+    """Partial totals and at most ten sample candidates per capsule of each batch.
+
+    Both come from the same staged rows, so they always agree. The lateness rule of
+    ``running_totals`` is applied by hand: the newest event time of all earlier batches
+    is kept under the batch id, and rows whose hour ended before it, less the lateness,
+    are dropped. A replayed batch reads the same mark and overwrites its own folders.
     """
 
     def write(df: DataFrame, batch_id: int) -> None:
@@ -73,39 +83,44 @@ def sample_writer(path: str, marks: str, mode: str = "compat") -> Callable[[Data
         before = read_or_none(spark, f"{marks}/batch_id={batch_id - 1}")
         mark = None if before is None else before.first()["mark"]
         rows = template_messages(valid, mode=mode).withColumn("time_bucket", F.window("timestamp", BUCKET).start)
+        stage = workspace(spark, "batch")
+        rows = materialize(rows.select(*KEYS, "severity", "timestamp", "event_id"), "batch", stage)
+        kept = rows
         if mark is not None:
             ends = F.unix_micros("time_bucket") + 3600 * 1000000
-            rows = rows.filter(ends > mark - LATENESS_SECONDS * 1000000)
-        bottom_k(rows.select(*KEYS, "event_id"), KEYS, "event_id").drop("sample_rank", "sample_hash").write.mode(
+            kept = rows.filter(ends > mark - LATENESS_SECONDS * 1000000)
+        here = f"batch_id={batch_id}"
+        capsule_totals(kept, KEYS).write.mode("overwrite").parquet(f"{totals}/{here}")
+        bottom_k(kept.select(*KEYS, "event_id"), KEYS, "event_id").drop("sample_rank", "sample_hash").write.mode(
             "overwrite"
-        ).parquet(f"{path}/batch_id={batch_id}")
-        valid.agg(F.greatest(F.max(F.unix_micros("timestamp")), F.lit(mark).cast("bigint")).alias("mark")).write.mode(
+        ).parquet(f"{samples}/{here}")
+        rows.agg(F.greatest(F.max(F.unix_micros("timestamp")), F.lit(mark).cast("bigint")).alias("mark")).write.mode(
             "overwrite"
-        ).parquet(f"{marks}/batch_id={batch_id}")
+        ).parquet(f"{marks}/{here}")
+        discard(spark, stage)
 
     return write
 
 
-def start_samples(
-    events: DataFrame, path: str, marks: str, checkpoint: str, trigger: dict | None = None, mode: str = "compat"
+def start_capsules(
+    events: DataFrame, totals: str, samples: str, marks: str, checkpoint: str, trigger: dict | None = None,
+    mode: str = "compat",
 ) -> StreamingQuery:
     return (
-        events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sample_writer(path, marks, mode))
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(capsule_writer(totals, samples, marks, mode))
         .trigger(**(trigger or {"processingTime": "5 minutes"})).start()
     )
 
 
 def read_capsules(spark: SparkSession, totals: str, samples: str) -> DataFrame:
-    """Capsules as of now: the newest total of every key and the best ten candidates.
-
-    A key changes in the few batches of its hour, so both sides hold few rows per key.
-    """
-    measures = ["count", "first_seen_at", "last_seen_at", *[f"_{s}" for s in SEVERITIES]]
-    newest = spark.read.parquet(totals).groupBy(*KEYS).agg(
-        F.max_by(F.struct(*measures), "batch_id").alias("t")
-    ).select(*KEYS, "t.*")
+    """Capsules as of now: partial totals added up and the best ten candidates."""
+    sums = spark.read.parquet(totals).groupBy(*KEYS).agg(
+        F.sum("count").alias("count"), F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"), *[F.sum(f"_{s}").alias(f"_{s}") for s in SEVERITIES],
+    )
     candidates = spark.read.parquet(samples).select(*KEYS, "event_id").distinct()
-    return describe_totals(newest).join(pack_samples(bottom_k(candidates, KEYS, "event_id"), KEYS), KEYS)
+    return describe_totals(sums).join(pack_samples(bottom_k(candidates, KEYS, "event_id"), KEYS), KEYS)
 
 
 def start_dead_letters(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
