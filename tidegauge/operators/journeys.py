@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scoring import adjusted_confidence, weighted_confidence
@@ -54,24 +54,46 @@ def decay_stale(journeys: DataFrame, run_date, threshold_days: int = 7) -> DataF
 def capsule_coverage(journeys: DataFrame, capsules: DataFrame) -> DataFrame:
     """Share of a journey's hours that have capsules of its service.
 
-    Capsules are first reduced to one row per service and hour, so the range condition
-    on the equi join meets at most the hours of a service, not its capsules.
+    Capsules are reduced to one row per service and hour, completed to every hour and
+    accumulated. A range is then the difference of two running totals found by equality,
+    so a journey of a year costs the same two lookups as one of an hour.
     ``coverage_pct`` counts capsules, ``hour_coverage_pct`` counts distinct hours.
     """
-    hours = capsules.groupBy("service_name", "time_bucket").agg(F.count(F.lit(1)).alias("n"))
-    j = journeys.select("journey_id", "service_name", "discovered_at", "last_seen_at")
-    found = (
-        j.join(hours, "service_name")
-        .filter(F.col("time_bucket").between(F.col("discovered_at"), F.col("last_seen_at")))
-        .groupBy("journey_id")
-        .agg(F.sum("n").alias("capsules"), F.count(F.lit(1)).alias("hours"))
+    hour = 3600
+    filled = capsules.groupBy("service_name", F.unix_seconds("time_bucket").alias("h")).agg(
+        F.count(F.lit(1)).alias("n")
     )
+    bounds = filled.groupBy("service_name").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    upto = Window.partitionBy("service_name").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = (
+        bounds.select("service_name", F.explode(F.sequence("lo", "hi", F.lit(hour))).alias("h"))
+        .join(filled, ["service_name", "h"], "left")
+        .select(
+            "service_name", "h", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"),
+            F.count("n").over(upto).alias("hours"),
+        )
+    )
+    j = journeys.select("journey_id", "service_name", "discovered_at", "last_seen_at").join(bounds, "service_name", "left")
+    first = F.ceil(F.unix_seconds("discovered_at") / hour) * hour
+    last = F.floor(F.unix_seconds("last_seen_at") / hour) * hour
+    j = j.withColumns(
+        {
+            "_to": F.when((last >= F.col("lo")) & (first <= F.col("hi")) & (first <= last), F.least(last, F.col("hi"))),
+            "_from": F.greatest(first, F.col("lo")) - hour,
+        }
+    )
+
+    def total_at(column: str, out: str) -> DataFrame:
+        return totals.select("service_name", F.col("h").alias(column), F.struct("n", "hours").alias(out))
+
     expected = F.greatest(
-        F.lit(1.0), (F.unix_seconds("last_seen_at") - F.unix_seconds("discovered_at")) / 3600
+        F.lit(1.0), (F.unix_seconds("last_seen_at") - F.unix_seconds("discovered_at")) / hour
     )
+    inside = lambda f: F.coalesce(F.col("_end")[f] - F.coalesce(F.col("_start")[f], F.lit(0)), F.lit(0))
     return (
-        j.join(found, "journey_id", "left")
-        .fillna(0, ["capsules", "hours"])
+        j.join(total_at("_to", "_end"), ["service_name", "_to"], "left")
+        .join(total_at("_from", "_start"), ["service_name", "_from"], "left")
+        .withColumns({"capsules": inside("n"), "hours": inside("hours")})
         .select(
             "journey_id", "capsules", "hours",
             F.least(F.lit(100.0), F.col("capsules") / expected * 100).alias("coverage_pct"),

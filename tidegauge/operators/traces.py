@@ -171,10 +171,24 @@ def rank_journeys(
         (share("traffic_volume", "_mt") * traffic_weight + F.col("error_rate") * error_weight
          + share("latency_variance", "_mv") * latency_weight) * 100,
     ).drop("_mt", "_mv")
-    # journeys are one row per entry point; the score is rounded so equal scores tie
-    order = [F.round("business_impact_score", 9).desc(), F.col("entry_point")]
-    window = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(window))
+    # the score is rounded so that equal scores tie and the name decides
+    scored = scored.withColumn("_score", F.round("business_impact_score", 9))
+    if keys:
+        order = Window.partitionBy(*keys).orderBy(F.col("_score").desc(), "entry_point")
+        return scored.withColumn("rank", F.row_number().over(order)).drop("_score")
+    # a rank over all journeys: ranked inside score bands, offset by the bands above, so
+    # that no task ever holds them all; there are about ten thousand bands
+    scored = scored.withColumn("_band", F.floor(F.col("_score") * 100))
+    above = Window.orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bands = scored.groupBy("_band").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_band", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above")
+    )
+    order = Window.partitionBy("_band").orderBy(F.col("_score").desc(), "entry_point")
+    return (
+        scored.join(F.broadcast(bands), "_band")
+        .withColumn("rank", F.col("_above") + F.row_number().over(order))
+        .drop("_score", "_band", "_above")
+    )
 
 
 def top_journeys(ranked: DataFrame, n: int = 5, min_confidence: float = 70.0) -> DataFrame:

@@ -125,7 +125,7 @@ def ratio_indicators(spark, d):
     )
 
 
-@query("success_ratio_by_model", f"""
+@query("success_ratio_in_production", f"""
 WITH {REQ}
 SELECT service, count(*) FILTER (status_code < 400 AND environment = 'prod') AS good, count(*) FILTER (environment = 'prod') AS total,
   round(CASE WHEN count(*) FILTER (environment = 'prod') > 0 THEN count(*) FILTER (status_code < 400 AND environment = 'prod') / count(*) FILTER (environment = 'prod') * 100 END, 6) AS sli

@@ -6,6 +6,8 @@ partitions, so a repeated write leaves the same table.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -63,18 +65,19 @@ def upsert(
 def drop_expired(path: str, spark: SparkSession, as_of, days: int, partition: str = "day") -> list[str]:
     """Deletes date partitions older than the retention time; returns their dates.
 
-    Only partition names are read: no data file is opened.
+    Only folder names are listed: no data file is opened.
     """
-    dates = (
-        spark.read.parquet(path).select(partition).distinct()
-        .filter(F.col(partition) < F.to_date(F.lit(as_of)) - F.lit(days))
-    )
-    expired = sorted(str(r[0]) for r in dates.collect())  # one entry per day of history
-    jvm = spark.sparkContext._jvm
-    for d in expired:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={d}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    return expired
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    cutoff = str(date.fromisoformat(str(as_of)[:10]) - timedelta(days=days))
+    expired = []
+    for entry in fs.listStatus(root):  # one folder per day of history
+        name = entry.getPath().getName()
+        if name.startswith(f"{partition}=") and name.split("=", 1)[1] < cutoff:
+            fs.delete(entry.getPath(), True)
+            expired.append(name.split("=", 1)[1])
+    return sorted(expired)
 
 
 def unexpired(df: DataFrame, time_column: str, as_of, days: int) -> DataFrame:
