@@ -12,7 +12,7 @@ from tidegauge.sources import adapters
 from tidegauge.sources.tables import table
 
 HOUR = lambda c: mx.step_start(F.col(c), 3600)
-OK5XX = F.col("status_code") < 500
+OK5XX = lambda: F.col("status_code") < 500  # noqa: E731  (columns need a session)
 WINDOWS = {"sli_1h": 3600, "sli_6h": 21600, "sli_24h": 86400, "sli_30d": 2592000}
 
 
@@ -153,7 +153,7 @@ win AS (
 
 
 def windows(spark, d):
-    return mx.multi_window(adapters.requests(spark, d), ["service"], "ts", OK5XX, WINDOWS)
+    return mx.multi_window(adapters.requests(spark, d), ["service"], "ts", OK5XX(), WINDOWS)
 
 
 @query("multi_window_indicator", f"""
@@ -194,7 +194,7 @@ def burn_rate_alerts(spark, d):
 WITH {_GRID} SELECT service, count(*) FILTER (coalesce(round(1 - CASE WHEN total > 0 THEN good / total * 100 END / 100, 9) > 0.3 AND total > 0, FALSE)) AS burning_steps
 FROM win GROUP BY service""")
 def single_window_burn(spark, d):
-    w = mx.multi_window(adapters.requests(spark, d), ["service"], "ts", OK5XX, {"sli_5m": 300})
+    w = mx.multi_window(adapters.requests(spark, d), ["service"], "ts", OK5XX(), {"sli_5m": 300})
     return mx.burn_rate_single(w, "sli_5m", "total", 0.95, 6.0).groupBy("service").agg(F.count_if("burning").alias("burning_steps"))
 
 
@@ -323,7 +323,7 @@ SELECT service, round(greatest(0, (1 - 70 / 100) * 100 - breach_pct), 6) AS budg
 def error_budgets(spark, d):
     n = F.count(F.lit(1))
     s = adapters.requests(spark, d).groupBy("service").agg(
-        (F.count_if(OK5XX) / n * 100).alias("sli"), (F.count_if(F.col("latency") > 60) / n * 100).alias("breach_pct"),
+        (F.count_if(OK5XX()) / n * 100).alias("sli"), (F.count_if(F.col("latency") > 60) / n * 100).alias("breach_pct"),
         F.avg("latency").alias("value"),
     ).withColumns({"target": F.lit(70.0), "threshold": F.lit(60.0)})
     out = mx.error_budgets(s)
@@ -337,7 +337,7 @@ st AS (SELECT service, sec // 300 * 300 AS step, count(*) AS n, count(*) FILTER
 
 def steps5(spark, d):
     return adapters.requests(spark, d).groupBy("service", mx.step_start(F.col("ts"), 300).alias("step")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~OK5XX).alias("bad"), F.count_if(F.col("endpoint") == "/view").alias("consumed"),
+        F.count(F.lit(1)).alias("n"), F.count_if(~OK5XX()).alias("bad"), F.count_if(F.col("endpoint") == "/view").alias("consumed"),
         F.count_if(F.col("endpoint") != "/view").alias("lag"), F.sum("latency").alias("spend"), F.max("latency").alias("worst"),
     )
 
@@ -362,23 +362,23 @@ def stalled_consumers(spark, d):
 
 
 SIGNALS = {
-    "ingest_lag_p99": (F.col("worst"), "worst"),
-    "ingest_freshness_status": (F.when(F.col("worst") <= 60, 1.0).otherwise(0.0), "CASE WHEN worst <= 60 THEN 1 ELSE 0 END"),
-    "vector_query_p95": (F.col("worst") / 50, "worst / 50"),
-    "vector_query_status": (F.when(F.col("worst") <= 100, 1.0).otherwise(0.0), "CASE WHEN worst <= 100 THEN 1 ELSE 0 END"),
-    "analysis_p95": (F.col("worst"), "worst"),
-    "analysis_status": (F.when(F.col("bad") == 0, 1.0).otherwise(0.0), "CASE WHEN bad = 0 THEN 1 ELSE 0 END"),
-    "embedding_queue_length": (F.col("spend") * 20, "spend * 20"),
-    "model_p95": (F.col("worst") / 2, "worst / 2"),
-    "model_error_ratio": (F.col("bad") / F.col("n"), "bad / n"),
-    "daily_spend_usd": (F.col("spend"), "spend"),
-    "consumer_lag": (F.col("lag") * 5000, "lag * 5000"),
-    "connection_pool_use": (F.col("lag") / F.col("n"), "lag / n"),
-    "db_p95": (F.col("worst") / 100, "worst / 100"),
-    "api_p95": (F.col("worst") / 20, "worst / 20"),
-    "api_success_rate": ((F.col("n") - F.col("bad")) / F.col("n") * 100, "(n - bad) / n * 100"),
-    "ingest_failure_ratio": (F.col("bad") / F.col("n"), "bad / n"),
-    "artifact_failure_ratio": (F.col("bad") / F.col("n"), "bad / n"),
+    "ingest_lag_p99": (lambda: F.col("worst"), "worst"),
+    "ingest_freshness_status": (lambda: F.when(F.col("worst") <= 60, 1.0).otherwise(0.0), "CASE WHEN worst <= 60 THEN 1 ELSE 0 END"),
+    "vector_query_p95": (lambda: F.col("worst") / 50, "worst / 50"),
+    "vector_query_status": (lambda: F.when(F.col("worst") <= 100, 1.0).otherwise(0.0), "CASE WHEN worst <= 100 THEN 1 ELSE 0 END"),
+    "analysis_p95": (lambda: F.col("worst"), "worst"),
+    "analysis_status": (lambda: F.when(F.col("bad") == 0, 1.0).otherwise(0.0), "CASE WHEN bad = 0 THEN 1 ELSE 0 END"),
+    "embedding_queue_length": (lambda: F.col("spend") * 20, "spend * 20"),
+    "model_p95": (lambda: F.col("worst") / 2, "worst / 2"),
+    "model_error_ratio": (lambda: F.col("bad") / F.col("n"), "bad / n"),
+    "daily_spend_usd": (lambda: F.col("spend"), "spend"),
+    "consumer_lag": (lambda: F.col("lag") * 5000, "lag * 5000"),
+    "connection_pool_use": (lambda: F.col("lag") / F.col("n"), "lag / n"),
+    "db_p95": (lambda: F.col("worst") / 100, "worst / 100"),
+    "api_p95": (lambda: F.col("worst") / 20, "worst / 20"),
+    "api_success_rate": (lambda: (F.col("n") - F.col("bad")) / F.col("n") * 100, "(n - bad) / n * 100"),
+    "ingest_failure_ratio": (lambda: F.col("bad") / F.col("n"), "bad / n"),
+    "artifact_failure_ratio": (lambda: F.col("bad") / F.col("n"), "bad / n"),
 }
 _OPS = {"gt": ">", "lt": "<", "eq": "="}
 _ALERT_SQL = " UNION ALL ".join(
@@ -393,7 +393,7 @@ isl AS (SELECT *, step - row_number() OVER (PARTITION BY service, alert ORDER BY
 SELECT service, alert, severity, component, minutes, min(step) AS run_start, max(step) AS run_end, count(*) AS steps, max(step) - min(step) + 300 AS seconds
 FROM isl GROUP BY service, alert, severity, component, minutes, island HAVING max(step) - min(step) >= minutes * 60""")
 def threshold_alerts(spark, d):
-    rows = F.array(*[F.struct(F.lit(k).alias("signal"), v.cast("double").alias("value")) for k, (v, _) in SIGNALS.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("signal"), v().cast("double").alias("value")) for k, (v, _) in SIGNALS.items()])
     signals = steps5(spark, d).select("service", "step", F.inline(rows))
     return mx.evaluate_alerts(signals, ["service"], 300)
 
