@@ -301,17 +301,17 @@ def objective_history(spark, d):
         F.concat(F.lit("sli-"), F.col("o_custkey").cast("string")).alias("sli_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("deployed_at"),
-        (F.col("o_totalprice") / 10000).alias("error_budget_remaining"),
+        (F.col("o_totalprice") / 1000).alias("error_budget_remaining"),
     )
 
 
 @query("daily_objective_summary", """
 SELECT 'sli-' || o_custkey AS sli_id, strftime(date_trunc('day', o_orderdate), '%Y-%m-%d') AS bucket, count(*) AS slo_count,
-  round(avg(o_totalprice / 10000), 6) AS avg_budget_remaining
+  round(avg(o_totalprice / 1000), 8) AS avg_budget_remaining
 FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL""")
 def daily_objective_summary(spark, d):
     return mx.daily_objective_summary(objective_history(spark, d)).select(
-        "sli_id", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "slo_count", r6("avg_budget_remaining").alias("avg_budget_remaining")
+        "sli_id", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "slo_count", F.round("avg_budget_remaining", 8).alias("avg_budget_remaining")
     )
 
 

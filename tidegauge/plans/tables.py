@@ -6,7 +6,7 @@ from tidegauge.operators import capsules as cp
 from tidegauge.plans.capsules import _SHOWN, shown
 from tidegauge.plans.ctes import CAPSULES, FP, VEC
 from tidegauge.plans.metrics import objective_history
-from tidegauge.plans.registry import query, r6
+from tidegauge.plans.registry import query
 from tidegauge.session import workspace
 from tidegauge.sources import adapters, stores
 
@@ -89,9 +89,9 @@ def table_stats(spark, d):
 
 
 @query("incremental_summary", """
-WITH o AS (SELECT 'sli-' || o_custkey AS sli_id, o_orderdate AS created_at, o_totalprice / 10000 AS b, max(o_orderdate) OVER () AS last FROM orders WHERE o_orderstatus = 'F')
+WITH o AS (SELECT 'sli-' || o_custkey AS sli_id, o_orderdate AS created_at, o_totalprice / 1000 AS b, max(o_orderdate) OVER () AS last FROM orders WHERE o_orderstatus = 'F')
 SELECT sli_id, strftime(created_at, '%Y-%m-%d') AS bucket, count(*) AS slo_count,
-  round(avg(CASE WHEN created_at >= date_trunc('month', last - INTERVAL 3 DAY) THEN b + 1 ELSE b END), 6) AS avg_budget_remaining FROM o GROUP BY ALL""")
+  round(avg(CASE WHEN created_at >= date_trunc('month', last - INTERVAL 3 DAY) THEN b + 1 ELSE b END), 8) AS avg_budget_remaining FROM o GROUP BY ALL""")
 def incremental_summary(spark, d):
     path = workspace(spark, "summary")
     history = objective_history(spark, d)
@@ -101,7 +101,7 @@ def incremental_summary(spark, d):
     # budgets change; only the partitions of the refresh window are recomputed
     stores.refresh_summary(path, history.withColumn("error_budget_remaining", F.col("error_budget_remaining") + 1), now, start_days=3)
     return spark.read.parquet(path).select(
-        "sli_id", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "slo_count", r6("avg_budget_remaining").alias("avg_budget_remaining")
+        "sli_id", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "slo_count", F.round("avg_budget_remaining", 8).alias("avg_budget_remaining")
     )
 
 
