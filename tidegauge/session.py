@@ -24,11 +24,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when
-    that is unset (tests on one machine) a temporary folder is made and recorded.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A session that
+    runs in one process may leave it unset and gets a temporary folder; on a cluster
+    executors would each write to their own disk, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidegauge/{purpose}-{uuid.uuid4().hex}"
