@@ -15,7 +15,7 @@ import re
 
 SPECIAL = "<|endoftext|>"
 #: A space beside other white space.
-RUNS = re.compile(r" \s|\s ")
+RUNS = re.compile(r" [\s\u180e]|[\s\u180e] ")
 ASCII_RUNS = [" " + c for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f"] + [c + " " for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f"]
 
 
