@@ -30,7 +30,7 @@ def attempt_name(folder: str, suffix: str) -> str:
 def writing(path: str) -> Iterator:
     system, local = _resolve(path)
     system.create_dir(local.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(local) as out:
+    with system.open_output_stream(local, compression=None) as out:  # bytes as given, whatever the name
         yield out
 
 
