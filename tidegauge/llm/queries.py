@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q3_warc", "q6_token_counts", "q8_mixing", "q9_token_files"]
+MODULES = ["q2_licenses", "q3_warc", "q6_token_counts", "q8_mixing", "q9_token_files"]
 
 
 def load():
