@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import pieces
 
-#: Chunks that one task remembers.
-REMEMBERED = 300_000
+#: Chunks that one Python worker remembers.
+REMEMBERED = 700_000
 
 #: The published pre-token pattern of this vocabulary family (a fixed value).
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -61,7 +62,7 @@ class PrefixTable:
         #: Count and last token of beginnings seen before.
         self.ends: dict[str | None, tuple[int, int]] = {}
         self.remembered = remembered
-        self.changes = pieces.Chunks(self._changes, remembered)
+        self.changes = pieces.Chunks(self._changes, remembered // 4)
         self.first = pieces.Chunks(self._chunk, remembered)
         self.rest = pieces.Chunks(lambda c: self._chunk(" " + c), remembered)
 
@@ -171,6 +172,12 @@ class PrefixTable:
         return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def shared_table(path: str) -> PrefixTable:
+    """One per Python worker, so that later tasks find what earlier ones worked out."""
+    return PrefixTable(path)
+
+
 def tokens_at(table: bytes, n_bytes: int) -> int:
     """Tokens of the prefix of so many bytes."""
     return int(np.frombuffer(table, np.int8, min(n_bytes, len(table))).sum(dtype=np.int64)) if table else 0
@@ -193,7 +200,7 @@ def prefix_counts(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = PrefixTable(tokenizer or pieces.default_path())
+        counter = shared_table(tokenizer or pieces.default_path())
         for batch in batches:
             tables = [counter.table(t) for t in batch.column("text").to_pylist()]
             columns = {

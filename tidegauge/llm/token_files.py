@@ -12,7 +12,9 @@ text are treated as the tokenizers library does by default.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -21,43 +23,45 @@ from pyspark.sql import functions as F
 from tidegauge.llm import files, pfor, pieces
 from tidegauge.session import materialize, workspace
 
-#: Chunks that one task remembers.
-REMEMBERED = 400_000
+#: Chunks that one Python worker remembers.
+REMEMBERED = 1_000_000
 
 
 class Encoder:
-    """Ids of whole texts; chunks that encode alone are encoded once and remembered."""
+    """Ids of whole texts; chunks that encode alone are encoded once and remembered.
 
-    def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
+    A chunk that is one blank and plain letters is one pre-token and goes to the library's
+    model directly, all others go through the whole library.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = pieces.load(path)
-        self.special = pieces.special_pattern(pieces.specials(path or pieces.default_path()))
-        self.remembered = remembered
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if pieces.has_runs(text) or self.special and self.special.search(text):
-                cut.append(None)  # encoded whole
-            else:
-                head, *tail = text.split(" ")
-                cut.append([head, *map(" ".__add__, tail)])
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = list(set().union(*(c for c in cut if c)) - self.known.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
-            self.known.update(zip(part, self._encode(part)))
-        look = self.known.__getitem__
-        return [
-            np.frombuffer(b"".join(map(look, c)) if c is not None else self._encode([t])[0], "<u4")
-            for t, c in zip(texts, cut)
-        ]
+        self.model = self.library.model
+        self.blank = pieces.byte_chars()[32]
+        self.special = pieces.special_pattern(pieces.specials(path))
+        self.first = pieces.Chunks(self._whole, remembered)
+        self.rest = pieces.Chunks(self._chunk, remembered)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(self.blank + chunk)]).tobytes()
+        return self._whole(" " + chunk)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Unsigned 32-bit ids."""
+        if pieces.has_runs(text) or self.special and self.special.search(text):
+            return np.frombuffer(self._whole(text), np.uint32)
+        head, *tail = text.split(" ")
+        return np.frombuffer(self.first[head] + b"".join(map(self.rest.__getitem__, tail)), np.uint32)
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One per Python worker, so that later tasks find what earlier ones encoded."""
+    return Encoder(path)
 
 
 def write_ids(
@@ -73,19 +77,19 @@ def write_ids(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, end = None, np.array([end_id], np.uint32)
+        encoder, end = shared_encoder(tokenizer or pieces.default_path()), np.array([end_id], np.uint32)
         path = files.attempt_name(folder, ".pfor")
         rows = ((b.slice(at, batch)) for b in batches for at in range(0, b.num_rows, batch))
         first = next(rows, None)
         if first is None:
             return
         with files.writing(path) as out:
-            writer, encoder = pfor.Writer(out, percentile), Encoder(tokenizer)
+            writer = pfor.Writer(out, percentile)
             part = first
             while part is not None:
                 keys, texts = part.column("key").to_pylist(), part.column("text").to_pylist()
-                for k, ids in zip(keys, encoder(texts)):
-                    writer.add(k, np.concatenate((ids, end)))
+                for k, one in zip(keys, texts):
+                    writer.add(k, np.concatenate((encoder(one), end)))
                 part = next(rows, None)
             writer.close()
         yield pa.RecordBatch.from_pydict({
