@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Tokens are canonicalised: numbers, units behind numbers, and names (capitalised words
-inside a sentence) become typed placeholders, other words lose case and outer
+inside a sentence that is not all capitals) become typed placeholders, other words lose case and outer
 punctuation. Every window of ``window`` tokens with at least ``least_fixed`` ordinary
 words is hashed; windows of documents are joined with those of benchmark items by hash.
 Per document, item and alignment the windows found must cover ``least_cover`` of the item
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,7 +57,7 @@ def _token(raw: str) -> bytes:
     if NUMBER.fullmatch(word):
         flags |= NUM
     else:
-        flags |= (CAPITAL if word[:1].isupper() else 0) | (UNIT if word.lower() in UNITS else 0)
+        flags |= (CAPITAL if word[:1].isupper() and not word.isupper() else 0) | (UNIT if word.lower() in UNITS else 0)
     return xxhash.xxh3_64_intdigest(word.lower().encode()).to_bytes(8, "little") + bytes([flags])
 
 
@@ -66,8 +67,12 @@ class Templates:
     def __init__(self, remembered: int = REMEMBERED):
         self.known = Chunks(_token, remembered)
 
-    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Raw words, canonical hashes, and the kind of placeholder (0: an ordinary word)."""
+    def tokens(self, text: str) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
+        """Raw words, and canonical hashes with the kind of placeholder (0: an ordinary word).
+
+        Names cannot be told in a text without case, so a text with names has a second
+        form, in which they are ordinary words.
+        """
         raw = text.split()
         found = np.frombuffer(b"".join(map(self.known.__getitem__, raw)), RECORD)
         hashes, flags = found["hash"].astype(U), found["flags"]
@@ -76,9 +81,15 @@ class Templates:
         kind[(flags & CAPITAL > 0) & (before & STOP == 0)] = NAME
         kind[(flags & UNIT > 0) & (before & NUM > 0)] = UNIT
         kind[flags & NUM > 0] = NUM
-        for k, value in PLACE.items():
-            hashes[kind == k] = value
-        return raw, hashes, kind
+        plain = np.where(kind == NAME, 0, kind).astype(np.uint8)
+        forms = [kind, plain] if (plain != kind).any() else [kind]
+        out = []
+        for form in forms:
+            own = hashes.copy()
+            for k, value in PLACE.items():
+                own[form == k] = value
+            out.append((own, form))
+        return raw, out
 
     @staticmethod
     def windows(hashes: np.ndarray, kind: np.ndarray, width: int, least_fixed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +119,9 @@ def item_windows(benchmark: DataFrame, text: str, key: str, width: int, least_fi
         for batch in batches:
             rows = []
             for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist()):
-                raw, hashes, kind = make.tokens(body)
+                raw, forms = make.tokens(body)
                 own = min(width, len(raw))
-                if own:
+                for hashes, kind in forms if own else ():
                     for at, h in zip(*make.windows(hashes, kind, own, least_fixed)):
                         rows.append((int(h.view(np.int64)), item, int(at), own, len(raw), slots(raw, kind, int(at), own)))
             if rows:
@@ -135,8 +146,8 @@ def document_windows(docs: DataFrame, text: str, key: str, mask: np.ndarray, wid
         for batch in batches:
             rows = []
             for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-                raw, hashes, kind = make.tokens(body)
-                for width in widths:
+                raw, forms = make.tokens(body)
+                for (hashes, kind), width in product(forms, widths):
                     at, found = make.windows(hashes, kind, width, least_fixed)
                     for i in np.flatnonzero(mask[(found & bits).astype(np.int64)]):
                         rows.append((doc, int(found[i].view(np.int64)), int(at[i]), slots(raw, kind, int(at[i]), width)))
