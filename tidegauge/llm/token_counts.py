@@ -16,12 +16,10 @@ its bytes so far.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +28,6 @@ from tidegauge.llm import pieces
 #: Chunks that one Python worker remembers.
 REMEMBERED = 700_000
 
-#: The published pre-token pattern of this vocabulary family (a fixed value).
-PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: All but characters whose class no Unicode version disputes.
-DISPUTED = re.compile(r"[^\x00-\x1b\x20-\x7e\xa1-\u024f\u0400-\u044f\u2010-\u2027\u20ac]")
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -56,6 +50,11 @@ class PrefixTable:
                 self.halves.append((self.order[left], self.order[right]))
             self.joined.setdefault((self.order[left], self.order[right]), own)
         self.longest = max(map(len, self.order))
+        #: Length of the longest token by its last three characters.
+        self.reach: dict[str, int] = {}
+        for token in self.order:
+            if len(token) > 2:
+                self.reach[token[-3:]] = max(self.reach.get(token[-3:], 0), len(token))
         self.library = pieces.load(path)
         self.special = pieces.special_pattern(pieces.specials(path))
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -92,7 +91,7 @@ class PrefixTable:
         """Token count of every byte prefix of a pre-token, the empty one first."""
         piece = "".join(map(self.chars.__getitem__, pretoken.encode()))
         count, last = [0], [-1]
-        order, pairs, longest, ends = self.order, self.pairs, self.longest, self.ends
+        order, pairs, longest, ends, reach = self.order, self.pairs, self.longest, self.ends, self.reach
         if len(pairs) >= self.remembered:
             pairs.clear()
         if len(ends) >= self.remembered:
@@ -104,7 +103,8 @@ class PrefixTable:
                 count.append(known[0])
                 last.append(known[1])
                 continue
-            for start in range(end - longest if end > longest else 0, end):
+            far = reach.get(piece[end - 3:end], 2) if end > 2 else 2
+            for start in range(end - far if end > far else 0, end):
                 token = order.get(piece[start:end])
                 if token is not None:
                     if start:
@@ -127,8 +127,8 @@ class PrefixTable:
         return bytes([(b - a) & 255 for a, b in zip(count, count[1:])])
 
     def _pretokens(self, text: str) -> list[str]:
-        if not DISPUTED.search(text):
-            return PRETOKENS.findall(text)
+        if not pieces.DISPUTED.search(text):
+            return pieces.PRETOKENS.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)] if text else []
 
     def _chunk(self, text: str) -> bytes:
@@ -150,7 +150,7 @@ class PrefixTable:
         return table.tobytes()
 
     def _ordinary(self, text: str) -> bytes:
-        if pieces.has_runs(text) or not text.isascii() and DISPUTED.search(text):
+        if pieces.has_runs(text) or not text.isascii() and pieces.DISPUTED.search(text):
             return self._chunk(text)
         head, *tail = text.split(" ")
         return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
