@@ -35,6 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.llm.bitmaps import bit_of, id_bitmap, passing
 from tidegauge.llm.graphs import components
 from tidegauge.session import materialize
 
@@ -43,7 +44,6 @@ PERCENT = 80
 TILE_ROWS, BLOCK_ROWS = 64, 256
 #: The bucket table has four buckets per document within these bounds.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
-SEEN_BITS = 1 << 23
 
 U = np.uint64
 _MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
@@ -316,20 +316,14 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     A bitmap of fixed size says which documents may be wanted; the join behind it is exact.
     """
-    hashed = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(SEEN_BITS)).cast("int").alias("bit"))
-    words64 = hashed.groupBy(F.floor(F.col("bit") / 62).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 62)).alias("bits"))
-    rows = words64.toPandas()  # bounded by SEEN_BITS / 62
-    mask = np.zeros(SEEN_BITS // 62 + 1, np.int64)
-    mask[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    keyed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(SEEN_BITS)).cast("int"))
+    mask = id_bitmap(wanted.select(bit_of(F.col("doc_id")).alias("bit")))
+    keyed = docs.withColumn("bit", bit_of(F.col("doc_id")))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in _slices(batches, 512):
-            bit = batch.column("bit").to_numpy(zero_copy_only=False)
-            at = np.flatnonzero((mask[bit // 62] >> (bit % 62)) & 1)
+            at = passing(mask, batch.column("bit").to_numpy(zero_copy_only=False))
             if not len(at):
                 continue
             part = batch.take(pa.array(at))
