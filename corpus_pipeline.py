@@ -1,13 +1,77 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each stored and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of documents, whatever these are. Rows without a doc_id
+go through under an id made from their text; rows that share a doc_id are one document
+to the near-duplicate and decontamination stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegauge.llm.decontamination import leaks
+from tidegauge.llm.jaccard import near_duplicates
+from tidegauge.llm.mixing import mixed
+from tidegauge.llm.q9_token_files import digest
+from tidegauge.llm.quality import judged
+from tidegauge.llm.tables import dealt, table
+from tidegauge.session import materialize
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` with all columns, and an id that is never null; made-up ids lie above 2**62."""
+    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
+    return docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), made).alias("id"), docs["text"].alias("text"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base rules or the fences of their language and source reject."""
+    return judged(dealt(docs, "doc_id", "text")).where("kept").select("row.*")
+
+
+def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each near-duplicate component."""
+    keyed = _keyed(docs)
+    groups = near_duplicates(keyed.select("id", "text"), key="id")
+    stay = materialize(groups.where("id = component_id").select("id").distinct(), "pipeline-kept")
+    left = keyed.join(stay, "id", "left_semi")
+    again = F.row_number().over(Window.partitionBy("id").orderBy(F.md5("text")))  # rows that share a doc_id
+    return left.withColumn("again", again).where("again = 1").select("row.*")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark questions."""
+    keyed = _keyed(docs)
+    found = materialize(leaks(keyed.select("id", "text"), table(spark, sf_dir, "benchmark"), key="id").select("id"), "pipeline-leaks")
+    return keyed.join(found, "id", "left_anti").select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that each source comes near its target."""
+    return mixed(docs).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes token files; returns doc_id, start, n_tokens and ids_crc32 of every document in them."""
+    return digest(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", one_per_group),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", token_output),
+]
+
+#: Quantile sketches and byte-pair encoding have no SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
