@@ -70,3 +70,17 @@ def test_variants_for_higher_is_better(spark):
 def test_burn_rate_needs_both_windows(spark):
     df = spark.createDataFrame([(80.0, 80.0), (80.0, 99.0), (85.6, 80.0), (None, 80.0)], "a double, b double")
     assert [r["burning"] for r in mx.burn_rate_alert(df, "a", "b", 0.99).collect()] == [True, False, False, False]
+
+
+def test_null_labels_are_a_series(spark):
+    from datetime import datetime
+
+    from tidegauge.operators import metrics as mt
+
+    rows = [(None, datetime(2024, 1, 1, 0, i), float(v)) for i, v in enumerate((1, 4, 2))] + [("a", datetime(2024, 1, 2), 5.0)]
+    df = spark.createDataFrame(rows, "endpoint string, ts timestamp, value double")
+    got = sorted((r["endpoint"] or "", r["increase"]) for r in mt.counter_increments(df, ["endpoint"]).collect())
+    assert got == [("", 0.0), ("", 2.0), ("", 3.0), ("a", 0.0)]
+    folded = df.groupBy("endpoint", mt.step_start(F.col("ts"), 3600).alias("step")).agg(F.sum("value").alias("v"))
+    dense = mt.dense_steps(folded, ["endpoint"], 3600, ["v"])
+    assert dense.filter("endpoint IS NULL").agg(F.sum("v")).first()[0] == 7.0

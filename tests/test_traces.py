@@ -113,3 +113,15 @@ def test_decay_once_per_run_date(spark):
     get = lambda x: {r["name"]: r["confidence_score"] for r in x.collect()}
     assert get(once) == get(twice) == {"old": 40.0, "new": 80.0}
     assert get(later) == {"old": 20.0, "new": 80.0}
+
+
+def test_walk_with_cycles_self_parents_and_repeats(spark):
+    rows = [span("t", "0", None), span("t", "1", "0"), span("t", "x", "y"), span("t", "y", "x"), span("t", "z", "x"), span("t", "s", "s")]
+    assert sorted(walk(spark, rows)) == [("t", "0", 0, 1), ("t", "1", 1, 2)]
+    chain = [span("c", f"{i:04}", f"{i - 1:04}" if i else None) for i in range(9)]
+    assert sorted(walk(spark, chain * 2)) == [("c", f"{i:04}", i, i + 1) for i in range(9)]
+
+
+def test_walk_of_a_deep_chain(spark):
+    chain = [span("c", f"{i:04}", f"{i - 1:04}" if i else None) for i in range(1000)]
+    assert sorted(walk(spark, chain))[-1] == ("c", "0999", 999, 1000)

@@ -120,3 +120,33 @@ def test_five_indicators_per_journey(spark):
         '(sum(rate(http_requests_total{job="shop", endpoint="/api/pay", status_code=~"5.."}[5m])) / '
         'sum(rate(http_requests_total{job="shop", endpoint="/api/pay"}[5m]))) * 100'
     )
+
+
+def test_shown_samples_hold_nothing_to_redact(spark):
+    from tidegauge.functions.text import redact
+    from tidegauge.plans.vectors import links
+
+    found = links(spark, "/root/testdata/sf0.001")[0].filter("log_sample IS NOT NULL")
+    assert found.count() > 0
+    again = redact(found.select("log_sample"), "log_sample", mode="strict")
+    assert again.filter("redaction_hit").count() == 0
+
+
+def test_search_with_many_queries_has_one_plan(spark):
+    import numpy as np
+
+    from tidegauge.operators.vectors import batch_search
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"c{i}", rng.normal(size=8).tolist()) for i in range(60)], "capsule_id string, vector array<double>")
+    ask = [(f"q{i}", rng.normal(size=8).tolist()) for i in range(10_000)]
+    queries = spark.createDataFrame(ask, "query_id string, vector array<double>")
+    many = batch_search(rows, queries, 2, block_size=512)
+    few = batch_search(rows, queries.limit(3), 2)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(many) == size(few)
+    corpus = {r.capsule_id: np.array(r.vector) for r in rows.collect()}
+    got = {r.query_id: r.capsule_id for r in many.filter("position = 1").collect()}
+    assert len(got) == 10_000
+    for q, v in ask[::997]:
+        assert got[q] == max(corpus, key=lambda c: float(corpus[c] @ np.array(v)))

@@ -9,6 +9,7 @@ from tidegauge.functions.naming import (
     evidence_query, latency_expression, redaction_status, status_ratio_expression, visible_sample,
 )
 from tidegauge.functions.scoring import capsule_confidence
+from tidegauge.functions.text import redact
 from tidegauge.operators.vectors import above_floor, batch_search, embed_terms
 
 
@@ -86,10 +87,12 @@ def link_evidence(
         indicators.select(F.col("sli_id").alias("query_id"), "service_name", "sample_trace_ids"), "query_id"
     )
     status = redaction_status(F.col("redaction_applied"))
+    # samples hold raw messages; only what the strict rules leave is shown
+    rows = redact(rows.withColumn("_raw", first_log_sample(F.col("sample_array"), F.col("template"))), "_raw", "_shown", mode="strict")
     return rows.select(
         F.col("query_id").alias("sli_id"), "capsule_id", "service_name", "score", "position", "template", "count",
         pick_trace(F.col("sample_array"), F.col("sample_trace_ids")).alias("trace_id"),
-        visible_sample(first_log_sample(F.col("sample_array"), F.col("template")), status).alias("log_sample"),
+        visible_sample(F.col("_shown"), status).alias("log_sample"),
         status.alias("redaction_status"),
         contribution(F.col("score"), ["query_id"]).alias("confidence_contribution"),
     )

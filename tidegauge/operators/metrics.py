@@ -6,6 +6,8 @@ so windows over a series hold at most one row per step of the time range.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,13 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, count: str
     return hit.select(*keys, F.when(le == float("inf"), low).otherwise(inside).alias("quantile"))
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on labels, of which a missing one equals a missing one."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def counter_increments(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """Increase since the previous sample of a series; a drop means a reset.
 
@@ -84,7 +93,7 @@ def counter_increments(samples: DataFrame, keys: list[str], value: str = "value"
     last = day.groupBy(*keys, "_day").agg(F.max_by(value, "ts").alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_day")
     carried = last.select(*keys, "_day", F.lag("_last").over(across).alias("_carry"))
-    rows = day.withColumn("_prev", F.lag(value).over(within)).join(carried, [*keys, "_day"])
+    rows = joined_on(day.withColumn("_prev", F.lag(value).over(within)), carried, [*keys, "_day"])
     prev = F.coalesce("_prev", "_carry")
     return rows.withColumn(
         "increase", F.when(prev.isNull(), 0.0).when(F.col(value) < prev, F.col(value)).otherwise(F.col(value) - prev)
@@ -108,7 +117,7 @@ def dense_steps(folded: DataFrame, keys: list[str], seconds: int, measures: list
     grid = folded.select(*keys).distinct().join(F.broadcast(span), F.lit(True)).select(
         *keys, F.explode(F.sequence("lo", "hi", F.lit(seconds))).alias("step")
     )
-    return grid.join(folded, [*keys, "step"], "left").fillna(0, measures)
+    return joined_on(grid, folded, [*keys, "step"], "left").fillna(0, measures)
 
 
 def multi_window(

@@ -162,6 +162,8 @@ def rank_journeys(
             "latency_p95": F.col("avg_duration_ms") * 1.5,
         }
     )
+    # the maxima, the bands and the ranked rows all read it; discovery runs once
+    scored = materialize(scored, "ranked-journeys")
     top = scored.groupBy(*keys).agg(F.max("traffic_volume").alias("_mt"), F.max("latency_variance").alias("_mv"))
     # without a group the maxima are exactly one row
     scored = scored.join(top, keys) if keys else scored.join(F.broadcast(top), F.lit(True))
@@ -210,21 +212,26 @@ def duration_percentiles(spans: DataFrame) -> DataFrame:
     return exact.join(est, "entry_point")
 
 
-def breadth_first_order(spans: DataFrame, max_rounds: int = 20) -> DataFrame:
+def breadth_first_order(spans: DataFrame) -> DataFrame:
     """Position of every span in the breadth-first walk from its trace's root.
 
     Ancestor chains are found by pointer doubling: each round joins spans to the span
     their pointer reaches, so a trace of depth d takes log2(d) rounds. ``path`` lists
     the sibling keys from the root down; spans are ordered by depth, then path. The
     positions of one depth level are ranked apart and offset by the sizes of the levels
-    above, so a trace is never sorted in one task. Rounds are cut by a written table.
-    Spans not reachable from the root are left out; in a trace without a root every
-    span keeps its input id order at depth 0.
+    above. Rounds are cut by a written table.
+
+    Spans delivered twice count once; of differing parents a missing one, then the
+    smallest, holds. After round r every span down to depth 2**r is settled, so a round
+    that settles none leaves only spans that no root reaches: those of a cycle, those
+    whose parent is missing, and all below them. They are left out. In a trace without a
+    root every span keeps its input id order at depth 0.
     """
-    first_root = spans.filter(F.col("parent_span_id").isNull()).groupBy("trace_id").agg(
-        F.min("span_id").alias("root_id")
-    )
-    nodes = spans.select("trace_id", "span_id", "parent_span_id").join(first_root, "trace_id", "left")
+    own = spans.groupBy("trace_id", "span_id").agg(
+        F.bool_or(F.col("parent_span_id").isNull()).alias("top"), F.min("parent_span_id").alias("parent")
+    ).select("trace_id", "span_id", F.when(~F.col("top"), F.col("parent")).alias("parent_span_id"))
+    first_root = own.filter(F.col("parent_span_id").isNull()).groupBy("trace_id").agg(F.min("span_id").alias("root_id"))
+    nodes = own.join(first_root, "trace_id", "left")
     rootless = F.col("root_id").isNull()
     is_root = F.col("span_id") == F.col("root_id")
     state = nodes.select(
@@ -242,7 +249,7 @@ def breadth_first_order(spans: DataFrame, max_rounds: int = 20) -> DataFrame:
 
     state = land(state)
     settled, moving = [state.filter("done")], state.filter("not done")
-    for _ in range(max_rounds):
+    while not moving.isEmpty():
         # every moving pointer jumps to where its target points; one that has reached a
         # settled span is settled too
         targets = reduce(lambda a, b: a.unionByName(b), [*settled, moving]).select(
@@ -253,10 +260,10 @@ def breadth_first_order(spans: DataFrame, max_rounds: int = 20) -> DataFrame:
             "trace_id", "span_id", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"),
             F.col("done2").alias("done"),
         ))
-        settled.append(jumped.filter("done"))
-        moving = jumped.filter("not done")
-        if moving.isEmpty():
+        reached, moving = jumped.filter("done"), jumped.filter("not done")
+        if reached.isEmpty():
             break
+        settled.append(reached)
     state = reduce(lambda a, b: a.unionByName(b), settled)
     walk = state.withColumn("depth", F.size("path") - 1)
     level = walk.groupBy("trace_id", "depth").agg(F.count(F.lit(1)).alias("_n"))

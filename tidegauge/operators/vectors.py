@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from tidegauge.constants import EMBED_BATCH
 from tidegauge.session import materialize
 
-# queries per block: 2,048 vectors of 1,536 doubles are 25 MB per executor
-QUERY_BLOCK = 2048
+# queries and corpus rows per block: 2,048 and 8,192 vectors of 1,536 doubles are 25 and 100 MB in a task
+QUERY_BLOCK, CORPUS_BLOCK = 2048, 8192
 MIN_SIMILARITY = 0.5
 DIMENSION = 384
 SKETCH_BITS = 8
@@ -63,48 +63,31 @@ def above_floor(hits: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     return hits.filter(F.col("score") >= min_similarity)
 
 
-def _local_top_k(block: list[dict], k: int, same: list[str], timed: bool, skip_self: bool, radius: int | None):
-    """A mapInPandas body: best ``k`` of one task's rows for every query of the block."""
-    ids = np.asarray([q["query_id"] for q in block], dtype=object)
-    matrix = np.asarray([q["vector"] for q in block], dtype=np.float64).T
-    tags = {c: np.asarray([q[c] for q in block], dtype=object) for c in same}
-    since = np.asarray([q["_f"] for q in block]) if timed else None
-    until = np.asarray([q["_t"] for q in block]) if timed else None
-    cells = np.asarray([q["sketch"] for q in block]) if radius is not None else None
-
-    def keep_best(found: pd.DataFrame) -> pd.DataFrame:
-        ordered = found.sort_values(["q", "score", "capsule_id"], ascending=[True, False, True])
-        return ordered.groupby("q", sort=False).head(k)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"q": np.empty(0, int), "capsule_id": np.empty(0, object), "score": np.empty(0)})
+def _block_top_k(k: int, same: list[str], timed: bool, skip_self: bool, radius: int | None):
+    """A cogroup body: best ``k`` of one corpus block for every query of one query block."""
+    def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or block.empty:
+            return pd.DataFrame({"query_id": np.empty(0, object), "capsule_id": np.empty(0, object), "score": np.empty(0)})
+        ids, names = block["query_id"].to_numpy(), rows["capsule_id"].to_numpy()
+        matrix = np.stack(block["vector"].to_numpy()).astype(np.float64).T
+        # rounding makes equal vectors tie exactly, whatever block they sit in
+        scores = np.round(np.stack(rows["vector"].to_numpy()).astype(np.float64) @ matrix, 9)
+        if timed:
+            t = rows["_t"].to_numpy()[:, None]
+            scores[(t < block["_f"].to_numpy()[None, :]) | (t > block["_u"].to_numpy()[None, :])] = -np.inf
+        if radius is not None:
+            apart = np.bitwise_count(rows["sketch"].to_numpy()[:, None] ^ block["sketch"].to_numpy()[None, :])
+            scores[apart > radius] = -np.inf
+        if skip_self:
+            scores[names[:, None] == ids[None, :]] = -np.inf
         floor = np.full(len(ids), -np.inf)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            names = pdf["capsule_id"].to_numpy()
-            # rounding makes equal vectors tie exactly, whatever batch they sit in
-            scores = np.round(np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ matrix, 9)
-            for column, tag in tags.items():
-                scores[pdf[column].to_numpy()[:, None] != tag[None, :]] = -np.inf
-            if timed:
-                t = pdf["_t"].to_numpy()[:, None]
-                scores[(t < since[None, :]) | (t > until[None, :])] = -np.inf
-            if radius is not None:
-                apart = np.bitwise_count(pdf["sketch"].to_numpy()[:, None] ^ cells[None, :])
-                scores[apart > radius] = -np.inf
-            if skip_self:
-                scores[names[:, None] == ids[None, :]] = -np.inf
-            if len(names) > k:
-                floor = np.maximum(floor, np.partition(scores, len(names) - k, axis=0)[len(names) - k])
-            # rows that tie with the edge stay for the id rule
-            row, q = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
-            mine = pd.DataFrame({"q": q, "capsule_id": names[row], "score": scores[row, q]})
-            best = keep_best(pd.concat([best, mine]) if len(best) else mine)
-        if len(best):
-            yield pd.DataFrame(
-                {"query_id": ids[best["q"].to_numpy()], "capsule_id": best["capsule_id"], "score": best["score"]}
-            )
+        if len(names) > k:
+            floor = np.partition(scores, len(names) - k, axis=0)[len(names) - k]
+        # rows that tie with the edge stay for the id rule
+        row, q = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
+        found = pd.DataFrame({"q": q, "capsule_id": names[row], "score": scores[row, q]})
+        found = found.sort_values(["q", "score", "capsule_id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+        return pd.DataFrame({"query_id": ids[found["q"].to_numpy()], "capsule_id": found["capsule_id"], "score": found["score"]})
 
     return run
 
@@ -115,48 +98,34 @@ def batch_search(
 ) -> DataFrame:
     """Exact top ``k`` of every query: ``query_id, capsule_id, score, position``.
 
-    ``same`` names columns that must be equal in query and vector; ``timed`` limits a
-    query to vectors whose ``time_bucket`` lies in its ``time_from``..``time_to``.
-    ``radius`` limits a query to vectors whose ``sketch`` differs in that many bits.
-    Query blocks are bounded by ``block_size`` and each block is one scan; any number
-    of queries is answered exactly.
+    ``same`` names columns that must be equal in query and vector; they are part of the
+    key that rows and queries meet by. ``timed`` limits a query to vectors whose
+    ``time_bucket`` lies in its ``time_from``..``time_to``; ``radius`` to vectors whose
+    ``sketch`` differs in that many bits. Corpus and queries are cut into hashed blocks
+    of about ``CORPUS_BLOCK`` and ``block_size`` rows; each pair of blocks is one task's
+    matrix product, and only its best ``k`` rows per query are shuffled on. Neither side
+    passes through the driver, and the plan is the same for any number of queries.
     """
-    fields = ["query_id", "vector", *same]
-    if timed:
-        fields += [F.unix_seconds("time_from").alias("_f"), F.unix_seconds("time_to").alias("_t")]
-    if radius is not None:
-        fields.append("sketch")
-    wanted = queries.select(*fields)
-    # counted and then read block by block, so it is derived only once
+    wanted = queries.select(
+        "query_id", "vector", *same, *(["sketch"] if radius is not None else []),
+        *([F.unix_seconds("time_from").alias("_f"), F.unix_seconds("time_to").alias("_u")] if timed else []),
+    )
+    # counted and then read, so it is derived only once
     wanted = materialize(wanted, "queries")
-    n = wanted.count()
-    corpus_fields = ["capsule_id", "vector", *same]
-    corpus_fields += [F.unix_seconds("time_bucket").alias("_t")] if timed else []
-    corpus_fields += ["sketch"] if radius is not None else []
-    corpus = vectors.select(*corpus_fields)
-    n_blocks = max(1, -(-n // block_size))
-    if n_blocks > 1:
-        # hash blocks are uneven; twice as many keeps each near the bound
-        n_blocks *= 2
-        wanted = wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    found = None
-    bits = SKETCH_BITS
-    masks = [m for m in range(1 << bits) if radius is not None and m.bit_count() <= radius]
-    for b in range(n_blocks):
-        part = wanted if n_blocks == 1 else wanted.filter(F.col("_block") == b)
-        block = [r.asDict() for r in part.collect()]
-        if not block:
-            continue
-        near = corpus
-        if radius is not None:
-            # cells no query of the block probes are pruned before the scan is scored
-            probed = {q["sketch"] ^ m for q in block for m in masks}
-            if len(probed) < 1 << bits:
-                near = corpus.filter(F.col("sketch").isin(sorted(probed)))
-        local = near.mapInPandas(_local_top_k(block, k, list(same), timed, skip_self, radius), HITS)
-        found = local if found is None else found.unionByName(local)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], HITS + ", position int")
+    corpus = vectors.select(
+        "capsule_id", "vector", *same, *(["sketch"] if radius is not None else []),
+        *([F.unix_seconds("time_bucket").alias("_t")] if timed else []),
+    )
+    n_queries, n_rows = max(1, -(-wanted.count() // block_size)), max(1, -(-vectors.count() // CORPUS_BLOCK))
+
+    def dealt(df: DataFrame, own: str, key: str, n: int, other: str, m: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, every)
+
+    keys = [*same, "_c", "_q"]
+    rows = dealt(corpus, "_c", "capsule_id", n_rows, "_q", n_queries).groupBy(*keys)
+    blocks = dealt(wanted, "_q", "query_id", n_queries, "_c", n_rows).groupBy(*keys)
+    found = rows.cogroup(blocks).applyInPandas(_block_top_k(k, list(same), timed, skip_self, radius), HITS)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "capsule_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 

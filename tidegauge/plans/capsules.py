@@ -113,16 +113,21 @@ def capsule_confidence_query(spark, d):
 
 
 @query("embedding_gate", f"""
-WITH {TEL}, r AS (SELECT service_name, message <> {redact_sql('message')} AS hit FROM tel)
-SELECT service_name, count(*) AS admitted_checked, count(*) FILTER (hit) AS admitted_hit, count(*) FILTER (NOT hit) AS refused_hit
+WITH {TEL}, r AS (SELECT service_name, severity <> 'WARN' AS checked, message <> {redact_sql('message')} AS hit FROM tel)
+SELECT service_name, count(*) FILTER (checked) AS admitted, count(*) FILTER (checked AND NOT hit) AS admitted_clean, count(*) FILTER (NOT checked) AS refused
 FROM r GROUP BY service_name""")
 def embedding_gate(spark, d):
-    rows = redact(adapters.telemetry(spark, d).select("service_name", "message"), "message")
-    checked, _ = cp.ready_for_embedding(rows)
-    return checked.groupBy("service_name").agg(
-        F.count(F.lit(1)).alias("admitted_checked"), F.count_if("redaction_hit").alias("admitted_hit"),
-        F.count_if(~F.col("redaction_hit")).alias("refused_hit"),
+    """Warnings stand for a feed that skips redaction; its text is refused, clean text of the others is not."""
+    events = adapters.telemetry(spark, d).select("service_name", "severity", "message")
+    warning = F.col("severity") == "WARN"
+    skipped = events.filter(warning).withColumn("redaction_hit", F.lit(False))
+    rows = redact(events.filter(~warning), "message").unionByName(skipped, allowMissingColumns=True)
+    admitted, refused = cp.ready_for_embedding(rows)
+    kept = admitted.groupBy("service_name").agg(
+        F.count(F.lit(1)).alias("admitted"), F.count_if(~F.col("redaction_hit")).alias("admitted_clean")
     )
+    out = kept.join(refused.groupBy("service_name").agg(F.count(F.lit(1)).alias("refused")), "service_name", "full")
+    return out.fillna(0, ["admitted", "admitted_clean", "refused"])
 
 
 @query("capsules_by_service_id", f"""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidegauge.plans.ctes import REQ, SPANS, TEL
 from tidegauge.plans.registry import query
 from tidegauge.sources import adapters, ingest
-from tidegauge.sources.tables import spread, table
+from tidegauge.sources.tables import table
 
 
 def metric_rows(spark, d):
@@ -57,7 +57,7 @@ def trace_export_ingest(spark, d):
 
 def bodies(spark, d):
     """One request body per conversation turn; system turns send broken JSON."""
-    conv = spread(table(spark, d, "conversations"))
+    conv = table(spark, d, "conversations")
     logs = F.to_json(F.array(F.struct(
         F.when(F.col("role") == "user", F.col("role")).alias("service"), F.col("text").alias("message"),
         F.when(F.col("turn") > 0, "WARN").alias("severity"),
@@ -95,7 +95,7 @@ def all_collectors(spark, d):
 SELECT doc_id, CASE WHEN strlen(text) > 102400 THEN -1 ELSE strlen(text) END AS kept_bytes,
   CASE WHEN strlen(text) > 102400 THEN 'raw/2024-01-01/' || doc_id ELSE 'inline' END AS blob_key FROM documents""")
 def oversize_split(spark, d):
-    rows = spread(table(spark, d, "documents")).select(
+    rows = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("event_id"), F.col("text").alias("message"),
         F.lit("2024-01-01").cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("raw_blob_s3_key"),
     )

@@ -83,12 +83,13 @@ class LetterEmbedder:
 
 
 def pattern_rows(spark, d):
+    """Patterns; those that also came from warnings, which stand for a feed that skips redaction, are not cleared."""
     rows = cp.hourly_fingerprints(adapters.telemetry(spark, d))
-    return rows.groupBy("fingerprint_hash", "template").agg(F.bool_or("redaction_hit").alias("redaction_applied"))
+    return rows.groupBy("fingerprint_hash", "template").agg(F.bool_and(F.col("severity") != "WARN").alias("redaction_applied"))
 
 
 @query("stream_embeddings", f"""
-WITH {FP}, t AS (SELECT fingerprint_hash, template, bool_or(message <> redacted) AS ok FROM fp GROUP BY ALL)
+WITH {FP}, t AS (SELECT fingerprint_hash, template, bool_and(severity <> 'WARN') AS ok FROM fp GROUP BY ALL)
 SELECT fingerprint_hash, CASE WHEN ok THEN 'embedded' ELSE 'refused' END AS branch, CASE WHEN ok THEN 26 ELSE 0 END AS dimension FROM t""")
 def stream_embeddings(spark, d):
     patterns = streamed(spark, pattern_rows(spark, d), "capsule-events")

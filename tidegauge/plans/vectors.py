@@ -6,7 +6,7 @@ from tidegauge.functions import naming
 from tidegauge.operators import capsules as cp
 from tidegauge.operators import evidence as ev
 from tidegauge.operators import vectors as vc
-from tidegauge.plans.ctes import CAPSULES, CATALOG, FP, HITS, VEC
+from tidegauge.plans.ctes import CAPSULES, CATALOG, FP, HITS, VEC, redact_sql
 from tidegauge.plans.registry import query, r6, stamp
 from tidegauge.session import materialize
 from tidegauge.sources import adapters
@@ -135,10 +135,10 @@ _JOURNEY_TEXT = "checkout request failed payment account"
 def evidence_parts(spark, d):
     """Indicators of every service (five each) and the capsules they may cite."""
     rows = cp.hourly_templates(adapters.telemetry(spark, d)).select(
-        "template", "service_name", "redaction_hit", "event_id", "attributes"
+        "template", "service_name", "redaction_checked", "event_id", "attributes"
     )
     caps = rows.groupBy("template", "service_name").agg(
-        F.count(F.lit(1)).alias("count"), F.bool_or("redaction_hit").alias("redaction_applied")
+        F.count(F.lit(1)).alias("count"), F.bool_and("redaction_checked").alias("redaction_applied")
     )
     sampled = rows.select("template", "service_name", "event_id", "attributes")
     picked = cp.bottom_k(sampled, ["template", "service_name"], "event_id")
@@ -168,8 +168,8 @@ def links(spark, d):
 
 
 _LINKS = FP + f""",
-cc AS (SELECT template, service_name, md5(sha256(template) || '|' || service_name) AS capsule_id, count(*) AS count, bool_or(message <> redacted) AS redacted_any FROM fp GROUP BY ALL),
-smp AS (SELECT template, service_name, message, trace_id, kind, value, row_number() OVER (PARTITION BY template, service_name ORDER BY h, event_id) AS rk FROM fp),
+cc AS (SELECT template, service_name, md5(sha256(template) || '|' || service_name) AS capsule_id, count(*) AS count, TRUE AS redacted_any FROM fp GROUP BY ALL),
+smp AS (SELECT template, service_name, {redact_sql('message', strict=True)} AS message, trace_id, kind, value, row_number() OVER (PARTITION BY template, service_name ORDER BY h, event_id) AS rk FROM fp),
 strace AS (SELECT template, service_name, rk, message, CASE WHEN kind = 'error' OR (kind = 'click' AND value >= 10) THEN trace_id END AS t FROM smp WHERE rk <= 10),
 jt AS (SELECT service_name, max(trace_id) AS jt FROM fp GROUP BY service_name),
 ct AS (SELECT template, service_name, coalesce(arg_min(t, rk) FILTER (t = jt), arg_min(t, rk) FILTER (t IS NOT NULL)) AS trace_id, arg_min(message, rk) AS log_sample

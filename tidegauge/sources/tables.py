@@ -9,13 +9,3 @@ from tidegauge.session import prepare
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Gives a scan of few large files to all cores.
-
-    Only a scan with less than half as many splits as there are cores is shuffled, which
-    is a small input by definition; a large table is left as it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -54,6 +54,6 @@ def with_fallback(
         try:
             primary(df, batch_id)
         except Exception as error:  # any failure of the outer store
-            fallback(df.withColumn("error", F.lit(str(error)[:500])), batch_id)
+            fallback(df.withColumn("error", F.lit(str(error))), batch_id)
 
     return write
