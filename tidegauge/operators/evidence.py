@@ -11,6 +11,7 @@ from tidegauge.functions.naming import (
 from tidegauge.functions.scoring import capsule_confidence
 from tidegauge.functions.text import redact
 from tidegauge.operators.vectors import above_floor, batch_search, embed_terms
+from tidegauge.sources.stores import upsert
 
 
 def indicator_candidates(journeys: DataFrame, service: Column) -> DataFrame:
@@ -108,6 +109,12 @@ def evidence_summary(links: DataFrame, by: str = "sli_id") -> DataFrame:
     )
 
 
+def store_evidence(path: str, links: DataFrame, as_of) -> None:
+    """Keeps the links of a run as evidence pointers; a run that is repeated replaces its own rows."""
+    stamped = links.withColumn("created_at", F.lit(as_of).cast("timestamp"))
+    upsert(path, stamped, ["sli_id", "capsule_id"], "created_at")
+
+
 def indicators_with_evidence(indicators: DataFrame, pointers: DataFrame) -> DataFrame:
     """Indicators with their evidence, largest contribution first; none gives an empty list.
 

@@ -108,7 +108,7 @@ def ensure_default_policy(policies: DataFrame) -> DataFrame:
     )
 
 
-def applicable_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
+def applicable_policies(requests: DataFrame, policies: DataFrame, salts: int = 16) -> DataFrame:
     """Requests with the policies of their scope.
 
     Global, organisation and service policies are three equi joins on (scope, scope_id)
@@ -116,7 +116,6 @@ def applicable_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
     that does not apply. A global scope key would gather every request in one task, so
     requests are salted and the global policies copied once per salt.
     """
-    salts = 16
     scopes = F.array(
         F.struct(F.lit("service").alias("scope"), F.col("service_id").cast("string").alias("scope_id")),
         F.struct(F.lit("organization").alias("scope"), F.col("organization_id").cast("string").alias("scope_id")),

@@ -235,10 +235,11 @@ def backtest(
         "threshold_value", F.lit(float(threshold_override))
     )
     bad = breaches(F.col("value"), F.col("comparison_operator"), F.col("threshold_value"))
-    stats = limits.join(history, key, "left").groupBy(*limits.columns).agg(
-        F.coalesce(F.sum(F.when(bad, F.col("_c"))), F.lit(0)).alias("breach_count"),
-        F.coalesce(F.sum("_c"), F.lit(0)).alias("total_samples"),
+    # an inner join first: its skewed sides can be split, those of an outer join cannot
+    met = history.join(limits, key).groupBy(*limits.columns).agg(
+        F.coalesce(F.sum(F.when(bad, F.col("_c"))), F.lit(0)).alias("breach_count"), F.sum("_c").alias("total_samples")
     )
+    stats = joined_on(limits.dropDuplicates(), met, limits.columns, "left").fillna(0, ["breach_count", "total_samples"])
     pct = F.when(F.col("total_samples") > 0, F.col("breach_count") / F.col("total_samples") * 100).otherwise(0.0)
     return stats.withColumns(
         {

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def value_bucket(value: Column) -> Column:
-    """A coarse bucket that never decreases with the value (256 per octave)."""
-    return F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 256)
+    """A coarse bucket that never decreases with the value: 1,024 per octave, from the smallest doubles on."""
+    return F.when(value != 0, F.signum(value) * F.floor((F.log2(F.abs(value)) + 1100) * 1024)).otherwise(0.0)
 
 
 def values_at_ranks(

@@ -114,7 +114,8 @@ def model_embeddings(spark, d):
 
 @query("stream_consumer", f"""
 WITH {CAPSULES}, s AS (SELECT 'svc-' || s_suppkey AS service_name, s_suppkey AS service_id FROM supplier)
-SELECT fingerprint_hash, service_id, CAST(epoch(time_bucket) AS BIGINT) AS bucket, len(string_split(sample_event_ids, ',')) AS samples, count FROM cap JOIN s USING (service_name)""")
+SELECT fingerprint_hash, service_id, CAST(epoch(time_bucket) AS BIGINT) AS bucket, len(string_split(sample_event_ids, ',')) AS samples, count,
+  CASE WHEN service_id IS NULL THEN 'unknown service' END AS reason FROM cap LEFT JOIN s USING (service_name)""")
 def stream_consumer(spark, d):
     caps = cp.build_capsules(adapters.telemetry(spark, d)).select(
         "fingerprint_hash", "template", "service_name", "severity", "count", "sample_event_ids", "time_bucket"
@@ -124,10 +125,17 @@ def stream_consumer(spark, d):
     schema = "fingerprint_hash string, template string, service_name string, severity string, count bigint, sample_event_ids array<string>, time_bucket timestamp"
     parsed = spark.readStream.text(topic).select(F.from_json("value", schema).alias("c")).select("c.*")
     named = parsed.withColumn("sample_array", stores.expand_sample_ids(F.col("sample_event_ids"), F.col("time_bucket"))).drop("sample_event_ids")
-    found, _ = cp.with_service_id(named, adapters.services(spark, d))
-    table = workspace(spark, "capsules")
-    finish(found.writeStream.option("checkpointLocation", workspace(spark, "checkpoint")).foreachBatch(
-        sinks.upsert_writer(table, ["fingerprint_hash", "service_id", "time_bucket"], "time_bucket")).trigger(**ONCE).start())
-    return spark.read.parquet(table).select(
-        "fingerprint_hash", "service_id", F.unix_seconds("time_bucket").alias("bucket"), F.size("sample_array").alias("samples"), "count"
+    services = adapters.services(spark, d)
+    table, dead = workspace(spark, "capsules"), workspace(spark, "dead-letters")
+    keep, refuse = sinks.upsert_writer(table, ["fingerprint_hash", "service_id", "time_bucket"], "time_bucket"), sinks.batch_writer(dead)
+
+    def each(df, batch_id):
+        found, missed = cp.with_service_id(df, services)
+        keep(found, batch_id)
+        refuse(missed.withColumn("reason", F.lit("unknown service")), batch_id)
+
+    finish(named.writeStream.option("checkpointLocation", workspace(spark, "checkpoint")).foreachBatch(each).trigger(**ONCE).start())
+    rows = spark.read.parquet(table).withColumn("reason", F.lit(None).cast("string"))
+    return rows.unionByName(spark.read.parquet(dead).drop("batch_id"), allowMissingColumns=True).select(
+        "fingerprint_hash", "service_id", F.unix_seconds("time_bucket").alias("bucket"), F.size("sample_array").alias("samples"), "count", "reason"
     )

@@ -116,9 +116,8 @@ def breadth_first_order(spark, d):
 
 
 def stored_journeys(spark, d):
-    """What an earlier run knew: journeys first seen before the end of February 1995."""
-    j = adapters.journeys(spark, d)
-    return j.filter(F.col("discovered_at") < "1995-02-27").select(
+    """What an earlier run knew."""
+    return adapters.journeys(spark, d).select(
         "service_id", "name", "entry_point", "exit_point", "traffic_volume_per_day",
         F.lit(80.0).alias("confidence_score"), F.array(F.lit("old")).alias("sample_trace_ids"), "discovered_at", "last_seen_at",
     )
@@ -126,15 +125,15 @@ def stored_journeys(spark, d):
 
 @query("journey_merge", """
 WITH j AS (SELECT 'part-' || l_partkey AS name, min(l_suppkey) AS service_id, count(*) AS traffic, min(l_shipdate) AS first, max(l_shipdate) AS last, l_partkey FROM lineitem GROUP BY l_partkey)
-SELECT service_id, name, CASE WHEN last < '2001-09-07' AND first < '1995-02-27' THEN traffic ELSE traffic * 2 END AS traffic_volume_per_day,
-  CASE WHEN last < '2001-09-07' AND first < '1995-02-27' THEN 80.0 ELSE 90.0 END AS confidence_score,
-  CASE WHEN last < '2001-09-07' AND first < '1995-02-27' THEN 'old' ELSE 'new' END AS sample_trace_ids,
-  strftime(CASE WHEN first < '1995-02-27' THEN first ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS discovered_at,
-  strftime(CASE WHEN last < '2001-09-07' AND first < '1995-02-27' THEN last ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS last_seen_at
-FROM j WHERE first < '1995-02-27' OR last >= '2001-09-07'""")
+SELECT service_id, name, CASE WHEN last < '2001-09-07' THEN traffic ELSE traffic * 2 END AS traffic_volume_per_day,
+  CASE WHEN last < '2001-09-07' THEN 80.0 ELSE 90.0 END AS confidence_score, CASE WHEN last < '2001-09-07' THEN 'old' ELSE 'new' END AS sample_trace_ids,
+  strftime(first, '%Y-%m-%d') AS discovered_at, strftime(CASE WHEN last < '2001-09-07' THEN last ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS last_seen_at FROM j
+UNION ALL SELECT service_id, name || '-next', traffic * 2, 90.0, 'new', '2030-01-01', '2030-01-01' FROM j WHERE last < '2001-09-07'""")
 def journey_merge(spark, d):
-    fresh = adapters.journeys(spark, d).filter(F.col("last_seen_at") >= "2001-09-07").select(
-        "service_id", "name", "entry_point", "exit_point", (F.col("traffic_volume_per_day") * 2).alias("traffic_volume_per_day"),
+    """The fresh run finds the journeys still seen late, and a successor of every other one."""
+    late = F.when(F.col("last_seen_at") >= "2001-09-07", F.col("name")).otherwise(F.concat("name", F.lit("-next")))
+    fresh = adapters.journeys(spark, d).select(
+        "service_id", late.alias("name"), "entry_point", "exit_point", (F.col("traffic_volume_per_day") * 2).alias("traffic_volume_per_day"),
         F.lit(90.0).alias("confidence_score"), F.array(F.lit("new")).alias("sample_trace_ids"),
     )
     merged = jn.merge_journeys(stored_journeys(spark, d), fresh, "2030-01-01")
@@ -146,7 +145,7 @@ def journey_merge(spark, d):
 
 @query("stale_journeys", """
 WITH j AS (SELECT 'part-' || l_partkey AS name, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY l_partkey)
-SELECT name, CASE WHEN last < TIMESTAMP '2001-12-01' - INTERVAL 7 DAY THEN 40.0 ELSE 80.0 END AS confidence_score FROM j WHERE first < '1995-02-27'""")
+SELECT name, CASE WHEN last < TIMESTAMP '2001-12-01' - INTERVAL 7 DAY THEN 40.0 ELSE 80.0 END AS confidence_score FROM j""")
 def stale_journeys(spark, d):
     once = jn.decay_stale(stored_journeys(spark, d), "2001-12-01")
     # a second run on the same date changes nothing

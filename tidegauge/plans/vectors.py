@@ -8,7 +8,7 @@ from tidegauge.operators import evidence as ev
 from tidegauge.operators import vectors as vc
 from tidegauge.plans.ctes import CAPSULES, CATALOG, FP, HITS, VEC, redact_sql
 from tidegauge.plans.registry import query, r6, stamp
-from tidegauge.session import materialize
+from tidegauge.session import materialize, workspace
 from tidegauge.sources import adapters
 
 
@@ -201,6 +201,19 @@ def evidence_links(spark, d):
     return links(spark, d)[0].withColumns({"score": r6("score"), "confidence_contribution": r6("confidence_contribution")})
 
 
+@query("stored_evidence", f"""
+WITH {_LINKS} SELECT sli_id, capsule_id, trace_id, log_sample, redaction_status, round(contribution, 6) AS confidence_contribution FROM lk""")
+def stored_evidence(spark, d):
+    """Evidence pointers as a later run reads them, stored twice as by a run that was repeated."""
+    path = workspace(spark, "evidence")
+    found = materialize(links(spark, d)[0], "links")
+    for _ in range(2):
+        ev.store_evidence(path, found, "2024-06-01")
+    return spark.read.parquet(path).select(
+        "sli_id", "capsule_id", "trace_id", "log_sample", "redaction_status", r6("confidence_contribution").alias("confidence_contribution")
+    )
+
+
 @query("evidence_summary", f"""
 WITH {_LINKS} SELECT sli_id, count(*) AS total_evidence_count, round(avg(score), 6) AS avg_similarity, arg_min(capsule_id, position) AS top_capsule_id,
   round(max(score), 6) AS top_similarity, count(*) FILTER (redaction_status = 'redacted') AS redacted_count FROM lk GROUP BY sli_id""")

@@ -85,13 +85,13 @@ def unexpired(df: DataFrame, time_column: str, as_of, days: int) -> DataFrame:
     return df.filter(F.to_date(time_column) >= F.to_date(F.lit(as_of)) - F.lit(days))
 
 
-def compact(path: str, spark: SparkSession, target: str, as_of, older_than_days: int, segment: str, order: str) -> None:
+def compact(path: str, spark: SparkSession, target: str, as_of, older_than_days: int, segment: str, order: str, salts: int = 8) -> None:
     """Rewrites old days segmented by ``segment``, newest first, with strong compression.
 
     The salt splits one segment that owns a day; readers see the same rows.
     """
     old = spark.read.parquet(path).filter(F.col("day") < F.to_date(F.lit(as_of)) - F.lit(older_than_days))
-    salt = F.pmod(F.xxhash64(order), F.lit(8))
+    salt = F.pmod(F.xxhash64(order), F.lit(salts))
     old.repartition("day", segment, salt).sortWithinPartitions("day", segment, F.col(order).desc()).write.mode(
         "overwrite"
     ).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(target)

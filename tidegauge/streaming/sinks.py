@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.capsules import split_valid
+from tidegauge.session import discard, materialize, workspace
 from tidegauge.sources.stores import upsert
 
 
@@ -36,11 +37,13 @@ def split_writer(good_path: str, dead_path: str) -> Callable[[DataFrame, int], N
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        tagged = f"{good_path}/_staging/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(tagged)
-        valid, dead = split_valid(spark.read.schema(df.schema).parquet(tagged))
-        valid.write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
-        dead.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        tagged = workspace(spark, "batch")
+        try:
+            valid, dead = split_valid(materialize(df, "batch", tagged))
+            valid.write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+            dead.write.mode("overwrite").parquet(f"{dead_path}/batch_id={batch_id}")
+        finally:
+            discard(spark, tagged)
 
     return write
 
@@ -48,12 +51,20 @@ def split_writer(good_path: str, dead_path: str) -> Callable[[DataFrame, int], N
 def with_fallback(
     primary: Callable[[DataFrame, int], None], fallback: Callable[[DataFrame, int], None]
 ) -> Callable[[DataFrame, int], None]:
-    """Sends a batch to the fallback when the primary write fails, so the stream goes on."""
+    """Sends a batch to the fallback when the primary write fails, so the stream goes on.
+
+    The batch is stored first, so whatever made it (a model, say) runs once.
+    """
 
     def write(df: DataFrame, batch_id: int) -> None:
+        staged = workspace(df.sparkSession, "batch")
         try:
-            primary(df, batch_id)
-        except Exception as error:  # any failure of the outer store
-            fallback(df.withColumn("error", F.lit(str(error))), batch_id)
+            rows = materialize(df, "batch", staged)
+            try:
+                primary(rows, batch_id)
+            except Exception as error:  # any failure of the outer store
+                fallback(rows.withColumn("error", F.lit(str(error))), batch_id)
+        finally:
+            discard(df.sparkSession, staged)
 
     return write
