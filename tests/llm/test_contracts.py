@@ -281,7 +281,7 @@ def test_decontamination(spark, queries, folder, odd):
             (8, "a tiny item here"), (9, " ".join(other.split()[:9]))]
     got = {r.doc_id: (r["items"], r.changed) for r in rows(leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench))}
     assert got == {1: ([1], False), 2: ([1], True), 4: ([2], False), 8: ([4], False), 9: ([2], False)}
-    assert queries["op5_decontamination"](spark, folder).count() == odd.count()
+    assert [(r.doc_id, r.contaminated) for r in rows(queries["op5_decontamination"](spark, folder))] == []
 
 
 def edits(a, b):

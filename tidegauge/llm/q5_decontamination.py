@@ -1,4 +1,4 @@
-"""op5: which documents hold benchmark questions, as they are or with other values."""
+"""op5: the documents that hold benchmark questions, as they are or with other values."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from tidegauge.llm.tables import table
 
 @query("op5_decontamination")
 def decontamination(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = leaks(docs, table(spark, folder, "benchmark")).withColumnRenamed("doc_id", "d")
-    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("d")), "left").select(
-        "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("item_ids"),
-        F.coalesce("covered", F.lit(0)).cast("long").alias("covered"), F.coalesce("changed", F.lit(False)).alias("changed"),
-    )
+    """One row per contaminated document; documents that are clean have none."""
+    found = leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), F.col("items").alias("item_ids"), "covered", "changed")
