@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.constants import (
-    ARTIFACT_COST_USD, DEFAULT_ARTIFACT_COST_USD, DEFAULT_POLICY, INVARIANTS, POLICY_SCOPES,
+    APPROVAL_STATUSES, ARTIFACT_COST_USD, ARTIFACT_TYPES, COMPARISON_OPERATORS, DEFAULT_ARTIFACT_COST_USD, DEFAULT_POLICY,
+    DEPLOYMENT_STATUSES, ENFORCEMENT_MODES, ENVIRONMENTS, INVARIANTS, METRIC_TYPES, POLICY_SCOPES, REDACTION_STATUSES,
+    SERVICE_STATUSES, SLO_SEVERITIES, SLO_VARIANTS, VALIDATION_STATUSES,
 )
 from tidegauge.functions.naming import bundle_path
 
@@ -206,6 +208,27 @@ def bundles(artifacts: DataFrame, service: Column) -> tuple[DataFrame, DataFrame
     )
 
 
+def constraint_rules(kind: str, columns: list[str]) -> dict[str, Column]:
+    """Value constraints of a stored table, for those of its columns that are present."""
+    one_of = {
+        "service": {"environment": ENVIRONMENTS, "status": SERVICE_STATUSES},
+        "indicator": {"metric_type": METRIC_TYPES},
+        "objective": {"comparison_operator": COMPARISON_OPERATORS, "severity": SLO_SEVERITIES, "variant": SLO_VARIANTS},
+        "artifact": {
+            "artifact_type": ARTIFACT_TYPES, "validation_status": VALIDATION_STATUSES, "approval_status": APPROVAL_STATUSES,
+            "deployment_status": DEPLOYMENT_STATUSES,
+        },
+        "policy": {"scope": POLICY_SCOPES, "enforcement_mode": ENFORCEMENT_MODES},
+        "evidence": {"redaction_status": REDACTION_STATUSES},
+    }
+    percent = {
+        "journey": ["confidence_score"], "indicator": ["confidence_score"], "objective": ["target_percentage"],
+        "evidence": ["confidence_contribution"],
+    }
+    rules = {c: F.col(c).isin(values) for c, values in one_of.get(kind, {}).items() if c in columns}
+    return rules | {c: F.col(c).between(0, 100) for c in percent.get(kind, []) if c in columns}
+
+
 def domain_violations(df: DataFrame, id_col: str, rules: dict[str, Column]) -> DataFrame:
     """Ids and rule names of rows that break a rule (null counts as a break)."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

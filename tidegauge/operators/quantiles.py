@@ -1,4 +1,4 @@
-"""Exact order statistics per group that never sort a whole group in one task."""
+"""Exact order statistics per group; a task sorts the distinct values of one value bucket, not of a group."""
 
 from __future__ import annotations
 

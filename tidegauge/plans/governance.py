@@ -201,6 +201,29 @@ def default_policy(spark, d):
     )
 
 
+@query("constraint_violations", """
+WITH r AS (
+  SELECT 'service' AS kind, (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey) AS rows, 0 AS broken UNION ALL
+  SELECT 'indicator', (SELECT count(*) FROM part), 0 UNION ALL
+  SELECT 'objective', (SELECT count(*) FROM part WHERE p_size < 50), (SELECT count(*) FROM part WHERE p_size < 50 AND p_size * 2.5 > 100) UNION ALL
+  SELECT 'artifact', (SELECT 4 * count(*) FROM part), 0 UNION ALL
+  SELECT 'policy', (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier WHERE s_acctbal > 5000) + 1, 0)
+SELECT kind, CAST(rows AS BIGINT) AS rows, CAST(broken AS BIGINT) AS broken FROM r""")
+def constraint_violations(spark, d):
+    """Stored tables against their value constraints; objectives take 2.5 times the part size as target."""
+    targets = adapters.objectives(spark, d).withColumn("target_percentage", F.col("threshold_value") * 2.5)
+    tables = {
+        "service": (adapters.services(spark, d), "service_id"), "indicator": (adapters.indicators(spark, d), "sli_id"),
+        "objective": (targets, "slo_id"), "artifact": (adapters.artifacts(spark, d), "artifact_id"), "policy": (policies(spark, d), "name"),
+    }
+    out = None
+    for kind, (df, key) in tables.items():
+        broken = gv.domain_violations(df, key, gv.constraint_rules(kind, df.columns)).agg(F.count(F.lit(1)).alias("broken"))
+        row = df.agg(F.count(F.lit(1)).alias("rows")).join(broken, F.lit(True)).select(F.lit(kind).alias("kind"), "rows", "broken")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("catalog_domain_violations", f"""
 WITH {CATALOG} SELECT rule, count(*) AS rows FROM (
   SELECT 'status' AS rule FROM services WHERE status <> 'active' UNION ALL
