@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from tidegauge.llm.licenses import scan
 from tidegauge.llm.registry import query
-from tidegauge.llm.tables import dealt, table
+from tidegauge.llm.tables import table
 
 
 @query("op2_licenses")
 def licenses(spark, folder):
-    return scan(dealt(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"))
+    return scan(table(spark, folder, "documents").select("doc_id", "text"))
