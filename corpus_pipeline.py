@@ -16,7 +16,7 @@ from tidegauge.llm.jaccard import near_duplicates
 from tidegauge.llm.mixing import mixed
 from tidegauge.llm.q9_token_files import digest
 from tidegauge.llm.quality import judged
-from tidegauge.llm.tables import dealt, table
+from tidegauge.llm.tables import table
 from tidegauge.session import materialize
 
 
@@ -28,7 +28,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the fences of their language and source reject."""
-    return judged(dealt(docs, "doc_id", "text")).where("kept").select("row.*")
+    return judged(docs).where("kept").select("row.*")
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
