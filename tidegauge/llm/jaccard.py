@@ -2,12 +2,13 @@
 
 1. One pass takes every text's set of word shingles (64-bit hashes, sorted). Texts with
    equal sets are one class; only classes are compared. The pass also counts shingles in
-   a table of hashed buckets, whose size follows the number of documents up to a bound.
-2. Sets are put in one global order, rare buckets first. Two sets that link share a
-   shingle among the first n - ceil(0.8 n) + 1 of each, so a second pass emits only those.
+   a table of hashed buckets of fixed size.
+2. Sets are put in one global order, rare buckets first. Two sets that link share m
+   shingles among the first n - ceil(0.8 n) + m of each, with m a tenth of the smaller size
+   between 1 and 8; a second pass emits only those.
    Shingles that very many documents share stand last and are emitted only by documents
    that hold hardly anything else.
-3. Classes that share an emitted shingle and lie in one size band are candidates. A tile
+3. Classes that share m emitted shingles and lie in one size band are candidates. A tile
    of up to ``tile_rows`` classes gives pairs, a larger one gives a star whose connected
    component is compared as a whole. Pairs are bundled by their smallest neighbour, so
    that a family meets in one place.
@@ -42,8 +43,10 @@ from tidegauge.session import materialize
 WORDS = 5
 PERCENT = 80
 TILE_ROWS, BLOCK_ROWS = 64, 256
-#: The bucket table has four buckets per document within these bounds.
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
+#: Prefixes are longer by up to so many shingles, and candidates of small tiles must share as many.
+MOST_SHARED = 8
+#: Hashed buckets that shingles are counted in. More tell moderately frequent shingles of a larger corpus apart.
+BUCKETS = 1 << 18
 
 U = np.uint64
 _MULTIPLIERS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)]
@@ -76,10 +79,15 @@ def set_key(found: np.ndarray) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))) if len(found) else None
 
 
+def shared_at_least(n: np.ndarray | int):
+    """How many of the emitted shingles two linked sets share, by the size of the smaller one."""
+    return np.clip(np.asarray(n) // 10, 1, MOST_SHARED).astype(np.int64)
+
+
 def rare_first(found: np.ndarray, ranks: np.ndarray, shift: int, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of a set that a linked set must share one of."""
+    """The first n - ceil(0.8 n) + m shingles of a set; m of them a linked set emits too."""
     n = len(found)
-    keep = n + (-percent * n // 100) + 1
+    keep = n + (-percent * n // 100) + int(shared_at_least(n))
     order = (ranks[found >> U(shift)].astype(np.uint64) << U(56)) | (found >> U(8))
     return found[np.argsort(order, kind="stable")[:keep]]
 
@@ -122,7 +130,7 @@ def measured(docs: DataFrame, buckets: int, words: int) -> DataFrame:
 
 
 def bucket_ranks(stored: DataFrame, buckets: int) -> np.ndarray:
-    """One byte per bucket: the logarithm of its count. At most MOST_BUCKETS rows come to the driver."""
+    """One byte per bucket: the logarithm of its count. As many rows as there are buckets come to the driver."""
     counted = stored.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
     rows = counted.select("bucket", F.floor(F.log2(F.col("count") + 1) * 6).cast("short").alias("rank")).toPandas()
     ranks = np.zeros(buckets, np.uint8)
@@ -173,16 +181,22 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
             i, j = np.triu_indices(int(length), 1)
             left, right = at[:, i].ravel(), at[:, j].ravel()
             band = 100 * n[left].astype(np.int64) >= percent * n[right].astype(np.int64)
-            found.append(np.stack((key[left[band]], key[right[band]])))
-        return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+            found.append(np.stack((key[left[band]], key[right[band]], shared_at_least(n[left[band]]))))
+        return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def edges(a: np.ndarray, b: np.ndarray, star: bool):
-            ends = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            ends = ends[:, ends[0] != ends[1]]
-            return pa.RecordBatch.from_pydict({"a": pa.array(ends[0]), "b": pa.array(ends[1]), "star": pa.array(np.full(ends.shape[1], star))})
+        def edges(a: np.ndarray, b: np.ndarray, least: np.ndarray | None = None):
+            star = least is None
+            ends = np.stack((np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64) if star else least))
+            ends, count = np.unique(ends, axis=1, return_counts=True) if len(a) else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
+            apart = ends[0] != ends[1]
+            ends, count = ends[:, apart], count[apart]
+            return pa.RecordBatch.from_pydict({
+                "a": pa.array(ends[0]), "b": pa.array(ends[1]), "star": pa.array(np.full(ends.shape[1], star)),
+                "least": pa.array(ends[2]), "tiles": pa.array(count.astype(np.int64)),
+            })
 
         held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         hot: tuple[int, int] | None = None  # shingle and centre of the large tile under way
@@ -195,7 +209,7 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
             if hot and len(shingle):
                 more = int(np.searchsorted(shingle, hot[0], "right"))
                 if more:
-                    yield edges(np.full(more, hot[1]), key[:more], True)
+                    yield edges(np.full(more, hot[1]), key[:more])
                     shingle, n, key = shingle[more:], n[more:], key[more:]
                 if len(shingle):
                     hot = None
@@ -205,16 +219,16 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
                 if lengths[-1] > tile_rows:
                     hot = (int(shingle[-1]), int(key[starts[-1]]))
                     held = (shingle[:0], n[:0], key[:0])
-                    yield edges(np.full(int(lengths[-1]), hot[1]), key[starts[-1]:], True)
+                    yield edges(np.full(int(lengths[-1]), hot[1]), key[starts[-1]:])
                 else:
                     held = (shingle[starts[-1]:], n[starts[-1]:], key[starts[-1]:])
                 starts, lengths = starts[:-1], lengths[:-1]
             else:
                 held = (shingle[:0], n[:0], key[:0])
             for s, size in zip(starts[lengths > tile_rows].tolist(), lengths[lengths > tile_rows].tolist()):
-                yield edges(np.full(size, key[s]), key[s:s + size], True)
+                yield edges(np.full(size, key[s]), key[s:s + size])
             small = lengths <= tile_rows
-            yield edges(*pairs(key, n, starts[small], lengths[small]), False)
+            yield edges(*pairs(key, n, starts[small], lengths[small]))
 
         for batch in batches:
             shingle, n, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "n", "key"))
@@ -222,7 +236,10 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
         yield from settled(*held, True)
 
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
-    return dealt.mapInArrow(run, "a bigint, b bigint, star boolean").distinct()
+    found = dealt.mapInArrow(run, "a bigint, b bigint, star boolean, least bigint, tiles bigint")
+    # a pair that also shares a large tile is compared in that tile's group
+    counted = found.groupBy("a", "b", "star").agg(F.max("least").alias("least"), F.sum("tiles").alias("tiles"))
+    return counted.where("star OR tiles >= least").select("a", "b", "star")
 
 
 def bundles(edges: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
@@ -312,9 +329,9 @@ def linked(sets: list[np.ndarray], sides: list[int], percent: int = PERCENT) ->
 
 
 def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, members) of the wanted classes.
+    """(key, members) of the wanted classes, and of some others.
 
-    A bitmap of fixed size says which documents may be wanted; the join behind it is exact.
+    A bitmap of fixed size says which documents may be wanted; the join with the tiles is exact.
     """
     mask = id_bitmap(wanted.select(bit_of(F.col("doc_id")).alias("bit")))
     keyed = docs.withColumn("bit", bit_of(F.col("doc_id")))
@@ -333,8 +350,7 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 "members": pa.array([s.tobytes() for s in sets], pa.binary()),
             })
 
-    sets = keyed.select("bit", "text").mapInArrow(run, "key bigint, members binary")
-    return sets.join(wanted.select("key"), "key", "left_semi")
+    return keyed.select("bit", "text").mapInArrow(run, "key bigint, members binary")
 
 
 def tile_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -369,11 +385,10 @@ def tile_links(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, percent: int = PERCENT,
-    tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS,
+    tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS, buckets: int = BUCKETS,
 ) -> DataFrame:
     """key, n_shingles, component_id and ``class_copies`` (documents with an equal set, itself included)."""
     source = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (4 * docs.count()).bit_length()))
     stored = materialize(measured(source, buckets, words), "jaccard-sets")
     rows = stored.where("bucket IS NULL").select("doc_id", "n", "key")
     classes = materialize(
