@@ -3,19 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegauge.session import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
-
-
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows in as many partitions as the session shuffles to, by a hash of keys.
-
-    Heavy work on whole texts otherwise runs in one task per row group, however large
-    the row groups of a file are.
-    """
-    return df.repartition(F.xxhash64(*keys))

@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from tidegauge.llm.pieces import Chunks
 from tidegauge.session import materialize
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON_TERMS = 4000, 12_000, 3000
-LEAST_SURROUNDINGS, LEAST_ODDS = 3, 18.0
+SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON_TERMS = 4000, 12_000, 1500
+#: A term needs so many surroundings, and at least this share of the toxic documents as support.
+LEAST_SURROUNDINGS, LEAST_SHARE, LEAST_ODDS = 4, 0.003, 18.0
 REMEMBERED = 600_000
 WINDOW = 6
 QUOTES = "\"“”„«»"
@@ -161,12 +162,13 @@ def learned(sample: DataFrame, most: int = LEXICON_TERMS) -> dict[str, float]:
     words = F.filter(F.split(F.lower("body"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     listed = sample.select("toxic", F.monotonically_increasing_id().alias("row"), bare.alias("words"))
+    least = max(LEAST_SURROUNDINGS, LEAST_SHARE * n[1])
     toxic = (
         listed.where("toxic = 1").select("row", "words", F.posexplode("words").alias("at", "word"))
         .select("row", "word", F.get("words", F.col("at") - 1).alias("before")).where(F.length("word") >= 3)
         .groupBy("word", "row").agg(F.min("before").alias("before"))
         .groupBy("word").agg(F.count("*").alias("t"), F.count_distinct("before").alias("surroundings"))
-        .where(F.col("surroundings") >= LEAST_SURROUNDINGS)
+        .where((F.col("surroundings") >= least) & (F.col("t") >= least))
     )
     clean = listed.where("toxic = 0").select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     odds = (F.col("t") / n[1]) / ((F.coalesce("c", F.lit(0)) + 0.5) / n[0])
