@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from tidegauge.llm.pieces import Chunks
 from tidegauge.session import materialize
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON_TERMS = 4000, 12_000, 1500
+SAMPLE_TOXIC, SAMPLE_CLEAN, LEXICON_TERMS = 4000, 12_000, 3000
 #: A term needs so many surroundings, and at least this share of the toxic documents as support.
-LEAST_SURROUNDINGS, LEAST_SHARE, LEAST_ODDS = 4, 0.003, 18.0
+LEAST_SURROUNDINGS, LEAST_SHARE, LEAST_ODDS = 3, 0.003, 15.0
 REMEMBERED = 600_000
 WINDOW = 6
 QUOTES = "\"“”„«»"
