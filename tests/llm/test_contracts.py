@@ -284,6 +284,25 @@ def test_decontamination(spark, queries, folder, odd):
     assert [(r.doc_id, r.contaminated) for r in rows(queries["op5_decontamination"](spark, folder))] == []
 
 
+def test_decontamination_with_torn_values(spark):
+    from tidegauge.llm import decontamination
+    from tidegauge.llm.decontamination import leaks
+
+    long = ("A farmer packs 12 apples into every crate and then loads all of the crates onto a waiting truck before driving slowly "
+            "to the market where each customer buys exactly 12 apples from the first crate that is opened by the friendly farmer")
+    same = "Tom has 3 apples and 3 pears in his old basket. How many fruits does Tom have in total?"
+    two = "Tom has 5 plums and 3 melons in his new cart. How many fruits can Tom sell in total?"
+    bench = spark.createDataFrame([(1, long), (2, same), (3, two)], "item_id bigint, text string")
+    docs = [(1, "x " + long.replace("exactly 12", "exactly 13")), (2, same.replace("3 apples and 3", "4 apples and 5")),
+            (3, two.replace("5 plums and 3", "4 plums and 4")), (4, long), (5, "other words about a farmer " * 9)]
+    got = {r.doc_id: (r["items"], r.changed) for r in rows(leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench))}
+    assert got == {1: ([1], True), 2: ([2], True), 3: ([3], True), 4: ([1], False)}
+    # the largest set: two of three windows agree on a's value, the third is left out
+    windows = [(0, [("a", "x")]), (8, [("a", "x"), ("b", "y")]), (16, [("a", "z"), ("c", "y"), ("b", "x")])]
+    assert decontamination.agreement(windows, 8, 24, 0.5, 99) == (16, True)
+    assert decontamination.agreement(windows, 8, 40, 0.5, 99) is None
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

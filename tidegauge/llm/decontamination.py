@@ -4,10 +4,14 @@ Tokens are canonicalised: numbers, units behind numbers, and names (capitalised
 inside a sentence that is not all capitals) become typed placeholders, other words lose case and outer
 punctuation. Every window of ``window`` tokens with at least ``least_fixed`` ordinary
 words is hashed; windows of documents are joined with those of benchmark items by hash.
-Per document, item and alignment the windows found must cover ``least_cover`` of the item
-(or ``enough`` tokens), and the values in the placeholders must map one to one between
-item and document: a question with other numbers or names is caught, a chance likeness of
-templates is not.
+Per document, item and alignment, windows that agree must cover ``least_cover`` of the
+item (or ``enough`` tokens). Windows with equal values always agree. Windows with other
+values agree as far as the values are a function of the item's, or the item's a function
+of theirs (two values may happen to coincide on one side); the largest set that does is
+taken. A question with other numbers or names is caught, a chance likeness of templates is
+not. An item's value that stays in one window and changes in another speaks against an
+alignment: such changed windows are left out, and the tokens that only they cover are
+taken off the cover unless it reaches ``enough``.
 
 A bitmap of fixed size over the benchmark's hashes keeps windows that cannot match out of
 the join. A larger benchmark fills it and lets more windows through; the join decides.
@@ -34,6 +38,8 @@ from tidegauge.session import materialize
 WINDOW, LEAST_FIXED, LEAST_COVER, ENOUGH = 8, 5, 0.5, 24
 MASK_BITS = 1 << 20
 REMEMBERED = 300_000
+#: Steps of the search for the largest set of windows with consistent values.
+TRIES = 2000
 # Units that count as such behind a number.
 UNITS = set(
     "kg g mg km m cm mm mi ft lb lbs oz l ml s sec min h hr hrs usd eur percent mph kmh dollars euros cents miles meters metres "
@@ -162,6 +168,56 @@ def document_windows(docs: DataFrame, text: str, key: str, mask: np.ndarray, wid
     return source.mapInArrow(run, "doc_id bigint, hash bigint, pos int, doc_slots array<string>")
 
 
+def _largest(windows: list, width: int, side: int) -> int:
+    """Cover of the largest set of windows in which a value of ``side`` (0: item, 1: document) has one partner.
+
+    A search over the values with several partners, best supported ones first. It is exact
+    within ``TRIES`` steps; beyond them the best set found so far counts.
+    """
+    todo, best, tries = [windows], -1, 0
+    while todo and (tries < TRIES or best < 0):
+        rest = todo.pop()
+        tries += 1
+        cover = _cover(rest, width)
+        if cover <= best:
+            continue
+        votes: dict = {}
+        for _, pairs in rest:
+            for p in pairs:
+                partners = votes.setdefault(p[side], {})
+                partners[p] = partners.get(p, 0) + 1
+        torn = max((v for v in votes.values() if len(v) > 1), key=lambda v: sum(v.values()), default=None)
+        if torn is None:
+            best = cover
+            continue
+        choices = [None, *sorted(torn, key=lambda p: (torn[p], p))]  # the last is tried first; None: no window with this value
+        todo += [[w for w in rest if not any(p in torn and p != choice for p in w[1])] for choice in choices]
+    return best
+
+
+def _cover(windows: list, width: int) -> int:
+    """Tokens in the union of the windows."""
+    end = total = 0
+    for at in sorted({at for at, _ in windows}):
+        total += at + width - max(at, end)
+        end = at + width
+    return total
+
+
+def agreement(windows: list, width: int, n_tokens: int, least_cover: float, enough: int) -> tuple[int, bool] | None:
+    """(cover, changed): tokens of the agreeing windows of one alignment, and whether any window holds other values; None if too few.
+
+    ``windows`` are (start, [(item value, document value), ...]).
+    """
+    windows = [(at, frozenset((p[0], p[1]) for p in pairs)) for at, pairs in windows]
+    same = [w for w in windows if all(i == d for i, d in w[1])]
+    kept = {i for _, pairs in windows for i, d in pairs if i == d}
+    sound = [w for w in windows if not any(i != d and i in kept for i, d in w[1])]
+    against = _cover(windows, width) - _cover(sound, width)
+    cover = max(_cover(same, width), _largest(sound, width, 0), _largest(sound, width, 1))
+    return (cover, len(same) < len(windows)) if cover >= enough or cover - against >= least_cover * n_tokens else None
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id",
     window: int = WINDOW, least_fixed: int = LEAST_FIXED, least_cover: float = LEAST_COVER, enough: int = ENOUGH,
@@ -177,17 +233,17 @@ def leaks(
     matched = found.join(items, "hash").withColumn("pairs", F.zip_with("doc_slots", "item_slots", pair))
     # sets are bounded by the tokens of an item
     aligned = matched.groupBy("doc_id", "item", (F.col("pos") - F.col("at")).alias("offset")).agg(
-        F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        F.first("width").alias("width"), F.first("n_tokens").alias("n_tokens"),
+        F.sort_array(F.collect_set(F.struct("at", "pairs"))).alias("windows"), F.first("width").alias("width"), F.first("n_tokens").alias("n_tokens"),
     )
-    covered = F.aggregate(
-        F.transform("starts", lambda at, i: F.least(F.col("width"), F.coalesce(F.get("starts", i + 1) - at, F.col("width")))), F.lit(0), lambda a, x: a + x
+    # all windows together cover at least as much as those that agree
+    starts = F.array_distinct(F.col("windows.at"))
+    most = F.aggregate(
+        F.transform(starts, lambda at, i: F.least(F.col("width"), F.coalesce(F.get(starts, i + 1) - at, F.col("width")))), F.lit(0), lambda a, x: a + x
     )
-    side = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
-    judged = aligned.withColumn("covered", covered).where(
-        (side("item") == F.size("pairs")) & (side("doc") == F.size("pairs"))
-        & ((F.col("covered") >= least_cover * F.col("n_tokens")) | (F.col("covered") >= enough))
-    ).withColumn("changed", F.exists("pairs", lambda p: p["item"] != p["doc"]))
+    agree = F.udf(lambda windows, width, n: agreement(windows, width, n, least_cover, enough), "covered int, changed boolean")
+    judged = aligned.where((most >= least_cover * F.col("n_tokens")) | (most >= enough)).withColumn(
+        "agreed", agree("windows", "width", "n_tokens")
+    ).where("agreed is not null").select("doc_id", "item", "agreed.*")
     return judged.groupBy("doc_id").agg(
         F.sort_array(F.collect_set("item")).alias("items"), F.max("covered").cast("long").alias("covered"), F.max("changed").alias("changed")
     ).withColumnRenamed("doc_id", key)
