@@ -303,6 +303,18 @@ def test_decontamination_with_torn_values(spark):
     assert decontamination.agreement(windows, 8, 40, 0.5, 99) is None
 
 
+def test_decontamination_with_few_ordinary_words(spark):
+    from tidegauge.llm.decontamination import leaks
+
+    half = "Please find the sum of all these numbers for me: 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26"
+    items = ["Compute 3 x 4 + 5 x 6", "What is 15% of 240?", "hours 7 8 9 and minutes 4 5 6", half]
+    docs = [(i, f"We said 9 {text} and went on.") for i, text in enumerate(items)] + [(i + 10, text.upper()) for i, text in enumerate(items)]
+    docs += [(20, "Compute 3 x 4 + 5 x 7"), (21, "what is 15% of 250?"), (22, "11 12 13 14 15 16 17"), (23, "hours 7 8 9"), (24, half.replace("me:", "you:").replace(" 1", " 2"))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r.doc_id: (r["items"], r.changed) for r in rows(leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench))}
+    assert got == {i + d: ([i], False) for i in range(4) for d in (0, 10)}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

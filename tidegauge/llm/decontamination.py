@@ -3,7 +3,9 @@
 Tokens are canonicalised: numbers, units behind numbers, and names (capitalised words
 inside a sentence that is not all capitals) become typed placeholders, other words lose case and outer
 punctuation. Every window of ``window`` tokens with at least ``least_fixed`` ordinary
-words is hashed; windows of documents are joined with those of benchmark items by hash.
+words is hashed. Windows with fewer are hashed by their words and values instead, so
+stretches full of numbers are found as they are, but not with other numbers. Windows of
+documents are joined with those of benchmark items by hash.
 Per document, item and alignment, windows that agree must cover ``least_cover`` of the
 item (or ``enough`` tokens). Windows with equal values always agree. Windows with other
 values agree as far as the values are a function of the item's, or the item's a function
@@ -52,6 +54,7 @@ NAME, NUM, UNIT, CAPITAL, STOP, FIXED = 1, 2, 4, 8, 16, 32
 U = np.uint64
 RECORD = np.dtype([("hash", "<u8"), ("flags", "u1")])
 PLACE = {kind: U(0xA5A5_0000_0000_0001 * (k + 3) % (1 << 64)) for k, kind in enumerate((NAME, NUM, UNIT))}
+RAW = 1 << 32  # seeds of windows without placeholders
 _MULTIPLIER, _FINAL = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 
 
@@ -67,14 +70,22 @@ def _token(raw: str) -> bytes:
     return xxhash.xxh3_64_intdigest(word.lower().encode()).to_bytes(8, "little") + bytes([flags])
 
 
+def _hashed(columns, n: int, seed: int) -> np.ndarray:
+    total = np.full(n, seed, U)
+    for column in columns:
+        total = (total ^ (total >> U(29))) * _MULTIPLIER + column
+    total = (total ^ (total >> U(31))) * _FINAL
+    return total ^ (total >> U(32))
+
+
 class Templates:
     """Canonical tokens and windows of one text at a time."""
 
     def __init__(self, remembered: int = REMEMBERED):
         self.known = Chunks(_token, remembered)
 
-    def tokens(self, text: str) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]]]:
-        """Raw words, and canonical hashes with the kind of placeholder (0: an ordinary word).
+    def tokens(self, text: str) -> tuple[list[str], list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Raw words; canonical hashes with the kind of placeholder (0: an ordinary word); what ``raw_windows`` takes.
 
         Names cannot be told in a text without case, so a text with names has a second
         form, in which they are ordinary words.
@@ -95,7 +106,7 @@ class Templates:
             for k, value in PLACE.items():
                 own[form == k] = value
             out.append((own, form))
-        return raw, out
+        return raw, out, (hashes, plain, flags & (NUM | UNIT) == 0)
 
     @staticmethod
     def windows(hashes: np.ndarray, kind: np.ndarray, width: int, least_fixed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +114,24 @@ class Templates:
         n = len(hashes) - width + 1
         if n < 1:
             return np.zeros(0, np.int64), np.zeros(0, U)
-        total = np.full(n, width, U)
-        for i in range(width):
-            total = (total ^ (total >> U(29))) * _MULTIPLIER + hashes[i:i + n]
-        total = (total ^ (total >> U(31))) * _FINAL
+        total = _hashed((hashes[i:i + n] for i in range(width)), n, width)
         fixed = np.concatenate(([0], np.cumsum(kind == 0)))
         at = np.flatnonzero(fixed[width:] - fixed[:n] >= min(least_fixed, width))
-        return at, (total ^ (total >> U(32)))[at]
+        return at, total[at]
+
+    @staticmethod
+    def raw_windows(hashes: np.ndarray, plain: np.ndarray, sure: np.ndarray, width: int, least_fixed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes, without placeholders, of the windows that may have too few ordinary words.
+
+        A number or unit in front does not count as a word whatever stands before it: equal
+        windows are then chosen alike in every text.
+        """
+        n = len(hashes) - width + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, U)
+        fixed = np.concatenate(([0], np.cumsum(plain == 0)))
+        at = np.flatnonzero(fixed[width:] - fixed[1:n + 1] + sure[:n] < min(least_fixed, width))
+        return at, _hashed((hashes[at + i] for i in range(width)), len(at), width | RAW)
 
 
 def slots(raw: list[str], kind: np.ndarray, at: int, width: int) -> list[str]:
@@ -125,8 +147,11 @@ def item_windows(benchmark: DataFrame, text: str, key: str, width: int, least_fi
         for batch in batches:
             rows = []
             for item, body in zip(batch.column("item").to_pylist(), batch.column("body").to_pylist()):
-                raw, forms = make.tokens(body)
+                raw, forms, plain = make.tokens(body)
                 own = min(width, len(raw))
+                if own:
+                    for at, h in zip(*make.raw_windows(*plain, own, least_fixed)):
+                        rows.append((int(h.view(np.int64)), item, int(at), own, len(raw), []))
                 for hashes, kind in forms if own else ():
                     for at, h in zip(*make.windows(hashes, kind, own, least_fixed)):
                         rows.append((int(h.view(np.int64)), item, int(at), own, len(raw), slots(raw, kind, int(at), own)))
@@ -152,7 +177,11 @@ def document_windows(docs: DataFrame, text: str, key: str, mask: np.ndarray, wid
         for batch in batches:
             rows = []
             for doc, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
-                raw, forms = make.tokens(body)
+                raw, forms, plain = make.tokens(body)
+                for width in widths:
+                    at, found = make.raw_windows(*plain, width, least_fixed)
+                    for i in np.flatnonzero(mask[(found & bits).astype(np.int64)]):
+                        rows.append((doc, int(found[i].view(np.int64)), int(at[i]), []))
                 for (hashes, kind), width in product(forms, widths):
                     at, found = make.windows(hashes, kind, width, least_fixed)
                     for i in np.flatnonzero(mask[(found & bits).astype(np.int64)]):
