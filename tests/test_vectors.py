@@ -83,6 +83,19 @@ def test_full_radius_is_exact_and_recall_grows(tables):
     assert low < high <= 1
 
 
+def test_approximate_search_scores_probed_cells_only(tables):
+    v, q = tables
+    cell = lambda df, key: {r[key]: r["s"] for r in df.select(key, vc.sketch(F.col("vector")).alias("s")).collect()}
+    rows, asked = cell(v, "capsule_id"), cell(q, "query_id")
+    near = lambda i, j: (rows[f"{i:04}"] ^ asked[f"q{j:02}"]).bit_count() <= 2
+    found = vc.approximate_search(v, q, K, radius=2)
+    assert answer(found) == brute(near)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas 3, 3," in plan  # sketch and both blocks
+    scored = vc.probes(q, 2).join(v.withColumn("sketch", vc.sketch(F.col("vector"))), "sketch").count()
+    assert scored == sum(near(i, j) for i in range(N) for j in range(Q)) < N * Q / 2
+
+
 def test_no_queries(tables):
     v, q = tables
     assert vc.batch_search(v, q.filter("false"), K).count() == 0

@@ -63,7 +63,7 @@ def above_floor(hits: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     return hits.filter(F.col("score") >= min_similarity)
 
 
-def _block_top_k(k: int, same: list[str], timed: bool, skip_self: bool, radius: int | None):
+def _block_top_k(k: int, same: list[str], timed: bool, skip_self: bool):
     """A cogroup body: best ``k`` of one corpus block for every query of one query block."""
     def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or block.empty:
@@ -75,9 +75,6 @@ def _block_top_k(k: int, same: list[str], timed: bool, skip_self: bool, radius:
         if timed:
             t = rows["_t"].to_numpy()[:, None]
             scores[(t < block["_f"].to_numpy()[None, :]) | (t > block["_u"].to_numpy()[None, :])] = -np.inf
-        if radius is not None:
-            apart = np.bitwise_count(rows["sketch"].to_numpy()[:, None] ^ block["sketch"].to_numpy()[None, :])
-            scores[apart > radius] = -np.inf
         if skip_self:
             scores[names[:, None] == ids[None, :]] = -np.inf
         floor = np.full(len(ids), -np.inf)
@@ -94,29 +91,30 @@ def _block_top_k(k: int, same: list[str], timed: bool, skip_self: bool, radius:
 
 def batch_search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, same: tuple[str, ...] = (),
-    timed: bool = False, skip_self: bool = False, radius: int | None = None, block_size: int = QUERY_BLOCK,
+    timed: bool = False, skip_self: bool = False, block_size: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact top ``k`` of every query: ``query_id, capsule_id, score, position``.
 
     ``same`` names columns that must be equal in query and vector; they are part of the
     key that rows and queries meet by. ``timed`` limits a query to vectors whose
-    ``time_bucket`` lies in its ``time_from``..``time_to``; ``radius`` to vectors whose
-    ``sketch`` differs in that many bits. Corpus and queries are cut into hashed blocks
-    of about ``CORPUS_BLOCK`` and ``block_size`` rows; each pair of blocks is one task's
-    matrix product, and only its best ``k`` rows per query are shuffled on. Neither side
-    passes through the driver, and the plan is the same for any number of queries.
+    ``time_bucket`` lies in its ``time_from``..``time_to``. Corpus and queries are cut into
+    hashed blocks of about ``CORPUS_BLOCK`` and ``block_size`` rows; each pair of blocks is
+    one task's matrix product, and only its best ``k`` rows per query are shuffled on. Neither
+    side passes through the driver, and the plan is the same for any number of queries.
     """
     wanted = queries.select(
-        "query_id", "vector", *same, *(["sketch"] if radius is not None else []),
+        "query_id", "vector", *same,
         *([F.unix_seconds("time_from").alias("_f"), F.unix_seconds("time_to").alias("_u")] if timed else []),
     )
     # counted and then read, so it is derived only once
     wanted = materialize(wanted, "queries")
     corpus = vectors.select(
-        "capsule_id", "vector", *same, *(["sketch"] if radius is not None else []),
+        "capsule_id", "vector", *same,
         *([F.unix_seconds("time_bucket").alias("_t")] if timed else []),
     )
-    n_queries, n_rows = max(1, -(-wanted.count() // block_size)), max(1, -(-vectors.count() // CORPUS_BLOCK))
+    # rows meet within one value of ``same``, so its largest group sets the number of blocks
+    largest = lambda df: df.groupBy(*same).count().agg(F.max("count")).first()[0] or 0
+    n_queries, n_rows = max(1, -(-largest(wanted) // block_size)), max(1, -(-largest(vectors) // CORPUS_BLOCK))
 
     def dealt(df: DataFrame, own: str, key: str, n: int, other: str, m: int) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -125,7 +123,7 @@ def batch_search(
     keys = [*same, "_c", "_q"]
     rows = dealt(corpus, "_c", "capsule_id", n_rows, "_q", n_queries).groupBy(*keys)
     blocks = dealt(wanted, "_q", "query_id", n_queries, "_c", n_rows).groupBy(*keys)
-    found = rows.cogroup(blocks).applyInPandas(_block_top_k(k, list(same), timed, skip_self, radius), HITS)
+    found = rows.cogroup(blocks).applyInPandas(_block_top_k(k, list(same), timed, skip_self), HITS)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "capsule_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
@@ -162,12 +160,20 @@ def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 10, radi
     """Top ``k`` among vectors whose sketch differs in at most ``radius`` bits.
 
     ``vectors`` may carry a stored ``sketch`` column; written as a partition column it
-    prunes whole folders. Survivors are scored exactly. A larger radius raises recall;
+    prunes whole folders. Queries meet vectors by the sketches they probe, before any product;
+    survivors are scored exactly. A larger radius raises recall;
     ``radius = SKETCH_BITS`` is the exact answer.
     """
     if "sketch" not in vectors.columns:
         vectors = vectors.withColumn("sketch", sketch(F.col("vector")))
-    return batch_search(vectors, queries.withColumn("sketch", sketch(F.col("vector"))), k, radius=radius)
+    return batch_search(vectors, probes(queries, radius), k, same=("sketch",))
+
+
+def probes(queries: DataFrame, radius: int) -> DataFrame:
+    """One row per query and sketch that differs from its own in at most ``radius`` bits."""
+    near = F.array(*[F.lit(flip) for flip in range(1 << SKETCH_BITS) if flip.bit_count() <= radius])
+    own = queries.withColumn("_own", sketch(F.col("vector")))
+    return own.withColumn("_flip", F.explode(near)).withColumn("sketch", F.col("_own").bitwiseXOR(F.col("_flip"))).drop("_own", "_flip")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
