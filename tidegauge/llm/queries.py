@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q1_quality", "q2_licenses", "q3_warc", "q4_toxicity", "q5_decontamination", "q6_token_counts", "q7_jaccard", "q8_mixing", "q9_token_files", "q10_substrings", "q11_periodic_runs", "q13_vector_codes"]
+MODULES = ["q1_quality", "q2_licenses", "q3_warc", "q4_toxicity", "q5_decontamination", "q6_token_counts", "q7_jaccard", "q8_mixing", "q9_token_files", "q10_substrings", "q11_periodic_runs", "q12_window_trees", "q13_vector_codes"]
 
 
 def load():
