@@ -56,9 +56,21 @@ def folder(tmp_path_factory, spark, odd):
         [(1, "u", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "a b", None), (4, "c", ""), (None, "d", "<p>x</p>"), (5, "e", "y" * 200_000), (5, "e", "y" * 200_000)],
         "page_id bigint, url string, html string",
     ).write.parquet(f"{place}/pages.parquet")
+    odd_vectors(spark).write.parquet(f"{place}/embeddings.parquet")
     return str(place)
 
 
+def odd_vectors(spark):
+    """Null vectors, components that are null or not finite, other lengths, ties, repeated and null keys, clashing columns."""
+    rng, nan, inf = random.Random(9), float("nan"), float("inf")
+    vectors = [[rng.choice([-0.5, -0.25, 0.0, 0.25, 0.75]) + rng.choice([0.0, 0.0, 0.0003]) for _ in range(8)] for _ in range(300)]
+    rows = [(i, v, i % 4 if i % 5 else None, "c", -1) for i, v in enumerate(vectors)]
+    rows += [(7, vectors[7], 2, None, 0), (7, vectors[9], 2, None, 0), (None, vectors[3], None, None, None), (None, vectors[4], 1, "x", 1)]
+    rows += [(400, None, 1, "", 0), (401, [nan] + vectors[0][1:], 1, "", 0), (402, [inf] + vectors[0][1:], 1, "", 0), (403, [None] + vectors[0][1:], 1, "", 0),
+             (404, [0.5] * 5, 1, "", 0), (405, [], 1, "", 0), (-3, [0.1] * 8, 9, "", 0), (406, [-inf] * 8, None, "", 0), (407, [300000.0] * 8, 9, "", 0)]
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, code string, error int").repartition(3)
+
+
 @pytest.fixture(scope="session")
 def empty_folder(tmp_path_factory, spark, none):
     place = tmp_path_factory.mktemp("none")
@@ -66,4 +78,5 @@ def empty_folder(tmp_path_factory, spark, none):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{place}/benchmark.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{place}/pages.parquet")
+    odd_vectors(spark).where("vec_id > 1000").write.parquet(f"{place}/embeddings.parquet")
     return str(place)
