@@ -179,7 +179,7 @@ def test_subtrees_in_bundles_of_any_size(spark):
     made = suffixes(spark.createDataFrame(texts, "row bigint, doc bigint, text string, wanted array<struct<gram:bigint,pos:int>>"))
     leaves = made.groupBy("gram", "leaf", "before", "suffix").agg({"doc": "min"}).withColumnRenamed("min(doc)", "low").selectExpr("*", "low + 100 AS high")
     leaves = leaves.selectExpr("abs(hash(substring_index(suffix, ' ', 16))) AS gram", "leaf", "before", "suffix", "low", "high")
-    every = [collections.Counter(trees(leaves, bundle=b).collect()) for b in (1, 3, 10**6)]
+    every = [collections.Counter((bytes(r.leaf), tuple(r.found)) for r in trees(leaves, bundle=b).collect()) for b in (1, 3, 10**6)]
     assert every[0] == every[1] == every[2] and every[0]
 
 

@@ -189,7 +189,7 @@ def _stretches(found: np.ndarray, highest: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def trees(leaves: DataFrame, window: int = WINDOW, gram: int = GRAM, bundle: int = BUNDLE) -> DataFrame:
-    """(leaf, near, far, source) from subtrees: windows that start ``near`` to ``far`` words before the suffix occur in ``source``."""
+    """(leaf, found) from subtrees: windows that start ``near`` to ``far`` words before the suffix occur in ``source``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -197,8 +197,10 @@ def trees(leaves: DataFrame, window: int = WINDOW, gram: int = GRAM, bundle: int
             table = pa.Table.from_batches(held)
             found = sources(table["before"].to_pylist(), table["suffix"].to_pylist(), table["low"].to_numpy(), window, gram)
             leaf, near, far, doc = _stretches(found, table["high"].to_numpy())
-            names = table["leaf"].combine_chunks().take(pa.array(leaf))
-            return pa.RecordBatch.from_pydict({"leaf": names, "near": pa.array(near, pa.int32()), "far": pa.array(far, pa.int32()), "source": pa.array(doc, pa.int64())})
+            some, first = np.unique(leaf, return_index=True)
+            parts = pa.StructArray.from_arrays([pa.array(near, pa.int32()), pa.array(far, pa.int32()), pa.array(doc, pa.int64())], ["near", "far", "source"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(leaf)).astype(np.int32)), parts)
+            return pa.RecordBatch.from_pydict({"leaf": table["leaf"].combine_chunks().take(pa.array(some)), "found": lists})
 
         held, count = [], 0
         for batch in batches:  # sorted by anchor; a bundle ends between two anchors
@@ -220,7 +222,7 @@ def trees(leaves: DataFrame, window: int = WINDOW, gram: int = GRAM, bundle: int
             yield record(held)
 
     dealt = leaves.select("gram", "leaf", "low", "high", "before", "suffix").repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "leaf binary, near int, far int, source bigint")
+    return dealt.mapInArrow(run, "leaf binary, found array<struct<near: int, far: int, source: bigint>>")
 
 
 def spread(leaves: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -231,7 +233,8 @@ def spread(leaves: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     whole = F.concat(F.expr("slice(l, size(l) - d + 1, d)"), F.expr(f"slice(r, 1, {window} - d)"))
     named = materialize(windows.select("leaf", "low", "high", "d", F.unhex(F.md5(F.concat_ws(" ", whole))).alias("name")), "hot-windows")
     least = named.groupBy("name").agg(F.min("low").alias("source"))
-    return named.join(least, "name").where("source < high").select("leaf", F.col("d").alias("near"), F.col("d").alias("far"), "source")
+    met = named.join(least, "name").where("source < high")
+    return met.groupBy("leaf").agg(F.collect_list(F.struct(F.col("d").alias("near"), F.col("d").alias("far"), "source")).alias("found"))
 
 
 def repeated_spans(
@@ -255,8 +258,11 @@ def repeated_spans(
     one = materialize(leaves.groupBy("gram", "leaf", "before", "suffix").agg(F.min("doc").alias("low"), F.max("doc").alias("high")), "repeat-leaves")
     many = materialize(one.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "repeat-hot")
     found = trees(one.join(many, "gram", "left_anti"), window, gram).unionByName(spread(one.join(many, "gram", "left_semi"), window, gram))
-    covers = leaves.select("leaf", "doc", "row", "pos").join(materialize(found, "repeat-nodes"), "leaf").where("source < doc")
-    cut = covers.select("row", (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("near") + window).alias("end"))
+    met = leaves.select("leaf", "doc", "row", "pos").join(materialize(found, "repeat-nodes"), "leaf")
+    met = met.select("row", "pos", F.filter("found", lambda x: x["source"] < F.col("doc")).alias("found")).where(F.size("found") > 0)
+    # all windows of one suffix hold its first word, so together they are one stretch
+    start, end = F.array_max(F.col("found.far")), F.array_min(F.col("found.near"))
+    cut = met.select("row", (F.col("pos") - start).alias("start"), (F.col("pos") - end + window).alias("end"))
     spans = cut.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     every = spans.unionByName(copies.select("row", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans")))
     return source, scan, materialize(every, "repeat-spans")
