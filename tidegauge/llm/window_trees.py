@@ -250,7 +250,8 @@ def repeated_spans(
     alive = whole.join(copies, "row", "left_anti").dropDuplicates(["row"])
     met = materialize(alive.select("row", "doc", F.explode(F.arrays_zip("grams", "places")).alias("at"))
                       .select("row", "doc", F.col("at.grams").alias("gram"), F.col("at.places").alias("pos")), "repeat-anchors")
-    shared = met.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram")
+    # stored apart, so that a task that meets a common anchor can be split
+    shared = materialize(met.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram"), "repeat-shared")
     wanted = met.join(shared, "gram", "left_semi").groupBy("row").agg(F.collect_list(F.struct("gram", "pos")).alias("wanted"))
     wanted = materialize(wanted, "repeat-places")
     texts = only(source.select("row", "doc", "text"), wanted, "row", n).join(wanted, "row")
