@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import evidence as ev
+from tidegauge.operators import index as ix
 from tidegauge.operators import vectors as vc
+from tidegauge.session import materialize, workspace
 
 RNG = np.random.default_rng(11)
 N, Q, D, K = 900, 37, 32, 5
@@ -90,12 +92,83 @@ def test_approximate_search_scores_probed_cells_only(tables):
     near = lambda i, j: (rows[f"{i:04}"] ^ asked[f"q{j:02}"]).bit_count() <= 2
     found = vc.approximate_search(v, q, K, radius=2)
     assert answer(found) == brute(near)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "FlatMapCoGroupsInPandas 3, 3," in plan  # sketch and both blocks
-    scored = vc.probes(q, 2).join(v.withColumn("sketch", vc.sketch(F.col("vector"))), "sketch").count()
+    asks = vc.probes(q, 2).withColumn("sketch", F.explode("sketch"))
+    scored = asks.join(v.withColumn("sketch", vc.sketch(F.col("vector"))), "sketch").count()
     assert scored == sum(near(i, j) for i in range(N) for j in range(Q)) < N * Q / 2
 
 
+def test_corpus_stays_where_it_is(spark, tables):
+    """One exchange, of at most k rows a query and task, whatever the size of the corpus."""
+    v, q = tables
+    spread = lambda n: v.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn(
+        "capsule_id", F.concat_ws("-", "capsule_id", "n")).repartition(4)
+    sizes = []
+    for corpus in (spread(1), spread(20)):
+        corpus = materialize(corpus.drop("n"), "corpus")
+        found = vc.batch_search(corpus, q, K)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") in (1, 2)  # final and initial plan
+        assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow") and "WindowGroupLimit" in plan
+        sizes.append(moved(spark))
+    assert sizes[1] <= sizes[0] * 1.5
+
+
+def moved(spark):
+    """Bytes written to shuffles by the last query."""
+    import re
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    values = {m.accumulatorId(): m.name() for m in (last.metrics().apply(i) for i in range(last.metrics().size()))}
+    found = store.executionMetrics(last.executionId())
+    sizes = [found.apply(k) for k, name in values.items() if name == "shuffle bytes written" and found.contains(k)]
+    unit = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}
+    return sum(float(a) * unit[u] for s in sizes for a, u in re.findall(r"([\d.]+) (B|KiB|MiB)", s)[:1])
+
+
+def test_blocks_that_do_not_fit_in_memory(tables, monkeypatch):
+    monkeypatch.setattr(vc, "HELD_NUMBERS", 100)
+    assert answer(vc.batch_search(*tables, K, block_size=5)) == brute(lambda i, j: True)
+    monkeypatch.setattr(vc, "HELD_HITS", 20)
+    assert answer(vc.batch_search(*tables, K, block_size=5, same=("service_name",))) == brute(lambda i, j: SERVICE[i] == SERVICE[j])
+
+
+def clustered(spark, n, groups, dims=24, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    rows = centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dims)) * 0.25
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows, spark.createDataFrame([(f"{i:06}", r.tolist()) for i, r in enumerate(rows)], "capsule_id string, vector array<double>").repartition(8)
+
+
+def test_fitted_index(spark):
+    rows, v = clustered(spark, 6000, 60)
+    v = materialize(v, "vectors")
+    index = ix.fit_index(v, workspace(spark, "index"), sample=1500)
+    assert index.centres.shape == (78, 24) and ix.open_index(spark, index.path).probes == index.probes
+    asked = v.where("capsule_id < '000300'").withColumnRenamed("capsule_id", "query_id")
+    truth, found = vc.batch_search(v, asked, 10), ix.search_index(spark, index, asked, 10)
+    share = ix.pairs_scored(spark, index, asked).agg(F.sum("scored") / F.sum("stored")).first()[0]
+    recalls = [r.recall for r in vc.recall(found, truth).collect()]
+    assert len(recalls) == 300 and np.mean(recalls) >= 0.9 and share < 0.25
+    every = ix.search_index(spark, index, asked, 10, probes=78)
+    assert answer(every) == answer(truth)  # all cells: the exact answer
+    some = ix.search_index(spark, index, asked, 10, where=F.col("capsule_id") < "003000")
+    assert some.filter("capsule_id >= '003000'").count() == 0
+    one = ix.search_index(spark, index, asked.limit(1), 10, probes=2)
+    assert len({f.split("/")[-2] for f in one.sparkSession.read.parquet(f"{index.path}/vectors").inputFiles()}) <= 78 and one.count() == 10
+
+
+def test_index_of_few_and_no_vectors(spark):
+    v = spark.createDataFrame([(str(i), [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(5)], "capsule_id string, vector array<double>")
+    index = ix.fit_index(v, workspace(spark, "index"))
+    asked = v.withColumnRenamed("capsule_id", "query_id")
+    assert answer(ix.search_index(spark, index, asked, 2, probes=3)) == answer(vc.batch_search(v, asked, 2))
+    empty = ix.fit_index(v.where("false"), workspace(spark, "index"))
+    assert ix.search_index(spark, empty, asked.where("false"), 2).count() == 0
+
+
 def test_no_queries(tables):
     v, q = tables
     assert vc.batch_search(v, q.filter("false"), K).count() == 0

@@ -1,7 +1,8 @@
 """Embedding and top-K similarity search.
 
-The corpus is never moved: queries travel to it in blocks of bounded size, every task
-keeps its best K per query, and only those survivors are shuffled.
+The corpus is never moved: queries are stored once in blocks, every task that scans the
+corpus reads them from there and keeps its best K per query, and only those survivors
+are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyarrow import parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,8 @@ from tidegauge.session import materialize
 
 # queries and corpus rows per block: 2,048 and 8,192 vectors of 1,536 doubles are 25 and 100 MB in a task
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 8192
+# numbers of query vectors that a task keeps in memory; candidates it holds before it hands them on
+HELD_NUMBERS, HELD_HITS = 8 << 20, 2 << 20
 MIN_SIMILARITY = 0.5
 DIMENSION = 384
 SKETCH_BITS = 8
@@ -63,67 +69,124 @@ def above_floor(hits: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     return hits.filter(F.col("score") >= min_similarity)
 
 
-def _block_top_k(k: int, same: list[str], timed: bool, skip_self: bool):
-    """A cogroup body: best ``k`` of one corpus block for every query of one query block."""
-    def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or block.empty:
-            return pd.DataFrame({"query_id": np.empty(0, object), "capsule_id": np.empty(0, object), "score": np.empty(0)})
-        ids, names = block["query_id"].to_numpy(), rows["capsule_id"].to_numpy()
-        matrix = np.stack(block["vector"].to_numpy()).astype(np.float64).T
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists as rows of doubles."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+class QueryBlocks:
+    """Stored queries, a block at a time; read again for every corpus block unless they are few."""
+
+    def __init__(self, files: list[str], size: int):
+        self.files, self.size, self.held = sorted(files), size, None
+
+    def __iter__(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            yield from self.held
+            return
+        held, numbers = [], 0
+        for path in self.files:
+            system, local = fs.FileSystem.from_uri(path)
+            with system.open_input_file(local) as source:
+                for block in pq.ParquetFile(source).iter_batches(self.size):
+                    numbers += len(block.column("vector").flatten())
+                    held.append(block)
+                    if numbers > HELD_NUMBERS:
+                        held.clear()
+                    yield block
+        if numbers <= HELD_NUMBERS:
+            self.held = held
+
+
+def _met(rows: pa.RecordBatch, block: pa.RecordBatch, k: int, timed: bool, skip_self: bool) -> Iterator[pd.DataFrame]:
+    """Best ``k`` rows of one corpus block for every query of one query block, for each key they share."""
+    keys, lists = rows.column("key").to_numpy(zero_copy_only=False), block.column("keys")
+    of = np.repeat(np.arange(block.num_rows), np.diff(lists.offsets.to_numpy()))
+    offered = lists.flatten().to_numpy(zero_copy_only=False)
+    names, ids = rows.column("capsule_id").to_numpy(zero_copy_only=False), block.column("query_id").to_numpy(zero_copy_only=False)
+    vectors, wanted = None, None
+    for key in np.intersect1d(keys.astype(str), offered.astype(str)):
+        if vectors is None:
+            vectors, wanted = matrix(rows.column("vector")), matrix(block.column("vector"))
+        r, q = np.flatnonzero(keys == key), np.unique(of[offered == key])
         # rounding makes equal vectors tie exactly, whatever block they sit in
-        scores = np.round(np.stack(rows["vector"].to_numpy()).astype(np.float64) @ matrix, 9)
+        scores = np.round(vectors[r] @ wanted[q].T, 9)
         if timed:
-            t = rows["_t"].to_numpy()[:, None]
-            scores[(t < block["_f"].to_numpy()[None, :]) | (t > block["_u"].to_numpy()[None, :])] = -np.inf
+            t, start, end = (b.column(c).to_numpy()[i] for b, c, i in ((rows, "_t", r), (block, "_f", q), (block, "_u", q)))
+            scores[(t[:, None] < start[None, :]) | (t[:, None] > end[None, :])] = -np.inf
         if skip_self:
-            scores[names[:, None] == ids[None, :]] = -np.inf
-        floor = np.full(len(ids), -np.inf)
-        if len(names) > k:
-            floor = np.partition(scores, len(names) - k, axis=0)[len(names) - k]
+            scores[names[r][:, None] == ids[q][None, :]] = -np.inf
+        floor = np.full(len(q), -np.inf)
+        if len(r) > k:
+            floor = np.partition(scores, len(r) - k, axis=0)[len(r) - k]
         # rows that tie with the edge stay for the id rule
-        row, q = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
-        found = pd.DataFrame({"q": q, "capsule_id": names[row], "score": scores[row, q]})
-        found = found.sort_values(["q", "score", "capsule_id"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
-        return pd.DataFrame({"query_id": ids[found["q"].to_numpy()], "capsule_id": found["capsule_id"], "score": found["score"]})
+        row, column = np.nonzero((scores >= floor[None, :]) & (scores > -np.inf))
+        if len(row):
+            yield best(pd.DataFrame({"query_id": ids[q][column], "capsule_id": names[r][row], "score": scores[row, column]}), k)
 
-    return run
+
+def best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    return hits.sort_values(["query_id", "score", "capsule_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
 
 
 def batch_search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, same: tuple[str, ...] = (),
-    timed: bool = False, skip_self: bool = False, block_size: int = QUERY_BLOCK,
+    timed: bool = False, skip_self: bool = False, block_size: int = QUERY_BLOCK, within: str | None = None,
 ) -> DataFrame:
     """Exact top ``k`` of every query: ``query_id, capsule_id, score, position``.
 
-    ``same`` names columns that must be equal in query and vector; they are part of the
-    key that rows and queries meet by. ``timed`` limits a query to vectors whose
-    ``time_bucket`` lies in its ``time_from``..``time_to``. Corpus and queries are cut into
-    hashed blocks of about ``CORPUS_BLOCK`` and ``block_size`` rows; each pair of blocks is
-    one task's matrix product, and only its best ``k`` rows per query are shuffled on. Neither
-    side passes through the driver, and the plan is the same for any number of queries.
+    ``same`` names columns that must be equal in query and vector (null equals nothing);
+    ``within`` names a column of the vectors and an array column of the queries that must
+    hold its value. ``timed`` limits a query to vectors whose ``time_bucket`` lies in its
+    ``time_from``..``time_to``. Queries are stored once, ordered by what they look for. A
+    task that scans a part of the corpus reads them in blocks of ``block_size``, skips
+    blocks that share no key with its rows, and keeps the best ``k`` per query; these are
+    cut again before the only shuffle, which therefore carries at most ``k`` rows per
+    query and task, whatever the size of the corpus. Neither side passes through the
+    driver. The scratch table is read with pyarrow, whose filesystem must know its scheme.
     """
-    wanted = queries.select(
-        "query_id", "vector", *same,
+    def text(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    if within:
+        key, keys = text(within), F.transform(within, lambda x: x.cast("string"))
+    else:
+        key = F.concat_ws("\x1f", *map(text, same)) if same else F.lit("")
+        keys = F.array(key)
+    some = " AND ".join(f"{c} IS NOT NULL" for c in ["vector", *same, *([within] if within else [])])
+    wanted = queries.where(some).select(
+        F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), keys.alias("keys"),
         *([F.unix_seconds("time_from").alias("_f"), F.unix_seconds("time_to").alias("_u")] if timed else []),
     )
-    # counted and then read, so it is derived only once
-    wanted = materialize(wanted, "queries")
-    corpus = vectors.select(
-        "capsule_id", "vector", *same,
+    blocks = QueryBlocks(materialize(wanted.repartitionByRange(F.col("keys")[0], "query_id"), "queries").inputFiles(), block_size)
+    corpus = vectors.where(some).select(
+        F.col("capsule_id").cast("string").alias("capsule_id"), "vector", key.alias("key"),
         *([F.unix_seconds("time_bucket").alias("_t")] if timed else []),
     )
-    # rows meet within one value of ``same``, so its largest group sets the number of blocks
-    largest = lambda df: df.groupBy(*same).count().agg(F.max("count")).first()[0] or 0
-    n_queries, n_rows = max(1, -(-largest(wanted) // block_size)), max(1, -(-largest(vectors) // CORPUS_BLOCK))
-
-    def dealt(df: DataFrame, own: str, key: str, n: int, other: str, m: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, every)
-
-    keys = [*same, "_c", "_q"]
-    rows = dealt(corpus, "_c", "capsule_id", n_rows, "_q", n_queries).groupBy(*keys)
-    blocks = dealt(wanted, "_q", "query_id", n_queries, "_c", n_rows).groupBy(*keys)
-    found = rows.cogroup(blocks).applyInPandas(_block_top_k(k, list(same), timed, skip_self), HITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, least = [], 0, HELD_HITS
+
+        def hand_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(held[0], preserve_index=False)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, CORPUS_BLOCK):
+                for block in blocks:
+                    for hits in _met(batch.slice(at, CORPUS_BLOCK), block, k, timed, skip_self):
+                        held.append(hits)
+                        count += len(hits)
+                    if count > least:
+                        held = [best(pd.concat(held), k)]
+                        count = len(held[0])
+                        if count > HELD_HITS // 2:  # too many queries to hold: the shuffle cuts again
+                            yield hand_on()
+                            held, count = [], 0
+        if held:
+            held = [best(pd.concat(held), k)]
+            yield hand_on()
+
+    found = corpus.mapInArrow(run, HITS)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "capsule_id")
     return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
@@ -134,6 +197,13 @@ def related_capsules(vectors: DataFrame, capsule_ids: DataFrame, k: int = 5) ->
     return batch_search(vectors, chosen.select(F.col("capsule_id").alias("query_id"), "vector"), k, skip_self=True)
 
 
+def search_texts(corpus: DataFrame, texts: DataFrame, id_col: str, text: str, k: int = 20) -> DataFrame:
+    """The ``k`` nearest texts of the corpus for every row of ``texts`` (``query_id`` and the text column)."""
+    vectors = embed_terms(corpus, id_col, text).withColumnRenamed(id_col, "capsule_id")
+    wanted = embed_terms(texts, "query_id", text, fit=corpus.withColumnRenamed(id_col, "query_id"))
+    return batch_search(vectors, wanted, k)
+
+
 # --- approximate search ----------------------------------------------------------------
 
 
@@ -166,14 +236,14 @@ def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 10, radi
     """
     if "sketch" not in vectors.columns:
         vectors = vectors.withColumn("sketch", sketch(F.col("vector")))
-    return batch_search(vectors, probes(queries, radius), k, same=("sketch",))
+    return batch_search(vectors, probes(queries, radius), k, within="sketch")
 
 
 def probes(queries: DataFrame, radius: int) -> DataFrame:
-    """One row per query and sketch that differs from its own in at most ``radius`` bits."""
+    """``sketch``: all sketches that differ from a query's own in at most ``radius`` bits."""
     near = F.array(*[F.lit(flip) for flip in range(1 << SKETCH_BITS) if flip.bit_count() <= radius])
     own = queries.withColumn("_own", sketch(F.col("vector")))
-    return own.withColumn("_flip", F.explode(near)).withColumn("sketch", F.col("_own").bitwiseXOR(F.col("_flip"))).drop("_own", "_flip")
+    return own.withColumn("sketch", F.transform(near, lambda flip: F.col("_own").bitwiseXOR(flip))).drop("_own")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
