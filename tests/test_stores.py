@@ -1,10 +1,11 @@
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.session import workspace
 from tidegauge.sources import ingest, stores
+from tidegauge.sources.versions import VersionedTable
 from tidegauge.schemas import METRIC_SAMPLE, TRACE_EXPORT
 
 T0 = datetime(2024, 1, 1)
@@ -16,7 +17,7 @@ def caps(spark, rows):
 
 
 def content(spark, path):
-    return sorted((r["f"], r["s"], r["b"], r["n"]) for r in spark.read.parquet(path).collect())
+    return sorted((r["f"], r["s"], r["b"], r["n"]) for r in stores.read_table(spark, path).collect())
 
 
 def test_same_key_updates_other_bucket_inserts(spark):
@@ -45,10 +46,16 @@ def test_retention_drops_whole_days(spark):
 
 
 def test_compaction_keeps_rows(spark):
-    path, target = workspace(spark, "c"), workspace(spark, "c")
-    stores.upsert(path, caps(spark, [(str(i), "ab"[i % 2], i % 48, i) for i in range(200)]), KEYS, "b")
-    stores.compact(path, spark, target, "2024-02-01", 7, "s", "b")
-    assert content(spark, target) == content(spark, path)
+    path = workspace(spark, "c")
+    stores.upsert(path, caps(spark, [(str(i), "ab"[i % 2], i % 72, i) for i in range(200)]), KEYS, "b")
+    before = content(spark, path)
+    assert stores.compact(path, spark, "2024-01-10", 7, "s", "b") == ["2024-01-01", "2024-01-02"]
+    assert content(spark, path) == before
+    assert stores.compact(path, spark, "2024-01-10", 7, "s", "b") == []  # once is enough
+    files = [f for f in stores.read_table(spark, path).inputFiles() if "2024-01-03" not in f]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+    stores.upsert(path, caps(spark, [("0", "a", 0, 99)]), KEYS, "b")
+    assert stores.compact(path, spark, "2024-01-10", 7, "s", "b") == ["2024-01-01"] and ("0", "a", T0, 99) in content(spark, path)
 
 
 def sample_rows(spark, n):
@@ -70,14 +77,139 @@ def test_too_many_samples_fail(spark):
         stores.write_samples(sample_rows(spark, 11), workspace(spark, "s"))
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "capsule_id string, environment string, service_name string, time_bucket timestamp")
+
+
 def test_vector_delete(spark):
-    a, b = workspace(spark, "v"), workspace(spark, "v")
-    v = spark.createDataFrame([("1", "prod"), ("2", "dev"), ("3", "prod")], "capsule_id string, environment string")
-    stores.insert_vectors(v, a)
-    left = stores.delete_vectors(spark, a, spark.createDataFrame([("3",), ("9",)], "capsule_id string"), b)
-    assert sorted(r["capsule_id"] for r in left.collect()) == ["1", "2"]
-    assert stores.collection_stats(left).first()["num_entities"] == 2
-    assert stores.table_stats(left, "vectors").first()["row_count"] == 2
+    path = workspace(spark, "v")
+    v = vectors(spark, [("1", "prod", "a", T0), ("2", "dev", "a", T0), ("3", "prod", "b", T0)])
+    for _ in range(2):  # a replayed insert leaves the same rows
+        stores.insert_vectors(v, path, "w", 0)
+    files = set(stores.read_vectors(spark, path).inputFiles())
+    for _ in range(2):
+        stores.delete_vectors(spark, path, spark.createDataFrame([("3",), ("9",)], "capsule_id string"), "w", 1)
+    ids = lambda: sorted(r["capsule_id"] for r in stores.read_vectors(spark, path).collect())
+    table = VersionedTable(spark, path, "environment")
+    assert ids() == ["1", "2"] and {f for f in files} == data_files(spark, table)  # no data file was written
+    stores.insert_vectors(v.filter("capsule_id = '3'"), path, "w", 2)  # inserted again after the delete
+    assert ids() == ["1", "2", "3"] and table.record()["marks"]
+    assert stores.compact_vectors(spark, path) == ["dev", "prod"]
+    assert ids() == ["1", "2", "3"] and not table.record()["marks"] and stores.compact_vectors(spark, path) == []
+    assert stores.collection_stats(stores.read_vectors(spark, path)).first()["num_entities"] == 3
+    assert stores.table_stats(spark.read.parquet(*stores.read_vectors(spark, path).inputFiles()), "vectors").first()["row_count"] == 3
+
+
+def data_files(spark, table):
+    return {f for e in table.record()["live"].values() for x in e for f in spark.read.parquet(f"{table.path}/data/v={x['folder']}").inputFiles()}
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.fixture
+def stopping(monkeypatch):
+    """Stops before the n-th write of any kind; returns the number of writes met."""
+    state = {"left": None, "met": 0}
+
+    def guard(name):
+        real = getattr(VersionedTable, name)
+
+        def guarded(self, *args, **kw):
+            state["met"] += 1
+            if state["left"] is not None:
+                if state["left"] == 0:
+                    raise Stop(name)
+                state["left"] -= 1
+            return real(self, *args, **kw)
+
+        monkeypatch.setattr(VersionedTable, name, guarded)
+
+    for name in ("_write", "_rename_new", "_hadoop"):
+        guard(name)
+    return state
+
+
+@pytest.mark.parametrize("kind", ["upsert", "append", "delete", "compact"])
+def test_stopped_between_any_two_writes(spark, stopping, kind):
+    rows = caps(spark, [("x", "a", 0, 1), ("y", "a", 0, 7), ("z", "a", 30, 9)]).withColumn("day", F.to_date("b")).coalesce(1)
+    more = caps(spark, [("x", "a", 0, 2), ("x", "a", 1, 3), ("w", "a", 80, 4)]).withColumn("day", F.to_date("b")).coalesce(1)
+    change = {
+        "upsert": lambda t: t.upsert(more, KEYS, None, "w", 1), "append": lambda t: t.append(more, "w", 1),
+        "delete": lambda t: t.delete(rows.filter("f = 'x'").select(*KEYS), "w", 1), "compact": lambda t: t.compact("s", "b"),
+    }[kind]
+
+    def started():
+        stopping["left"] = None
+        table = VersionedTable(spark, workspace(spark, "crash"))
+        table.append(rows, "w", 0)
+        return table
+
+    shown = lambda t: sorted(tuple(r) for r in t.read().collect())
+    table = started()
+    old = shown(table)
+    stopping["met"] = 0
+    change(table)
+    steps, new = stopping["met"], shown(table)
+    assert (old == new) == (kind == "compact") and steps > 3
+    for step in range(0, steps, 2):
+        table = started()
+        stopping["left"] = step
+        with pytest.raises(Stop):
+            change(table)
+        stopping["left"] = None
+        assert shown(table) in (old, new)  # never a part of the change
+        change(table)
+        assert shown(table) == new
+        change(table)
+        assert shown(table) == new
+        assert table.vacuum(older_than_hours=0) >= 0 and shown(table) == new
+
+
+def test_two_writers(spark):
+    """A writer whose partitions were changed meanwhile merges again; others do not wait for each other."""
+    path = workspace(spark, "two")
+    stores.upsert(path, caps(spark, [("x", "a", 0, 1)]), KEYS, "b")
+    first = VersionedTable(spark, path)
+    real, fired = first._write, []
+
+    def slow(rows, **options):
+        out = real(rows, **options)
+        if not fired:
+            fired.append(stores.upsert(path, caps(spark, [("y", "a", 0, 5), ("z", "a", 50, 6)]), KEYS, "b"))
+        return out
+
+    first._write = slow
+    first.upsert(caps(spark, [("x", "a", 0, 2)]).withColumn("day", F.to_date("b")), KEYS)
+    assert [(r[0], r[3]) for r in content(spark, path)] == [("x", 2), ("y", 5), ("z", 6)]
+    assert first.versions() == [1, 2, 3] and [r["f"] for r in first.read(1).collect()] == ["x"]
+
+
+def test_odd_partition_values(spark):
+    table = VersionedTable(spark, workspace(spark, "odd"), "environment")
+    rows = vectors(spark, [("1", "a b/c=d%", "s", T0), ("2", None, "s", T0), ("3", "", "s", T0)])
+    table.upsert(rows, ["capsule_id"])
+    table.upsert(vectors(spark, [("1", "a b/c=d%", "t", T0), ("2", None, "t", T0)]), ["capsule_id"])
+    got = sorted((r["capsule_id"], r["environment"], r["service_name"]) for r in table.read().collect())
+    assert got[:2] == [("1", "a b/c=d%", "t"), ("2", None, "t")] and got[2][2] == "s"
+
+
+def test_policies(spark):
+    last = date(2024, 6, 1)
+    for kind, policy in stores.POLICIES.items():
+        path = workspace(spark, kind)
+        days = [last - timedelta(days=n) for n in range(0, 400, 10)]
+        name = (lambda day: str(day)[:7]) if policy.partition == "month" else str
+        rows = spark.createDataFrame([(name(day), day, "s", "i") for day in days], "p string, at date, service_name string, sli_id string")
+        rows = rows.withColumnRenamed("p", policy.partition).withColumn("time_bucket", F.col("at").cast("timestamp")).withColumn("created_at", F.col("time_bucket"))
+        VersionedTable(spark, path, policy.partition).append(rows.coalesce(1))
+        done = stores.upkeep(spark, path, kind, str(last))
+        edge = lambda n: name(last - timedelta(days=n))
+        kept = sorted(r["at"] for r in stores.read_table(spark, path, policy.partition).collect())
+        assert kept == sorted(day for day in days if name(day) >= edge(policy.retention))
+        old = {name(day) for day in kept if policy.compaction is not None and name(day) < edge(policy.compaction)}
+        assert set(done["rewritten"]) == old and done["dropped"]
 
 
 def test_metric_samples(spark):

@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from tidegauge.functions import naming
 from tidegauge.operators import capsules as cp
 from tidegauge.operators import evidence as ev
+from tidegauge.operators import index as ix
 from tidegauge.operators import vectors as vc
 from tidegauge.plans.ctes import CAPSULES, CATALOG, FP, HITS, VEC, redact_sql
 from tidegauge.plans.registry import query, r6, stamp
 from tidegauge.session import materialize, workspace
-from tidegauge.sources import adapters
+from tidegauge.sources import adapters, stores
 
 
 @query("similar_capsules", f"""
@@ -87,6 +88,59 @@ def approximate_recall(spark, d):
     return vc.recall(vc.approximate_search(v, q, 10, 2), vc.batch_search(v, q, 10)).withColumn("recall", r6("recall"))
 
 
+def _index_sql(rounds: int = ix.ROUNDS) -> str:
+    """The index in SQL: centres after every round, cells, and the number of probes."""
+    steps = [f"""
+smp AS (SELECT row_number() OVER (ORDER BY md5(capsule_id), capsule_id) - 1 AS r, capsule_id, vector FROM vec),
+size AS (SELECT least({ix.MOST_CELLS}, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS cells FROM vec),
+c0 AS (SELECT r AS cell, vector AS centre FROM smp, size WHERE r < cells)"""]
+    nearest = "arg_min(cell, cell) FILTER (score = top)"
+    for i in range(rounds):
+        steps.append(f"""
+a{i} AS (SELECT r, {nearest} AS cell FROM (SELECT *, max(score) OVER (PARTITION BY r) AS top FROM (
+  SELECT r, cell, round(list_inner_product(vector, centre), 9) AS score FROM smp CROSS JOIN c{i} WHERE r < {ix.SAMPLE})) GROUP BY r),
+m{i} AS (SELECT cell, pos, avg(x) AS x FROM (SELECT cell, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM a{i} JOIN smp USING (r)) GROUP BY cell, pos),
+n{i} AS (SELECT cell, list(round(x / norm, 9) ORDER BY pos) AS centre FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY cell)) AS norm FROM m{i}) GROUP BY cell),
+c{i + 1} AS (SELECT cell, coalesce(n{i}.centre, c{i}.centre) AS centre FROM c{i} LEFT JOIN n{i} USING (cell))""")
+    return ",".join(steps) + f""",
+cells AS (SELECT capsule_id, {nearest} AS cell FROM (SELECT *, max(score) OVER (PARTITION BY capsule_id) AS top FROM (
+  SELECT capsule_id, cell, round(list_inner_product(vector, centre), 9) AS score FROM smp CROSS JOIN c{rounds})) GROUP BY capsule_id),
+trial AS (SELECT capsule_id AS query_id, vector FROM smp WHERE r < {ix.TRIALS}),
+tt AS (SELECT query_id, v.capsule_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(v.vector, t.vector), 9) DESC, v.capsule_id) AS p
+  FROM trial t JOIN vec v ON v.capsule_id <> t.query_id),
+places AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(vector, centre), 9) DESC, cell) AS place FROM (
+  SELECT query_id, vector FROM trial UNION ALL SELECT query_id, vector FROM qv) CROSS JOIN c{rounds}),
+ranks AS (SELECT place, row_number() OVER (ORDER BY place) AS i, count(*) OVER () AS n FROM tt JOIN cells USING (capsule_id) JOIN places USING (query_id, cell) WHERE p <= 10),
+probes AS (SELECT min(place) AS probes FROM ranks WHERE i = CAST(ceil(n * {ix.TARGET}) AS BIGINT)),
+near AS (SELECT query_id, capsule_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, capsule_id) AS position
+  FROM pairs JOIN cells USING (capsule_id) JOIN places USING (query_id, cell), probes WHERE place <= probes),
+truth AS (SELECT query_id, capsule_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, capsule_id) AS position FROM pairs)"""
+
+
+def fitted(spark, d):
+    return ix.fit_index(adapters.vectors(spark, d), workspace(spark, "vector-index"))
+
+
+@query("indexed_similarity", f"WITH {HITS},{_index_sql()} SELECT query_id, capsule_id, round(score, 6) AS score, position FROM near WHERE position <= 10")
+def indexed_similarity(spark, d):
+    return ix.search_index(spark, fitted(spark, d), adapters.query_vectors(spark, d), 10).withColumn("score", r6("score"))
+
+
+@query("indexed_recall", f"""
+WITH {HITS},{_index_sql()}, sizes AS (SELECT cell, count(*) AS n FROM cells GROUP BY cell),
+scored AS (SELECT query_id, sum(n) AS scored FROM places JOIN sizes USING (cell), probes WHERE place <= probes GROUP BY query_id)
+SELECT t.query_id, count(*) AS expected, count(n.capsule_id) AS found, round(count(n.capsule_id) / count(*), 6) AS recall, any_value(probes) AS probes,
+  round(any_value(scored) / (SELECT count(*) FROM vec), 6) AS scored_share
+FROM (SELECT * FROM truth WHERE position <= 10) t LEFT JOIN (SELECT * FROM near WHERE position <= 10) n USING (query_id, capsule_id)
+JOIN scored ON scored.query_id = t.query_id, probes GROUP BY t.query_id""")
+def indexed_recall(spark, d):
+    index, asked = fitted(spark, d), adapters.query_vectors(spark, d)
+    exact = vc.batch_search(adapters.vectors(spark, d), asked, 10)
+    out = vc.recall(ix.search_index(spark, index, asked, 10), exact).join(ix.pairs_scored(spark, index, asked), "query_id")
+    return out.select("query_id", "expected", "found", r6("recall").alias("recall"), F.lit(index.probes).cast("bigint").alias("probes"),
+                      r6(F.col("scored") / F.col("stored")).alias("scored_share"))
+
+
 # --- embeddings of templates --------------------------------------------------------
 
 _EMB = FP + """,
@@ -120,11 +174,8 @@ qe AS (SELECT slot, w / sqrt(sum(w * w) OVER ()) AS x FROM qw),
 sc AS (SELECT fingerprint_hash, round(sum(emb.x * qe.x), 9) AS score FROM emb JOIN qe USING (slot) GROUP BY fingerprint_hash)
 SELECT fingerprint_hash AS capsule_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, fingerprint_hash LIMIT 20""")
 def template_search(spark, d):
-    corpus = templates(spark, d)
-    vectors = vc.embed_terms(corpus, "fingerprint_hash", "template").withColumnRenamed("fingerprint_hash", "capsule_id")
     text = spark.createDataFrame([("q", _SEARCH_TEXT)], "query_id string, template string")
-    q = vc.embed_terms(text, "query_id", "template", fit=corpus.withColumnRenamed("fingerprint_hash", "query_id"))
-    return vc.batch_search(vectors, q, 20).select("capsule_id", r6("score").alias("score"))
+    return vc.search_texts(templates(spark, d), text, "fingerprint_hash", "template", 20).select("capsule_id", r6("score").alias("score"))
 
 
 # --- evidence -------------------------------------------------------------------------
@@ -209,7 +260,7 @@ def stored_evidence(spark, d):
     found = materialize(links(spark, d)[0], "links")
     for _ in range(2):
         ev.store_evidence(path, found, "2024-06-01")
-    return spark.read.parquet(path).select(
+    return stores.read_table(spark, path).select(
         "sli_id", "capsule_id", "trace_id", "log_sample", "redaction_status", r6("confidence_contribution").alias("confidence_contribution")
     )
 

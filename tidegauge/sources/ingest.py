@@ -124,3 +124,9 @@ def split_oversize(events: DataFrame, limit: int = OVERSIZE_BYTES) -> tuple[Data
     )
     blobs = events.filter(big).select(key.alias("key"), "message")
     return kept, blobs
+
+
+def with_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Rows with their whole messages again: those that moved to a blob come back by key."""
+    stored = blobs.select(F.col("key").alias("raw_blob_s3_key"), F.col("message").alias("_blob")).dropDuplicates(["raw_blob_s3_key"])
+    return rows.join(stored, "raw_blob_s3_key", "left").withColumn("message", F.coalesce("message", "_blob")).select(*rows.columns)

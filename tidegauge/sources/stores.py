@@ -1,20 +1,24 @@
 """Tables on shared storage: capsules, samples, vectors; upkeep and statistics.
 
-A table is parquet partitioned by date (vectors by environment). Writers replace whole
-partitions, so a repeated write leaves the same table.
+Capsules, objectives, raw rows and vectors are versioned tables by date (vectors by
+environment); sample files and summaries are plain partitions that writers replace
+whole, so a repeated write leaves the same table.
 """
 
 from __future__ import annotations
 
 from datetime import date, timedelta
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidegauge.constants import MAX_SAMPLES
+from tidegauge.constants import (
+    CAPSULE_COMPACT_DAYS, CAPSULE_RETENTION_DAYS, MAX_SAMPLES, OBJECTIVE_COMPACT_DAYS, OBJECTIVE_RETENTION_DAYS, RAW_RETENTION_DAYS,
+)
 from tidegauge.schemas import STRING_MAP
-from tidegauge.session import discard, materialize, workspace
+from tidegauge.sources.versions import VersionedTable
 
 
 def read_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
@@ -35,49 +39,60 @@ def _replace_partitions(df: DataFrame, path: str, partition: str) -> None:
 
 
 def upsert(
-    path: str, changes: DataFrame, keys: list[str], time_column: str, newest: str | None = None
+    path: str, changes: DataFrame, keys: list[str], time_column: str, newest: str | None = None,
+    writer: str | None = None, batch: int | None = None,
 ) -> None:
     """Insert or replace by key; touches only the days that occur in ``changes``.
 
-    Within one change set the row with the largest ``newest`` value wins. The merged
-    days are written aside first, as the table cannot be read and replaced at once.
+    Within one change set the row with the largest ``newest`` value wins. With the name
+    of a ``writer`` and a number that grows, a repeated ``batch`` does nothing.
     """
-    spark = changes.sparkSession
-    day = F.to_date(time_column)
-    fresh = changes.withColumn("day", day)
-    # a hash of the whole row settles ties the same way on every attempt
-    order = Window.partitionBy(*keys).orderBy(
-        *([F.col(newest).desc()] if newest else []), F.xxhash64(F.to_json(F.struct(*changes.columns)))
-    )
-    fresh = fresh.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
-    scratch = [workspace(spark, "upsert"), workspace(spark, "upsert")]
-    fresh = materialize(fresh, "upsert", scratch[0])
-    old = read_or_none(spark, path)
-    if old is not None:
-        days = fresh.select("day").distinct()
-        kept = old.join(F.broadcast(days), "day", "left_semi").join(fresh.select(*keys), keys, "left_anti")
-        fresh = materialize(kept.select(*fresh.columns).unionByName(fresh), "upsert", scratch[1])
-    _replace_partitions(fresh, path, "day")
-    for folder in scratch:
-        discard(spark, folder)
+    table = VersionedTable(changes.sparkSession, path)
+    table.upsert(changes.withColumn("day", F.to_date(time_column)), keys, newest, writer, batch)
 
 
-def drop_expired(path: str, spark: SparkSession, as_of, days: int, partition: str = "day") -> list[str]:
-    """Deletes date partitions older than the retention time; returns their dates.
+def read_table(spark: SparkSession, path: str, partition: str = "day") -> DataFrame | None:
+    """The newest version of a stored table; None before the first write."""
+    return VersionedTable(spark, path, partition).read()
+
 
-    Only folder names are listed: no data file is opened.
+class Policy(NamedTuple):
+    """Days after which partitions are dropped, and after which they are rewritten by ``segment``, newest ``order`` first.
+
+    A partition is a ``day`` or, where a day has few rows, a ``month``; it goes when all of it is too old.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    cutoff = str(date.fromisoformat(str(as_of)[:10]) - timedelta(days=days))
-    expired = []
-    for entry in fs.listStatus(root):  # one folder per day of history
-        name = entry.getPath().getName()
-        if name.startswith(f"{partition}=") and name.split("=", 1)[1] < cutoff:
-            fs.delete(entry.getPath(), True)
-            expired.append(name.split("=", 1)[1])
-    return sorted(expired)
+
+    retention: int
+    compaction: int | None = None
+    segment: str | None = None
+    order: str | None = None
+    partition: str = "day"
+
+
+POLICIES = {
+    "capsules": Policy(CAPSULE_RETENTION_DAYS, CAPSULE_COMPACT_DAYS, "service_name", "time_bucket"),
+    "objectives": Policy(OBJECTIVE_RETENTION_DAYS, OBJECTIVE_COMPACT_DAYS, "sli_id", "created_at", "month"),
+    "raw": Policy(RAW_RETENTION_DAYS),
+}
+
+
+def upkeep(spark: SparkSession, path: str, kind: str, as_of) -> dict[str, list[str]]:
+    """Applies the policy of a kind of table as of a day; returns the days (or months) dropped and rewritten."""
+    policy = POLICIES[kind]
+    dropped = drop_expired(path, spark, as_of, policy.retention, policy.partition)
+    if policy.compaction is None:
+        return {"dropped": dropped, "rewritten": []}
+    return {"dropped": dropped, "rewritten": compact(path, spark, as_of, policy.compaction, policy.segment, policy.order, policy.partition)}
+
+
+def _oldest(as_of, days: int, partition: str) -> str:
+    """The first partition that is not wholly older than so many days."""
+    return str(date.fromisoformat(str(as_of)[:10]) - timedelta(days=days))[:7 if partition == "month" else 10]
+
+
+def drop_expired(path: str, spark: SparkSession, as_of, days: int, partition: str = "day") -> list[str]:
+    """Drops what is older than the retention time from the table; returns it. No data file is opened."""
+    return VersionedTable(spark, path, partition).expire(_oldest(as_of, days, partition))
 
 
 def unexpired(df: DataFrame, time_column: str, as_of, days: int) -> DataFrame:
@@ -85,16 +100,11 @@ def unexpired(df: DataFrame, time_column: str, as_of, days: int) -> DataFrame:
     return df.filter(F.to_date(time_column) >= F.to_date(F.lit(as_of)) - F.lit(days))
 
 
-def compact(path: str, spark: SparkSession, target: str, as_of, older_than_days: int, segment: str, order: str, salts: int = 8) -> None:
-    """Rewrites old days segmented by ``segment``, newest first, with strong compression.
-
-    The salt splits one segment that owns a day; readers see the same rows.
-    """
-    old = spark.read.parquet(path).filter(F.col("day") < F.to_date(F.lit(as_of)) - F.lit(older_than_days))
-    salt = F.pmod(F.xxhash64(order), F.lit(salts))
-    old.repartition("day", segment, salt).sortWithinPartitions("day", segment, F.col(order).desc()).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(target)
+def compact(
+    path: str, spark: SparkSession, as_of, older_than_days: int, segment: str, order: str, partition: str = "day", salts: int = 8,
+) -> list[str]:
+    """Rewrites old partitions in place, segmented by ``segment``, newest first, with strong compression; returns them."""
+    return VersionedTable(spark, path, partition).compact(segment, order, _oldest(as_of, older_than_days, partition), salts)
 
 
 def table_stats(df: DataFrame, name: str) -> DataFrame:
@@ -158,17 +168,23 @@ def expand_sample_ids(ids: Column, bucket: Column) -> Column:
 # --- vectors -------------------------------------------------------------------------
 
 
-def insert_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.hint("rebalance", F.col("environment")).write.mode("append").partitionBy(
-        "environment"
-    ).parquet(path)
+def insert_vectors(vectors: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Adds vectors; a batch that is inserted again does nothing."""
+    VersionedTable(vectors.sparkSession, path, "environment").append(vectors, writer, batch)
+
+
+def delete_vectors(spark: SparkSession, path: str, ids: DataFrame, writer: str | None = None, batch: int | None = None) -> None:
+    """Marks the ids (``capsule_id``, and ``environment`` if given) as deleted; ``compact_vectors`` folds the marks in."""
+    keys = [c for c in ("environment", "capsule_id") if c in ids.columns]
+    VersionedTable(spark, path, "environment").delete(ids.select(*keys), writer, batch)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_table(spark, path, "environment")
 
 
-def delete_vectors(spark: SparkSession, path: str, ids: DataFrame, target: str) -> DataFrame:
-    """The collection without the given ids, written to ``target``."""
-    kept = spark.read.parquet(path).join(ids.select("capsule_id").distinct(), "capsule_id", "left_anti")
-    insert_vectors(kept, target)
-    return spark.read.parquet(target)
+def compact_vectors(spark: SparkSession, path: str, segment: str = "service_name", order: str = "time_bucket") -> list[str]:
+    return VersionedTable(spark, path, "environment").compact(segment, order)
 
 
 # --- incremental summary ---------------------------------------------------------------
