@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import capsules as cp
 from tidegauge.plans.streams import LetterEmbedder
-from tidegauge.schemas import TELEMETRY
+from tidegauge.schemas import EMBEDDING, TELEMETRY
 from tidegauge.session import workspace
+from tidegauge.sources import ingest, stores
 from tidegauge.streaming import jobs, sinks
 
 T0 = datetime(2024, 1, 1)
@@ -32,19 +33,19 @@ def source(spark, path):
     return spark.readStream.schema(TELEMETRY).option("maxFilesPerTrigger", 1).parquet(f"{path}/part-*")
 
 
-def run(spark, path, dirs=None, ck=None):
-    dirs = dirs or [workspace(spark, p) for p in ("totals", "samples", "marks", "running")]
+def run(spark, path, dirs=None, ck=None, salts=jobs.SALTS):
+    dirs = dirs or [workspace(spark, p) for p in ("capsules", "running")]
     ck = ck or [workspace(spark, "ck"), workspace(spark, "ck")]
-    jobs.start_capsules(source(spark, path), *dirs[:3], ck[0], ONCE).awaitTermination()
-    jobs.start_totals(source(spark, path), dirs[3], ck[1], ONCE).awaitTermination()
+    jobs.start_capsules(source(spark, path), dirs[0], ck[0], ONCE, salts=salts).awaitTermination()
+    jobs.start_totals(source(spark, path), dirs[1], ck[1], ONCE).awaitTermination()
     return dirs, ck
 
 
 def capsules(spark, dirs):
-    rows = jobs.read_capsules(spark, dirs[0], dirs[1]).collect()
+    rows = jobs.read_capsules(spark, dirs[0]).collect()
     out = {(r["template"], r["time_bucket"]): (r["count"], r["sample_event_ids"], r["severity"], r["severity_distribution"]) for r in rows}
     # the stateful job agrees
-    running = {(r["template"], r["time_bucket"]): (r["count"], r["severity"]) for r in jobs.read_totals(spark, dirs[3]).collect()}
+    running = {(r["template"], r["time_bucket"]): (r["count"], r["severity"]) for r in jobs.read_totals(spark, dirs[1]).collect()}
     assert running == {k: (v[0], v[2]) for k, v in out.items()}
     return out
 
@@ -90,16 +91,63 @@ def test_stream_equals_batch_over_many_batches(spark):
     assert got == want
 
 
+def test_one_part_and_many_parts_agree(spark):
+    path = workspace(spark, "salts")
+    rows = [event(i, i // 40, "hot") for i in range(400)]
+    land(spark, path, [rows[:200], rows[200:]])
+    few, many = (capsules(spark, run(spark, path, salts=n)[0]) for n in (1, 7))
+    assert few == many and few[("hot", T0)][0] == 400 and len(few[("hot", T0)][1]) == 10
+
+
 def test_replayed_batch_leaves_the_same_data(spark):
-    totals, path, marks = (workspace(spark, p) for p in "tsm")
-    write = jobs.capsule_writer(totals, path, marks)
-    df = spark.createDataFrame([event(i, i) for i in range(50)], TELEMETRY)
-    write(df, 0)
-    write(df, 0)
-    write(df.limit(0), 1)  # an empty batch keeps the mark
-    assert spark.read.parquet(path).count() == 10
-    assert spark.read.parquet(totals).agg(F.sum("count")).first()[0] == 50
-    assert {r["mark"] for r in spark.read.parquet(marks).collect()} == {int((T0 + timedelta(minutes=49)).timestamp() * 1e6)}
+    path = workspace(spark, "t")
+    write = sinks.upsert_writer(path, ["id"], "at")
+    df = spark.range(50).withColumn("at", F.lit(T0).cast("timestamp"))
+    write(df.withColumn("n", F.lit(1)), 0)
+    write(df.withColumn("n", F.lit(2)), 1)
+    write(df.withColumn("n", F.lit(1)), 0)  # replayed: the table has seen it
+    write(df.withColumn("n", F.lit(3)).limit(0), 2)
+    assert {(r["n"], r["c"]) for r in stores.read_table(spark, path).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()} == {(2, 50)}
+
+
+def test_session_settings_come_back(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    with jobs.state_settings(spark):
+        assert "RocksDB" in spark.conf.get(key)
+    assert spark.conf.get(key, None) == before
+
+
+def test_state_of_closed_hours_is_dropped(spark):
+    path = workspace(spark, "closed")
+    land(spark, path, [[event(1, 5)], [event(2, 200)], [event(3, 205)]])
+    ck, dirs = [workspace(spark, "ck"), workspace(spark, "ck")], None
+    dirs, _ = run(spark, path, dirs, ck, salts=1)
+    state = spark.read.format("statestore").option("stateVarName", "capsule").load(ck[0])
+    assert [r.key.bucket for r in state.select("key").collect()] == [int((T0 + timedelta(hours=3)).timestamp())]
+    assert {k[1] for k in capsules(spark, dirs)} == {T0, T0 + timedelta(hours=3)}
+
+
+def test_decoding(spark):
+    values = ['{"event_id":"1","timestamp":"2024-01-01T00:00:00.123456Z","attributes":{"a":"b"},"other":1}', "not json", "", "[]", "5", "null",
+              '{"event_id":"2","timestamp":"soon"}', '{"event_id":"3"', None, " {}"]
+    df = spark.createDataFrame([(v,) for v in values], "value string").select(F.col("value").cast("binary").alias("value"))
+    good, dead = jobs.decoded(df)
+    rows = sorted(((r.event_id, r.timestamp, r.attributes) for r in good.collect()), key=str)
+    assert rows == [("1", datetime(2024, 1, 1, 0, 0, 0, 123456), {"a": "b"}), (None, None, None)]
+    assert sorted((bytes(r.value).decode() if r.value is not None else "~") for r in dead.collect()) == sorted("~" if v is None else v for v in values[1:-1])
+
+
+def test_oversize_blobs_come_back(spark):
+    rows, blobs, dead = (workspace(spark, p) for p in "rbd")
+    write = sinks.oversize_writer(rows, blobs, dead, 11)
+    df = spark.createDataFrame([event(1, 1, "x" * 20), event(2, 2, "short"), event(3, 3, "é" * 6), event(4, 4, "y" * 30, "LOUD")], TELEMETRY)
+    for _ in range(2):
+        write(df, 0)
+    stored, moved = jobs.read_batches(spark, rows), jobs.read_batches(spark, blobs)
+    assert {r.event_id: r.message for r in stored.collect()} == {"1": None, "2": "short", "3": None} and moved.count() == 2
+    assert {r.event_id: r.message for r in ingest.with_blobs(stored, moved).collect()} == {"1": "x" * 20, "2": "short", "3": "é" * 6}
+    assert jobs.read_batches(spark, dead).count() == 1
 
 
 def test_split_writer(spark):
@@ -139,9 +187,9 @@ def test_embedding_batches_and_gate(spark, n):
     dirs = [workspace(spark, p) for p in ("v", "f", "r")]
     stream = spark.readStream.schema(df.schema).parquet(path)
     jobs.start_embeddings(stream, Counting(), *dirs, workspace(spark, "ck"), ONCE).awaitTermination()
-    vectors = spark.read.parquet(dirs[0])
-    assert vectors.count() == (n + 1) // 2
-    assert np.linalg.norm(vectors.first()["vector"]) == pytest.approx(1, abs=1e-5)
+    vectors = stores.read_vectors(spark, dirs[0])
+    assert vectors.count() == (n + 1) // 2 and set(vectors.columns) == {*EMBEDDING.names, "environment"}
+    assert np.linalg.norm(vectors.first()["embedding_vector"]) == pytest.approx(1, abs=1e-5)
     assert {r["embedding_model"] for r in vectors.collect()} == {"letters"}
     assert spark.read.parquet(dirs[2]).count() == n // 2
     assert jobs.read_batches(spark, dirs[1]) is None

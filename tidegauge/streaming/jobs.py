@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tidegauge.constants import BUCKET, LATENESS, LATENESS_SECONDS, SEVERITIES
+from tidegauge.constants import BUCKET, LATENESS, MAX_SAMPLES, SEVERITIES
 from tidegauge.functions.text import template_messages
-from tidegauge.operators.capsules import bottom_k, capsule_totals, describe_totals, pack_samples, split_valid, ready_for_embedding
+from tidegauge.operators.capsules import KEY, capsule_id, capsule_totals, describe_totals, ready_for_embedding, split_valid
 from tidegauge.operators.vectors import Embedder, embed_with
-from tidegauge.session import discard, materialize, workspace
-from tidegauge.sources.stores import read_or_none
-from tidegauge.streaming.sinks import batch_writer, with_fallback
+from tidegauge.schemas import EMBEDDING, TELEMETRY
+from tidegauge.sources.stores import read_or_none, read_table
+from tidegauge.sources.versions import VersionedTable
+from tidegauge.streaming.sinks import batch_writer, upsert_writer, with_fallback
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -25,17 +30,51 @@ STATE_SETTINGS = {
 }
 
 KEYS = ["template", "service_name", "time_bucket"]
+BUCKET_SECONDS = 3600
+#: Parts of a capsule's state, so that a hot template is not one key.
+SALTS = 4
 
 
-def configure(spark: SparkSession) -> None:
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings of a stream that is started inside, which keeps them; the session's own come back."""
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
     for key, value in STATE_SETTINGS.items():
         spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
-def telemetry_stream(spark: SparkSession, options: dict, schema=None, fmt: str = "parquet") -> DataFrame:
-    """A telemetry source. Kafka needs its connector jar; files work everywhere."""
-    reader = spark.readStream.format(fmt).options(**options)
-    return (reader if schema is None else reader.schema(schema)).load()
+#: The topic of raw telemetry, read from its beginning; offsets are the engine's.
+TOPIC = {"subscribe": "raw-telemetry", "startingOffsets": "earliest"}
+
+
+def telemetry_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None, **options: str) -> DataFrame:
+    """A stream of encoded rows, one ``value`` each: a topic (which needs the connector jar), or text files."""
+    if fmt == "kafka":
+        options = TOPIC | options
+    return spark.readStream.format(fmt).options(**options).load(path).select("value")
+
+
+def decoded(stream: DataFrame, schema: T.StructType = TELEMETRY, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, dead letters) of a stream of JSON values.
+
+    A value that is no JSON object, or holds a field that does not fit its type, becomes a
+    dead letter ``value`` (its bytes), ``reason`` and ``timestamp``. Unknown fields are ignored.
+    """
+    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    row = F.from_json(F.col("value").cast("string"), whole, {"columnNameOfCorruptRecord": "_bad"} | (options or {}))
+    read = stream.select(F.col("value").cast("binary").alias("value"), row.alias("row"))
+    broken = F.col("row").isNull() | F.col("row._bad").isNotNull() | ~F.coalesce(
+        F.ltrim(F.col("value").cast("string")).startswith("{"), F.lit(False))
+    dead = read.filter(broken).select("value", F.lit("undecodable").alias("reason"), F.current_timestamp().alias("timestamp"))
+    return read.filter(~broken).select(*[F.col(f"row.`{n}`").alias(n) for n in schema.names]), dead
 
 
 def running_totals(events: DataFrame, mode: str = "compat", lateness: str = LATENESS) -> DataFrame:
@@ -54,11 +93,11 @@ def running_totals(events: DataFrame, mode: str = "compat", lateness: str = LATE
 def start_totals(
     events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "compat"
 ) -> StreamingQuery:
-    configure(events.sparkSession)
-    return (
-        running_totals(events, mode).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(batch_writer(path)).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
-    )
+    with state_settings(events.sparkSession):
+        return (
+            running_totals(events, mode).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .foreachBatch(batch_writer(path)).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+        )
 
 
 def read_totals(spark: SparkSession, path: str) -> DataFrame:
@@ -68,59 +107,94 @@ def read_totals(spark: SparkSession, path: str) -> DataFrame:
     return describe_totals(newest.select(*KEYS, "t.*"))
 
 
-def capsule_writer(totals: str, samples: str, marks: str, mode: str = "compat") -> Callable[[DataFrame, int], None]:
-    """Partial totals and at most ten sample candidates per capsule of each batch.
+_STATE = "first bigint, last bigint, n bigint, severities array<bigint>, hashes array<string>, ids array<string>"
+_UPDATE = "template string, service_name string, bucket bigint, salt bigint, " + _STATE
 
-    Both come from the same staged rows, so they always agree. The lateness rule of
-    ``running_totals`` is applied by hand: the newest event time of all earlier batches
-    is kept under the batch id, and rows whose hour ended before it, less the lateness,
-    are dropped. A replayed batch reads the same mark and overwrites its own folders.
-    """
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        valid, _ = split_valid(df)
-        before = read_or_none(spark, f"{marks}/batch_id={batch_id - 1}")
-        mark = None if before is None else before.first()["mark"]
-        rows = template_messages(valid, mode=mode).withColumn("time_bucket", F.window("timestamp", BUCKET).start)
-        stage = workspace(spark, "batch")
-        rows = materialize(rows.select(*KEYS, "severity", "timestamp", "event_id"), "batch", stage)
-        kept = rows
-        if mark is not None:
-            ends = F.unix_micros("time_bucket") + 3600 * 1000000
-            kept = rows.filter(ends > mark - LATENESS_SECONDS * 1000000)
-        here = f"batch_id={batch_id}"
-        capsule_totals(kept, KEYS).write.mode("overwrite").parquet(f"{totals}/{here}")
-        bottom_k(kept.select(*KEYS, "event_id"), KEYS, "event_id").drop("sample_rank", "sample_hash").write.mode(
-            "overwrite"
-        ).parquet(f"{samples}/{here}")
-        rows.agg(F.greatest(F.max(F.unix_micros("timestamp")), F.lit(mark).cast("bigint")).alias("mark")).write.mode(
-            "overwrite"
-        ).parquet(f"{marks}/{here}")
-        discard(spark, stage)
-
-    return write
+class CapsuleState(StatefulProcessor):
+    """Totals and the ten smallest id hashes of one part of a capsule, until its hour is closed.
 
+    Every batch that changes the part emits the full new value. A timer at the end of the
+    hour drops the state once the watermark is past it; later rows of that hour no longer
+    reach it.
+    """
 
-def start_capsules(
-    events: DataFrame, totals: str, samples: str, marks: str, checkpoint: str, trigger: dict | None = None,
-    mode: str = "compat",
-) -> StreamingQuery:
-    return (
-        events.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(capsule_writer(totals, samples, marks, mode))
-        .trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.capsule = handle.getValueState("capsule", _STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        template, service, bucket, salt = key
+        held = self.capsule.get()
+        if held is None:
+            self.handle.registerTimer((int(bucket) + BUCKET_SECONDS) * 1000)
+            held = (None, None, 0, [0] * len(SEVERITIES), [], [])
+        first, last, n, severities, hashes, ids = held
+        severities, sample = list(severities), list(zip(hashes, ids))
+        for part in rows:
+            low, high = int(part["micros"].min()), int(part["micros"].max())
+            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
+            n += len(part)
+            counts = part["severity"].value_counts()
+            severities = [a + int(counts.get(s, 0)) for a, s in zip(severities, SEVERITIES)]
+            sample = heapq.nsmallest(MAX_SAMPLES, [*sample, *zip(part["hash"], part["event_id"])])
+        hashes, ids = [h for h, _ in sample], [i for _, i in sample]
+        self.capsule.update((first, last, n, severities, hashes, ids))
+        yield pd.DataFrame({
+            "template": [template], "service_name": [service], "bucket": [bucket], "salt": [salt], "first": [first], "last": [last],
+            "n": [n], "severities": [severities], "hashes": [hashes], "ids": [ids],
+        })
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.capsule.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def capsule_updates(events: DataFrame, mode: str = "compat", lateness: str = LATENESS, salts: int = SALTS) -> DataFrame:
+    """New values of the parts of capsules that a batch changes, from keyed state.
+
+    The hour carries the watermark, not the time itself: a late row counts as long as the
+    watermark has not passed the end of its hour.
+    """
+    valid, _ = split_valid(events)
+    rows = template_messages(valid.withWatermark("timestamp", lateness), mode=mode).select(
+        "template", "service_name", F.window("timestamp", BUCKET).alias("hour"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).alias("salt"),
+        "severity", F.unix_micros("timestamp").alias("micros"), F.md5("event_id").alias("hash"), "event_id",
+    )
+    keyed = rows.withColumn("bucket", F.unix_seconds("hour.start")).groupBy("template", "service_name", "bucket", "salt")
+    updates = keyed.transformWithStateInPandas(CapsuleState(), _UPDATE, "Update", "EventTime")
+    return updates.select(
+        "template", "service_name", F.timestamp_seconds("bucket").alias("time_bucket"), "salt", F.col("n").alias("count"),
+        F.timestamp_micros("first").alias("first_seen_at"), F.timestamp_micros("last").alias("last_seen_at"),
+        *[F.col("severities")[i].alias(f"_{s}") for i, s in enumerate(SEVERITIES)], F.arrays_zip("hashes", "ids").alias("sample"),
     )
 
 
-def read_capsules(spark: SparkSession, totals: str, samples: str) -> DataFrame:
-    """Capsules as of now: partial totals added up and the best ten candidates."""
-    sums = spark.read.parquet(totals).groupBy(*KEYS).agg(
+def start_capsules(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "compat", salts: int = SALTS,
+) -> StreamingQuery:
+    """Keeps the capsule table at ``path`` as of the last batch; a replayed batch changes nothing."""
+    write = upsert_writer(path, [*KEYS, "salt"], "time_bucket", writer="capsules")
+    with state_settings(events.sparkSession):
+        return (
+            capsule_updates(events, mode, salts=salts).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+        )
+
+
+def read_capsules(spark: SparkSession, path: str) -> DataFrame:
+    """Capsules as of now: their parts added up, and the ten smallest of at most ten samples of each."""
+    parts = read_table(spark, path).groupBy(*KEYS).agg(
         F.sum("count").alias("count"), F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"), *[F.sum(f"_{s}").alias(f"_{s}") for s in SEVERITIES],
+        F.slice(F.array_sort(F.flatten(F.collect_list("sample"))), 1, MAX_SAMPLES).alias("sample"),
     )
-    candidates = spark.read.parquet(samples).select(*KEYS, "event_id").distinct()
-    return describe_totals(sums).join(pack_samples(bottom_k(candidates, KEYS, "event_id"), KEYS), KEYS)
+    totals = describe_totals(parts.drop("sample"))
+    ids = parts.select(*KEYS, F.col("sample.ids").alias("sample_event_ids"))
+    return totals.join(ids, KEYS)
 
 
 def start_dead_letters(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -132,22 +206,44 @@ def start_dead_letters(events: DataFrame, path: str, checkpoint: str, trigger: d
     )
 
 
+def start_undecodable(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, schema: T.StructType = TELEMETRY) -> StreamingQuery:
+    """The branch of values that cannot be decoded."""
+    return (
+        decoded(stream, schema)[1].writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch_writer(path))
+        .trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+    )
+
+
 def start_embeddings(
     capsules: DataFrame, embedder: Embedder, vectors: str, fallback: str, refused: str, checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Capsules to vectors, embedded in batches inside every task.
 
-    Unredacted capsules go to ``refused``, batches the store rejects to ``fallback``.
-    Whatever is left of a batch at the end of a trigger is embedded then.
+    ``vectors`` is a versioned table by environment, with the columns of ``EMBEDDING``; a
+    batch is inserted once. Capsules without an id get the one of their key, capsules
+    without an environment count as ``prod``. Unredacted ones go to ``refused``, batches
+    the store rejects to ``fallback``. Whatever is left of a batch at the end of a
+    trigger is embedded then.
     """
-    write = with_fallback(batch_writer(vectors), batch_writer(fallback))
+    def store(df: DataFrame, batch_id: int) -> None:
+        VersionedTable(df.sparkSession, vectors, "environment").append(df, "embeddings", batch_id)
+
+    write = with_fallback(store, batch_writer(fallback))
     refuse = batch_writer(refused)
+    known = capsules.columns
+    own = capsule_id() if set(KEY) <= set(known) else F.sha2("template", 256)
 
     def each(df: DataFrame, batch_id: int) -> None:
+        df = df.withColumns({
+            "capsule_id": F.coalesce("capsule_id", own) if "capsule_id" in known else own,
+            "fingerprint_hash": F.col("fingerprint_hash") if "fingerprint_hash" in known else F.sha2("template", 256),
+            "environment": F.coalesce("environment", F.lit("prod")) if "environment" in known else F.lit("prod"),
+        })
         admitted, rejected = ready_for_embedding(df, "redaction_applied")
-        embedded = embed_with(admitted, "template", embedder).withColumn("embedding_model", F.lit(embedder.name))
-        write(embedded, batch_id)
+        embedded = embed_with(admitted, "template", embedder).withColumns({
+            "embedding_vector": F.col("vector"), "embedding_model": F.lit(embedder.name), "created_at": F.current_timestamp()})
+        write(embedded.select(*EMBEDDING.names, "environment"), batch_id)
         refuse(rejected, batch_id)
 
     return (

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.constants import OVERSIZE_BYTES
 from tidegauge.operators.capsules import split_valid
 from tidegauge.session import discard, materialize, workspace
+from tidegauge.sources.ingest import split_oversize
 from tidegauge.sources.stores import upsert
 
 
@@ -25,9 +27,12 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def upsert_writer(path: str, keys: list[str], time_column: str, newest: str | None = None) -> Callable[[DataFrame, int], None]:
+def upsert_writer(
+    path: str, keys: list[str], time_column: str, newest: str | None = None, writer: str = "stream",
+) -> Callable[[DataFrame, int], None]:
+    """Merges each batch by key; a batch that the table has seen is left out. ``writer`` names the stream in the table."""
     def write(df: DataFrame, batch_id: int) -> None:
-        upsert(path, df, keys, time_column, newest)
+        upsert(path, df, keys, time_column, newest, writer, batch_id)
 
     return write
 
@@ -48,6 +53,24 @@ def split_writer(good_path: str, dead_path: str) -> Callable[[DataFrame, int], N
     return write
 
 
+def oversize_writer(rows_path: str, blobs_path: str, dead_path: str, limit: int = OVERSIZE_BYTES) -> Callable[[DataFrame, int], None]:
+    """Rows, oversize messages (by day) and dead letters, from one staged batch."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        staged = workspace(df.sparkSession, "batch")
+        try:
+            valid, dead = split_valid(materialize(df, "batch", staged))
+            rows, blobs = split_oversize(valid, limit)
+            here = f"batch_id={batch_id}"
+            blobs.withColumn("day", F.split("key", "/")[1]).write.mode("overwrite").partitionBy("day").parquet(f"{blobs_path}/{here}")
+            rows.write.mode("overwrite").parquet(f"{rows_path}/{here}")
+            dead.write.mode("overwrite").parquet(f"{dead_path}/{here}")
+        finally:
+            discard(df.sparkSession, staged)
+
+    return write
+
+
 def with_fallback(
     primary: Callable[[DataFrame, int], None], fallback: Callable[[DataFrame, int], None]
 ) -> Callable[[DataFrame, int], None]:
