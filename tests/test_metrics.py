@@ -84,3 +84,65 @@ def test_null_labels_are_a_series(spark):
     folded = df.groupBy("endpoint", mt.step_start(F.col("ts"), 3600).alias("step")).agg(F.sum("value").alias("v"))
     dense = mt.dense_steps(folded, ["endpoint"], 3600, ["v"])
     assert dense.filter("endpoint IS NULL").agg(F.sum("v")).first()[0] == 7.0
+
+
+def test_objective_given_twice(spark):
+    series = spark.createDataFrame([("a", datetime(2024, 1, 1), float(v)) for v in range(10)], "series string, ts timestamp, value double")
+    one = ("a", "gte", 5.0, 99.0)
+    slo = spark.createDataFrame([one, one, ("a", "gte", 8.0, 99.0)], "series string, comparison_operator string, threshold_value double, target_percentage double")
+    got = {(r["threshold_value"], r["breach_count"], r["total_samples"]) for r in mx.backtest(series, slo, "2024-01-02", 30).collect()}
+    assert got == {(5.0, 5, 10), (8.0, 2, 10)} and mx.backtest(series, slo, "2024-01-02", 30).count() == 2
+
+
+def test_events_far_apart(spark):
+    rows = [("s", datetime(1970, 1, 1), True), ("s", datetime(2024, 1, 1), False), ("t", datetime(2024, 1, 1), True)]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, ok boolean")
+    at = int(datetime(2024, 1, 1).timestamp())
+    w = mx.multi_window(df, ["s"], "ts", F.col("ok"), {"w15": 900}, between=(at - 600, at + 1200))
+    got = sorted((r["s"], r["step"] - at, r["total"], r["w15"]) for r in w.collect())
+    assert got == [(s, t, int(t == 0), (0 if s == "s" else 100) if 0 <= t < 900 else None) for s in "st" for t in range(-600, 1500, 300)]
+    long = mx.multi_window(df, ["s"], "ts", F.col("ok"), {"w": 60 * 365 * 86400}, between=(at, at)).collect()
+    assert {(r["s"], r["w"]) for r in long} == {("s", 50.0), ("t", 100.0)}
+
+
+def sliding(samples, t, width):
+    """The published rule for one series."""
+    inside = [(at, v) for at, v in samples if t - width < at <= t]
+    if len(inside) < 2:
+        return None
+    up = sum(b if b < a else b - a for (_, a), (_, b) in zip(inside, inside[1:]))
+    (t0, v0), (t1, _) = inside[0], inside[-1]
+    span, mean = t1 - t0, (t1 - t0) / (len(inside) - 1)
+    head, tail = t0 - (t - width), t - t1
+    head = mean / 2 if head >= mean * 1.1 else head
+    if up > 0 and v0 >= 0:
+        head = min(head, span * v0 / up)
+    tail = mean / 2 if tail >= mean * 1.1 else tail
+    return up * (span + head + tail) / span / width
+
+
+@pytest.mark.parametrize("width,step", [(300, 60), (900, 300), (60, 300)])
+def test_sliding_rate(spark, width, step):
+    import random
+
+    rng, series = random.Random(width), {}
+    start = int(datetime(2024, 1, 1, 20).timestamp())
+    for name in (None, "a", "b"):
+        at, value, samples = start + rng.randrange(100), 0.0, []
+        for _ in range(300):
+            at += rng.choice([1, 7, 30, 30, 45, 60, 4000 if rng.random() < 0.05 else 60])
+            value = float(rng.randrange(3)) if rng.random() < 0.1 else value + rng.randrange(5)  # resets, also at edges of ranges
+            samples.append((at, value))
+        series[name] = samples
+    rows = [(name, datetime.fromtimestamp(at), v) for name, samples in series.items() for at, v in samples]
+    df = spark.createDataFrame(rows, "s string, ts timestamp, value double").repartition(5)
+    got = {(r["s"], r["step"]): r["rate"] for r in mx.sliding_rate(df, ["s"], ["s"], width, step).collect()}
+    want = {}
+    for name, samples in series.items():
+        for t in range(samples[0][0] // step * step, samples[-1][0] + width + step, step):
+            rate = sliding(samples, t, width)
+            if rate is not None:
+                want[(name, t)] = rate
+    assert set(got) == set(want) and want and all(got[k] == pytest.approx(want[k]) for k in want)
+    plain = mx.sliding_rate(df, ["s"], ["s"], width, step, edges=False).agg(F.sum("rate")).first()[0]
+    assert plain <= sum(want.values()) + 1e-9

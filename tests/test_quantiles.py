@@ -3,7 +3,12 @@ import random
 import numpy as np
 import pytest
 
-from tidegauge.operators.quantiles import interpolated_percentiles, rank_percentiles, upper_median
+from pyspark.sql import functions as F
+
+from tidegauge.operators.quantiles import (
+    MOST_VALUES, counted, interpolated_percentiles, ranges_at_ranks, rank_percentiles, upper_median, values_at_ranks,
+)
+from tidegauge.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +51,24 @@ def test_interpolated(data):
 def test_nulls_and_single_rows(spark):
     df = spark.createDataFrame([("a", None), ("a", 3.0), ("b", None)], "key string, v double")
     assert [(r["key"], r["p50"]) for r in upper_median(df, ["key"], "v").collect()] == [("a", 3.0)]
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_small_ranges(data, most):
+    rows, df = data
+    ranks = {"first": lambda n: n * 0, "mid": lambda n: F.floor(n / 2), "next": lambda n: F.floor(n / 2) + 1, "last": lambda n: n - 1}
+    got = {r["key"]: (r["first"], r["mid"], r["next"], r["last"]) for r in values_at_ranks(df, ["key"], "v", ranks, most=most).collect()}
+    assert got == {k: (v[0], v[len(v) // 2], v[len(v) // 2 + 1], v[-1]) for k, v in groups(rows).items()}
+
+
+def test_many_values_close_together(spark):
+    """A million distinct values within a thousandth of an octave: no task sorts more than the bound."""
+    n = 1_000_000
+    df = spark.range(0, n, 1, 8).select(F.lit("a").alias("key"), (1 + F.col("id") * 5e-10).alias("v"))
+    got = rank_percentiles(df, ["key"], "v", {"a": 0.5, "b": 0.999}).first()
+    assert (got["n"], got["a"], got["b"]) == (n, 1 + n // 2 * 5e-10, 1 + int(n * 0.999) * 5e-10)
+    hist = materialize(counted(df, ["key"], "v"), "values")
+    want = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rank).cast("bigint").alias("rank")) for name, rank in (("a", n // 2), ("b", int(n * 0.999)))])
+    wide = hist.groupBy("key").agg(F.count(F.lit(1)).alias("_d")).withColumn("_want", want)
+    held = ranges_at_ranks(hist, wide, ["key"]).collect()
+    assert len(held) == 2 and all(r["_d"] <= MOST_VALUES for r in held)

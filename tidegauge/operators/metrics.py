@@ -110,6 +110,66 @@ def counter_rate(samples: DataFrame, keys: list[str], by: list[str], seconds: in
     )
 
 
+def sliding_rate(
+    samples: DataFrame, keys: list[str], by: list[str], seconds: int = 300, step: int = 60, value: str = "value", edges: bool = True,
+) -> DataFrame:
+    """Per-second rate over the trailing range (t - ``seconds``, t] at every multiple t of ``step``, summed over series.
+
+    A series counts where the range holds two samples or more. Its increase comes from
+    running totals at the first and the last of them, with resets taken into account.
+    With ``edges`` it is extended to the ends of the range by the published rule: to the
+    end itself where the nearest sample is within 1.1 mean sample distances, else by
+    half a distance, and at the start never to before the counter was zero.
+
+    A sample is the last of a range for the steps up to the next sample, and the first
+    for those whose range starts after the sample before. Both are listed and meet, so
+    the rows are as many as the steps that are answered, whatever the gaps. Order is made
+    per series and day; one row per series and day carries it on.
+    """
+    ms = F.unix_millis("ts")
+    rows = samples.groupBy(*keys, "ts").agg(F.max(value).alias("_v")).withColumns({"_at": ms, "_day": F.to_date("ts")})
+    within = Window.partitionBy(*keys, "_day").orderBy("_at")
+    days = rows.groupBy(*keys, "_day").agg(F.min("_at").alias("_open"), F.max("_at").alias("_close"), F.max_by("_v", "_at").alias("_last"), F.count("_at").alias("_k"))
+    across = Window.partitionBy(*keys).orderBy("_day")
+    days = days.select(*keys, "_day", F.lag("_close").over(across).alias("_t0"), F.lag("_last").over(across).alias("_v0"), F.lead("_open").over(across).alias("_t1"),
+                       F.coalesce(F.sum("_k").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_k0"))
+    rows = rows.withColumns({"_pv": F.lag("_v").over(within), "_pt": F.lag("_at").over(within), "_nt": F.lead("_at").over(within), "_i": F.row_number().over(within)})
+    rows = joined_on(rows, days, [*keys, "_day"])
+    before = F.coalesce("_pv", "_v0")
+    rows = rows.withColumns({
+        "_up": F.when(before.isNull(), 0.0).when(F.col("_v") < before, F.col("_v")).otherwise(F.col("_v") - before),
+        "_pt": F.coalesce("_pt", "_t0"), "_nt": F.coalesce("_nt", "_t1"), "_n": F.col("_i") + F.col("_k0"),
+    })
+    grown = rows.groupBy(*keys, "_day").agg(F.sum("_up").alias("_d"))
+    grown = grown.select(*keys, "_day", F.coalesce(F.sum("_d").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_c0"))
+    total = F.sum("_up").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = joined_on(rows.withColumn("_c", total), grown, [*keys, "_day"]).withColumn("_c", F.col("_c") + F.col("_c0"))
+    width, grid = seconds * 1000, step * 1000
+
+    def steps(low: Column, high: Column) -> Column:
+        """Multiples of the step from ``low`` to ``high``, both included."""
+        first, last = F.ceil(low / grid) * grid, F.floor(high / grid) * grid
+        return F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"), F.lit(grid).cast("bigint")))
+
+    ends = F.least(F.coalesce(F.col("_nt") - 1, F.col("_at") + width - 1), F.col("_at") + width - 1)
+    last = rows.select(*keys, "_at", "_c", "_n", F.explode(steps(F.col("_at"), ends)).alias("t"))
+    begins = F.greatest(F.col("_at"), F.coalesce(F.col("_pt") + width, F.col("_at")))
+    first = rows.select(*keys, F.explode(steps(begins, F.col("_at") + width - 1)).alias("t"),
+                        F.col("_at").alias("_f_at"), F.col("_c").alias("_f_c"), F.col("_n").alias("_f_n"), F.col("_v").alias("_f_v"))
+    met = joined_on(last, first, [*keys, "t"]).filter(F.col("_n") > F.col("_f_n"))
+    met = met.withColumns({"increase": F.col("_c") - F.col("_f_c"), "_span": F.col("_at") - F.col("_f_at")})
+    if edges:
+        mean = F.col("_span") / (F.col("_n") - F.col("_f_n"))
+        at_start, at_end = F.col("_f_at") - (F.col("t") - width), F.col("t") - F.col("_at")
+        at_start = F.when(at_start >= mean * 1.1, mean / 2).otherwise(at_start)
+        to_zero = F.when((F.col("increase") > 0) & (F.col("_f_v") >= 0), F.col("_span") * F.col("_f_v") / F.col("increase"))
+        at_start = F.least(at_start, F.coalesce(to_zero, at_start))
+        at_end = F.when(at_end >= mean * 1.1, mean / 2).otherwise(at_end)
+        met = met.withColumn("increase", F.col("increase") * (F.col("_span") + at_start + at_end) / F.col("_span"))
+    out = met.groupBy(*by, (F.col("t") / 1000).cast("bigint").alias("step")).agg(F.sum("increase").alias("increase"))
+    return out.withColumn("rate", F.col("increase") / seconds)
+
+
 def dense_steps(folded: DataFrame, keys: list[str], seconds: int, measures: list[str]) -> DataFrame:
     """One row per series and step between the first and last step, zero where empty."""
     span = folded.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
@@ -121,27 +181,47 @@ def dense_steps(folded: DataFrame, keys: list[str], seconds: int, measures: list
 
 
 def multi_window(
-    df: DataFrame, keys: list[str], ts: str, good: Column, windows: dict[str, int], step: int = 300
+    df: DataFrame, keys: list[str], ts: str, good: Column, windows: dict[str, int], step: int = 300,
+    between: tuple[int, int] | None = None,
 ) -> DataFrame:
     """good/total x 100 over several trailing windows at every step.
 
-    Windows are differences of running totals on a dense grid, so a 30-day window costs
-    the same as a one-hour window.
+    The counts of a step enter every window there and leave it one window later. Running
+    sums over these edges hold between an edge and the next, so a series is as long as
+    its edges, however far apart they are and however long a window is. Steps are made
+    on output: from the first to the last step of the data, or those ``between`` two
+    epoch seconds, both included.
     """
     folded = df.groupBy(*keys, step_start(F.col(ts), step).alias("step")).agg(
         F.count_if(good).alias("good"), F.count(F.lit(1)).alias("total")
     )
-    grid = dense_steps(folded, keys, step, ["good", "total"])
-    order = Window.partitionBy(*keys).orderBy("step")
+    every = {"_own": step, **windows}
+    sums = [c for name in every for c in (f"_g_{name}", f"_t_{name}")]
+
+    def edge(at: Column, leaves: str | None) -> Column:
+        values = []
+        for name in every:
+            part = F.lit(1) if leaves is None else F.lit(-1 if leaves == name else 0)
+            values += [(F.col("good") * part).alias(f"_g_{name}"), (F.col("total") * part).alias(f"_t_{name}")]
+        return F.struct(at.cast("bigint").alias("at"), *values)
+
+    edges = folded.select(*keys, F.inline(F.array(edge(F.col("step"), None), *[edge(F.col("step") + w, name) for name, w in every.items()])))
+    if between is None:
+        asked = folded.agg(F.min("step").alias("_lo"), F.max("step").alias("_hi"))  # one row
+    else:
+        lo, hi = -(-int(between[0]) // step) * step, int(between[1]) // step * step
+        asked = df.sparkSession.createDataFrame([(lo, hi)], "_lo bigint, _hi bigint")
+    asked = F.broadcast(asked)
+    # every series is asked from the first step on; what came before is in its sums there
+    starts = folded.select(*keys).distinct().join(asked, F.lit(True)).select(*keys, F.col("_lo").alias("at"), *[F.lit(0).cast("bigint").alias(c) for c in sums])
+    met = edges.unionByName(starts).join(asked, F.lit(True)).filter(F.col("at") <= F.col("_hi"))
+    met = met.groupBy(*keys, F.greatest("at", "_lo").alias("at"), "_lo", "_hi").agg(*[F.sum(c).alias(c) for c in sums])
+    order = Window.partitionBy(*keys).orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = grid.withColumns({"_g": F.sum("good").over(upto), "_t": F.sum("total").over(upto)})
-    cols = {}
-    for name, seconds in windows.items():
-        back = seconds // step
-        part = F.col("_g") - F.lag("_g", back, 0).over(order)
-        whole = F.col("_t") - F.lag("_t", back, 0).over(order)
-        cols[name] = F.when(whole > 0, part / whole * 100)
-    return grid.withColumns(cols).drop("_g", "_t")
+    held = met.withColumns({c: F.sum(c).over(upto) for c in sums}).withColumn("_end", F.coalesce(F.lead("at").over(order) - step, F.col("_hi")))
+    rows = held.filter(F.col("_end") >= F.col("at")).select(*keys, F.explode(F.sequence("at", "_end", F.lit(step).cast("bigint"))).alias("step"), *sums)
+    return rows.select(*keys, "step", F.col("_g__own").alias("good"), F.col("_t__own").alias("total"),
+                       *[F.when(F.col(f"_t_{n}") > 0, F.col(f"_g_{n}") / F.col(f"_t_{n}") * 100).alias(n) for n in windows])
 
 
 def _spends(sli: str, target: float, factor: float) -> Column:
@@ -196,10 +276,11 @@ def alert_rules(spark: SparkSession) -> DataFrame:
 def evaluate_alerts(signals: DataFrame, keys: list[str], step: int = 300, rules: DataFrame | None = None) -> DataFrame:
     """Firing alerts from ``(keys, signal, step, value)``; every rule in one pass.
 
-    The rule table is a fixed short list, hence the broadcast.
+    The built-in rules are a fixed short list, hence the broadcast; how rules of the
+    caller are joined is left to the optimizer, which knows their size.
     """
-    rules = alert_rules(signals.sparkSession) if rules is None else rules
-    matched = signals.join(F.broadcast(rules), "signal").withColumn(
+    rules = F.broadcast(alert_rules(signals.sparkSession)) if rules is None else rules
+    matched = signals.join(rules, "signal").withColumn(
         "breached", breaches(F.col("value"), F.col("op"), F.col("threshold"))
     )
     held = runs(matched, [*keys, "alert", "severity", "component", "minutes"], "breached", step)
@@ -234,12 +315,13 @@ def backtest(
     limits = objectives if threshold_override is None else objectives.withColumn(
         "threshold_value", F.lit(float(threshold_override))
     )
+    limits = limits.dropDuplicates()  # an objective that is given twice counts once
     bad = breaches(F.col("value"), F.col("comparison_operator"), F.col("threshold_value"))
     # an inner join first: its skewed sides can be split, those of an outer join cannot
     met = history.join(limits, key).groupBy(*limits.columns).agg(
         F.coalesce(F.sum(F.when(bad, F.col("_c"))), F.lit(0)).alias("breach_count"), F.sum("_c").alias("total_samples")
     )
-    stats = joined_on(limits.dropDuplicates(), met, limits.columns, "left").fillna(0, ["breach_count", "total_samples"])
+    stats = joined_on(limits, met, limits.columns, "left").fillna(0, ["breach_count", "total_samples"])
     pct = F.when(F.col("total_samples") > 0, F.col("breach_count") / F.col("total_samples") * 100).otherwise(0.0)
     return stats.withColumns(
         {

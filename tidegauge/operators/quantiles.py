@@ -1,4 +1,4 @@
-"""Exact order statistics per group; a task sorts the distinct values of one value bucket, not of a group."""
+"""Exact order statistics per group; no task sorts more than a bounded number of distinct values."""
 
 from __future__ import annotations
 
@@ -8,63 +8,91 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import materialize
 
-def value_bucket(value: Column) -> Column:
-    """A coarse bucket that never decreases with the value: 1,024 per octave, from the smallest doubles on."""
-    return F.when(value != 0, F.signum(value) * F.floor((F.log2(F.abs(value)) + 1100) * 1024)).otherwise(0.0)
+#: Distinct values that one task sorts; parts that a larger range of values is cut into.
+MOST_VALUES, PARTS = 1 << 16, 64
+#: Accuracy of the sketch that gives split points: a part is at most a little more than its share.
+ACCURACY = 4096
+#: Every round cuts a range by ``PARTS``; more rounds than this mean that values do not compare.
+ROUNDS = 12
+
+
+def counted(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Equal values counted per group (``_v``, ``_c``), and totals of other columns; rows with a null value or key are ignored."""
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]])
+    return df.filter(present).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(name) for name, c in (sums or {}).items()])
+
+
+def ranges_at_ranks(hist: DataFrame, groups: DataFrame, keys: list[str], most: int = MOST_VALUES) -> DataFrame:
+    """Per group the ranges of values that hold its wanted ranks: ``_lo``, ``_hi``, ``_before`` (rows below), ``_want``.
+
+    ``groups`` has, besides the keys, the number of distinct values ``_d`` and ``_want``. A
+    range of more than ``most`` values is cut at points of a sketch of its values, parts
+    that hold no wanted rank are left, and so on until every range is small enough.
+    """
+    every = F.lit(None).cast(hist.schema["_v"].dataType)
+    held = groups.select(*keys, every.alias("_lo"), every.alias("_hi"), F.lit(0).cast("bigint").alias("_before"), "_d", "_want")
+    done = None
+    for _ in range(ROUNDS):
+        small = held.filter(F.col("_d") <= most)
+        done = small if done is None else done.unionByName(small)
+        large = held.filter(F.col("_d") > most)
+        if large.isEmpty():
+            return done
+        rows = _inside(hist, large, keys)
+        points = [i / PARTS for i in range(1, PARTS)]
+        split = rows.groupBy(*keys, "_lo").agg(F.array_distinct(F.percentile_approx("_v", points, ACCURACY)).alias("_points"))
+        cut = _same(rows, split, [*keys, "_lo"]).withColumn("_part", F.size(F.filter("_points", lambda p: p <= F.col("_v"))))
+        parts = cut.groupBy(*keys, "_lo", "_part").agg(
+            F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_first"), F.max("_v").alias("_last"),
+            F.any_value("_before").alias("_before"), F.any_value("_want").alias("_want"))
+        upto = Window.partitionBy(*keys, "_lo").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most PARTS rows
+        parts = parts.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto)).withColumn("_before", F.col("_upto") - F.col("_n"))
+        kept = F.filter("_want", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto")))
+        parts = parts.withColumn("_want", kept).filter(F.size("_want") > 0)
+        held = materialize(parts.select(*keys, F.col("_first").alias("_lo"), F.col("_last").alias("_hi"), "_before", "_d", "_want"), "ranges")
+    raise RuntimeError("values of one group do not split")
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({c: f"_r{c}" for c in columns})
+    return left.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in columns])).drop(*[f"_r{c}" for c in columns])
+
+
+def _inside(hist: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of each range."""
+    met = hist.select(*keys, "_v", "_c").join(ranges, keys)
+    return met.filter((F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
 
 
 def values_at_ranks(
     df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]],
-    sums: dict[str, Column] | None = None,
+    sums: dict[str, Column] | None = None, most: int = MOST_VALUES,
 ) -> DataFrame:
     """Per group, the values at zero-based ranks that depend on the group size ``n``.
 
-    1. equal values are counted per group, combined before the shuffle;
-    2. coarse value buckets are counted and accumulated: few rows per group, so a
-       window over them is small even for a group holding a third of the table;
-    3. only the buckets that hold a wanted rank are opened, each in its own task.
-    ``sums`` adds totals of other columns per group in the same pass. Rows with a null
-    value or key are ignored; saying so up front lets both uses of the counts share one
-    shuffle.
+    Equal values are counted first, combined before the shuffle, and stored; a group of
+    few distinct values is sorted as it is, of a larger one only the ranges that hold a
+    wanted rank. ``sums`` adds totals of other columns per group in the same pass.
     """
     sums = sums or {}
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]])
-    hist = (
-        df.filter(present)
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.sum(c).alias(name) for name, c in sums.items()])
-        .withColumn("_b", F.coalesce(value_bucket(F.col("_v")), F.lit(0.0)))
-    )
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = materialize(counted(df, keys, value, sums), "values")
     wanted = F.array(
         *[F.struct(F.lit(name).alias("name"), f(F.col("n")).cast("bigint").alias("rank")) for name, f in ranks.items()]
     )
-    opened = (
-        hist.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), *[F.sum(name).alias(name) for name in sums])
-        .withColumns({
-            "_upto": F.sum("_bc").over(running), "n": F.sum("_bc").over(whole),
-            **{name: F.sum(name).over(whole) for name in sums},
-        })
-        .withColumn("_before", F.col("_upto") - F.col("_bc"))
-        .withColumn("_want", wanted)
-        .withColumn("_want", F.filter("_want", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_upto"))))
-        .filter(F.size("_want") > 0)
-        .select(*keys, "_b", "_before", "n", *sums, "_want")
-    )
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = hist.groupBy(*keys).agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"), *[F.sum(name).alias(name) for name in sums])
+    groups = materialize(groups.withColumn("_want", wanted), "groups")
+    rows = _inside(hist, ranges_at_ranks(hist, groups, keys, most), keys)
+    inside = Window.partitionBy(*keys, "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = (
-        hist.select(*keys, "_b", "_v", "_c").join(opened, [*keys, "_b"])
-        .withColumn("_hi", F.col("_before") + F.sum("_c").over(inside))
+        rows.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_w", F.explode("_want"))
-        .filter((F.col("_w.rank") >= F.col("_hi") - F.col("_c")) & (F.col("_w.rank") < F.col("_hi")))
-    )
-    return picked.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(name).alias(name) for name in sums],
-        *[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks],
+        .filter((F.col("_w.rank") >= F.col("_upto") - F.col("_c")) & (F.col("_w.rank") < F.col("_upto")))
     )
+    found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks])
+    return groups.select(*keys, "n", *sums).join(found, keys)
 
 
 def upper_median(

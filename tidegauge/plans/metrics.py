@@ -50,6 +50,23 @@ def request_rates(spark, d):
     return out.select("service", "step", "increase", r6("rate").alias("rate"))
 
 
+_SLIDING = _COUNTER + """,
+cum AS (SELECT service, class, minute, value, sum(increase) OVER w AS c, row_number() OVER w AS n FROM grown WINDOW w AS (PARTITION BY service, class ORDER BY minute)),
+tick AS (SELECT service, class, unnest(range(min(minute) // 300 * 300, max(minute) + 900, 300)) AS t FROM cum GROUP BY service, class),
+rng AS (SELECT tick.service, tick.class, t, min(minute) AS t0, max(minute) AS t1, arg_min(c, minute) AS c0, arg_max(c, minute) AS c1,
+    arg_min(value, minute) AS v0, count(*) - 1 AS k FROM tick JOIN cum ON cum.service = tick.service AND cum.class = tick.class AND minute > t - 900 AND minute <= t GROUP BY ALL),
+ext AS (SELECT service, t, c1 - c0 AS up, t1 - t0 AS span, (t1 - t0) / k AS mean, t0 - (t - 900) AS lead_in, t - t1 AS lead_out, v0 FROM rng WHERE k > 0),
+cut AS (SELECT *, CASE WHEN lead_in >= mean * 1.1 THEN mean / 2 ELSE lead_in END AS a, CASE WHEN lead_out >= mean * 1.1 THEN mean / 2 ELSE lead_out END AS z FROM ext)"""
+
+
+@query("request_rates_sliding", f"""
+WITH {_SLIDING} SELECT service, t AS step, round(sum(up * (span + CASE WHEN up > 0 AND v0 >= 0 THEN least(a, span * v0 / up) ELSE a END + z) / span) / 900, 6) AS rate
+FROM cut GROUP BY service, t""")
+def request_rates_sliding(spark, d):
+    out = mx.sliding_rate(counter_samples(spark, d), ["service", "class"], ["service"], 900, 300)
+    return out.select("service", "step", r6("rate").alias("rate"))
+
+
 _BOUNDS = HISTOGRAM_BOUNDS["analysis_seconds"]
 _HIST = REQ + ",\nhist AS (" + " UNION ALL ".join(
     f"SELECT service, sec // 3600 * 3600 AS hour, {i} AS i, {b} AS le, count(*) FILTER (latency <= {b}) AS n FROM req GROUP BY ALL"
