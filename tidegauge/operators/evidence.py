@@ -15,22 +15,27 @@ from tidegauge.sources.stores import upsert
 
 
 def indicator_candidates(journeys: DataFrame, service: Column) -> DataFrame:
-    """Five indicators per journey: three latency percentiles, error rate, availability."""
+    """Five indicators per journey: three latency percentiles, error rate, availability.
+
+    Beside its expression a row holds what ``analysis.indicator_values`` evaluates: the
+    ``quantile``, or the ``status_pattern`` of requests and whether it is ``negated``.
+    """
     entry, name = F.col("entry_point"), F.col("name")
 
-    def row(suffix, kind, expression, unit, sources):
+    def row(suffix, kind, expression, unit, sources, quantile=None, pattern=None, negated=None):
         return F.struct(
             F.concat(name, F.lit(suffix)).alias("sli_name"), F.lit(kind).alias("metric_type"),
             expression.alias("metric_definition"), F.lit(unit).alias("unit"),
-            F.lit(300).alias("window_seconds"), F.lit(sources).alias("data_source"),
+            F.lit(300).alias("window_seconds"), F.lit(sources).alias("data_source"), F.lit(quantile).cast("double").alias("quantile"),
+            F.lit(pattern).cast("string").alias("status_pattern"), F.lit(negated).cast("boolean").alias("negated"),
         )
 
     rows = [
-        row(f"-latency-p{p}", "latency", latency_expression(service, entry, p / 100), "ms", "http_request_duration_seconds")
+        row(f"-latency-p{p}", "latency", latency_expression(service, entry, p / 100), "ms", "http_request_duration_seconds", p / 100)
         for p in (50, 95, 99)
     ]
-    rows.append(row("-error-rate", "error_rate", status_ratio_expression(service, entry, "=~"), "%", "http_requests_total"))
-    rows.append(row("-availability", "availability", status_ratio_expression(service, entry, "!~"), "%", "http_requests_total,up"))
+    rows.append(row("-error-rate", "error_rate", status_ratio_expression(service, entry, "=~"), "%", "http_requests_total", None, "5..", False))
+    rows.append(row("-availability", "availability", status_ratio_expression(service, entry, "!~"), "%", "http_requests_total,up", None, "5..", True))
     return journeys.select("*", F.inline(F.array(*rows)))
 
 

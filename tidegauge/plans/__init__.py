@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["text", "capsules", "metrics", "traces", "quality", "vectors", "governance", "ingest", "tables", "streams"]
+FAMILIES = ["text", "capsules", "metrics", "traces", "quality", "vectors", "governance", "ingest", "tables", "streams", "analysis"]
 
 
 def load():

@@ -124,6 +124,33 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def event_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as spans: a user's hour is a trace, each event calls the next one of it."""
+    ev = table(spark, folder, "events")
+    at = F.col("ts").cast("timestamp")
+    rows = ev.select(
+        F.concat(_text(F.col("user_id")), F.lit("-"), F.date_format("ts", "yyyyMMddHH")).alias("trace_id"),
+        F.lpad(_text(F.col("event_id")), 12, "0").alias("span_id"), F.col("event_type").alias("span_name"),
+        F.concat(F.lit("svc-"), _text(F.col("user_id") % 8)).alias("service_name"), F.col("value").alias("duration_ms"), at.alias("timestamp"),
+        F.when(F.col("event_type") == "error", F.create_map(F.lit("error"), F.lit("true"))).otherwise(
+            F.create_map().cast("map<string,string>")).alias("attributes"),
+    )
+    order = Window.partitionBy("trace_id").orderBy("timestamp", "span_id")
+    return rows.withColumn("parent_span_id", F.lag("span_id").over(order))
+
+
+def event_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces of events as requests to their entry point: its duration as seconds, 503 where any span failed."""
+    spans = event_spans(spark, folder)
+    bad = F.coalesce(F.col("attributes")["error"] == "true", F.lit(False))
+    first = F.min(F.struct(F.col("parent_span_id").isNotNull().alias("nested"), "timestamp", "service_name", "span_name", "duration_ms")).alias("f")
+    traces = spans.groupBy("trace_id").agg(first, F.bool_or(bad).alias("failed"))
+    return traces.select(
+        F.col("f.service_name").alias("job"), F.concat_ws(":", "f.service_name", "f.span_name").alias("endpoint"),
+        F.col("f.timestamp").alias("ts"), F.col("f.duration_ms").alias("seconds"), F.when(F.col("failed"), "503").otherwise("200").alias("status"),
+    )
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings with the metadata of a vector collection; one hour bucket per id."""
     v = F.col("vec_id")
