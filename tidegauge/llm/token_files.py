@@ -30,25 +30,33 @@ REMEMBERED = 1_000_000
 class Encoder:
     """Ids of whole texts; chunks that encode alone are encoded once and remembered.
 
-    A chunk that is one blank and plain letters is one pre-token and goes to the library's
-    model directly, all others go through the whole library.
+    A chunk whose characters no Unicode version disputes is cut into its pre-tokens, which
+    are remembered too and go to the library's model directly; all others go through the
+    whole library.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = pieces.load(path)
         self.model = self.library.model
-        self.blank = pieces.byte_chars()[32]
+        self.chars = dict(enumerate(pieces.byte_chars()))
         self.special = pieces.special_pattern(pieces.specials(path))
         self.first = pieces.Chunks(self._whole, remembered)
         self.rest = pieces.Chunks(self._chunk, remembered)
+        self.known = pieces.Chunks(self._pretoken, remembered // 4)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _pretoken(self, text: str) -> bytes:
+        piece = "".join(map(self.chars.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha():
-            return array("I", [t.id for t in self.model.tokenize(self.blank + chunk)]).tobytes()
-        return self._whole(" " + chunk)
+            return self._pretoken(" " + chunk)
+        if pieces.DISPUTED.search(chunk):
+            return self._whole(" " + chunk)
+        return b"".join(map(self.known.__getitem__, pieces.PRETOKENS.findall(" " + chunk)))
 
     def __call__(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids."""
