@@ -94,7 +94,8 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     most = _sliding(np.concatenate((pad, least, pad)), width, np.maximum)
     at = np.flatnonzero(most == h)
     piece = np.searchsorted(ends, at, "right")
-    return np.array(owners)[piece], at - (ends - sizes)[piece] + np.array(bases)[piece], h[at]
+    # smallest hashes are small: spread again, as shares and bits are dealt by the upper bits
+    return np.array(owners)[piece], at - (ends - sizes)[piece] + np.array(bases)[piece], h[at] * U(_M[1])
 
 
 def _batches(batches: Iterator, mask: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[list, list, list[bytes]]]:
