@@ -186,6 +186,12 @@ def compared(group: list[Entry], length: int = LENGTH) -> Iterator[tuple[int, in
     contexts: dict[tuple[bytes, bytes], list[Entry]] = {}
     for e in group:
         contexts.setdefault((e.left, e.suffix), []).append(e)
+    if len(contexts) == 1:  # all windows are shared by all
+        least = min(e.doc for e in group)
+        for e in group:
+            if e.doc > least and len(e.left) + len(e.suffix) >= length:
+                yield e.row, e.pos - len(e.left), e.pos + len(e.suffix)
+        return
     first: dict[bytes, int] = {}
     for (left, suffix), entries in contexts.items():
         text, doc = left + suffix, min(e.doc for e in entries)
