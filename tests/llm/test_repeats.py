@@ -246,3 +246,28 @@ def test_distances_from_dictionaries():
         index, least = nearest([v for v, _ in pairs], [c for _, c in pairs], entries, len(vectors))
         exact = [[sum((int(a) - int(b)) ** 2 for a, b in zip(v, e)) for e in entries] for v in vectors[:200]]
         assert [int(x) for x in index[:200]] == [d.index(min(d)) for d in exact] and [int(x) for x in least[:200]] == [min(d) for d in exact]
+
+
+@pytest.mark.parametrize("share", [32 << 20, 64])
+def test_bytes_in_shares_of_any_size(spark, monkeypatch, share):
+    from tidegauge.llm import substrings
+
+    monkeypatch.setattr(substrings, "SHARE_BYTES", share)
+    rows = shared_passages(11, 40)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in substrings.deduplicated(docs).collect())
+    last, first = 1 << 63, {}
+    for d, t in rows:
+        body = (t or "").encode()
+        for i in range(len(body) - 49):
+            first[body[i:i + 50]] = min(first.get(body[i:i + 50], last), last if d is None else d)
+    want = collections.Counter()
+    for d, t in rows:
+        body, gone = (t or "").encode(), set()
+        for i in range(len(body) - 49):
+            if first[body[i:i + 50]] < (last if d is None else d):
+                gone |= set(range(i, i + 50))
+        left = bytes(b for i, b in enumerate(body) if i not in gone)
+        want[(d, len(body), len(gone), hashlib.sha256(left).hexdigest())] += 1
+    assert got == want
+    assert [substrings.shares_of(n) for n in (10**9, 50 * 10**9)] == ([256, 2048] if share > 64 else [1 << 20] * 2)

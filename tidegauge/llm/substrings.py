@@ -31,8 +31,8 @@ from tidegauge.llm.suffixes import Entry, front_coded, merged
 from tidegauge.session import materialize
 
 LENGTH, GRAM = 50, 24
-#: Bits of a fingerprint; shares that runs are dealt to; suffixes of a run.
-FINGER, SHARES, RUN = 40, 256, 40_000
+#: Bits of a fingerprint; suffixes of a run; least number of shares that runs are dealt to, and bytes of text for each further one.
+FINGER, RUN, SHARES, SHARE_BYTES = 40, 40_000, 256, 32 << 20
 #: Bits of the bitmap: 512 per document within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Bytes that are hashed at once.
@@ -117,9 +117,14 @@ def _batches(batches: Iterator, mask: np.ndarray, size: int = 4 << 20) -> Iterat
         yield docs, rows, texts
 
 
-def shared_anchors(source: DataFrame, mask: np.ndarray, bits: int) -> np.ndarray:
+def shares_of(size: int) -> int:
+    """A power of two that grows with the bytes of text, so that a share does not."""
+    return min(1 << 20, max(SHARES, 1 << max(0, (size // SHARE_BYTES)).bit_length()))
+
+
+def shared_anchors(source: DataFrame, mask: np.ndarray, bits: int, shares: int = SHARES) -> np.ndarray:
     """Bitmap of the fingerprints that anchors of two documents have."""
-    low = FINGER - SHARES.bit_length() + 1  # bits below the share
+    low = FINGER - shares.bit_length() + 1  # bits below the share
 
     def runs(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -128,7 +133,7 @@ def shared_anchors(source: DataFrame, mask: np.ndarray, bits: int) -> np.ndarray
 
         def flush():
             every = np.sort(np.concatenate(held))
-            cuts = np.searchsorted(every, np.arange(SHARES + 1, dtype=U) << U(low))
+            cuts = np.searchsorted(every, np.arange(shares + 1, dtype=U) << U(low))
             rows = [(s, np.diff(every[a:b] - (U(s) << U(low)), prepend=U(0)).astype("<u4").tobytes())
                     for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             held.clear()
@@ -150,7 +155,7 @@ def shared_anchors(source: DataFrame, mask: np.ndarray, bits: int) -> np.ndarray
         if held:
             yield flush()
 
-    chunk = bits // SHARES
+    chunk = bits // shares
 
     def merge(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -214,9 +219,9 @@ def compared(group: list[Entry], length: int = LENGTH) -> Iterator[tuple[int, in
                 yield e.row, e.pos - len(left) + start, e.pos - len(left) + len(found) - 1 + length
 
 
-def intervals(source: DataFrame, mask: np.ndarray, flags: np.ndarray) -> DataFrame:
+def intervals(source: DataFrame, mask: np.ndarray, flags: np.ndarray, shares: int = SHARES) -> DataFrame:
     """(row, start, end) of repeated bytes, from merged suffix runs."""
-    shift, top, margin = U(64 - (8 * len(flags)).bit_length() + 1), U(64 - SHARES.bit_length() + 1), LENGTH - GRAM
+    shift, top, margin = U(64 - (8 * len(flags)).bit_length() + 1), U(64 - shares.bit_length() + 1), LENGTH - GRAM
 
     def runs(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -296,8 +301,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     copies = narrow.join(firsts, ["sum", "size"]).where("doc > first").select("row", F.lit(0).alias("start"), F.col("size").cast("int").alias("end"))
     alive = narrow.join(copies.select("row"), "row", "left_anti")
     mask = id_bitmap(alive.select("bit"))
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (512 * narrow.count()).bit_length()))
-    found = intervals(source, mask, shared_anchors(source, mask, bits))
+    n, size = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bits, shares = min(MOST_BITS, max(LEAST_BITS, 1 << (512 * n).bit_length())), shares_of(size)
+    found = intervals(source, mask, shared_anchors(source, mask, bits, shares), shares)
     every = materialize(found.union(copies).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "substring-spans")
     return source.select("doc_id", "row", "text"), every
 
