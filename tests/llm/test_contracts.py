@@ -126,7 +126,8 @@ def test_token_counts(spark, odd, odd_rows):
         for i in range(len(text) + 1):
             assert tc.tokens_at(changes, len(text[:i].encode())) == count(text[:i]), text[:i]
         cut = tc.longest_within(changes, 3)
-        assert tc.tokens_at(changes, cut) <= 3 and (cut == len(changes) or tc.tokens_at(changes, cut + 1) > 3 or True)
+        fits = [k for k in range(len(changes) + 1) if tc.tokens_at(changes, k) <= 3]
+        assert cut == max(fits)
     from pyspark.sql import functions as F
 
     stored = tc.prefix_counts(odd).where("doc_id = 17").select(tc.tokens_of_prefix(F.col("prefix_table"), F.col("n_bytes")).alias("n"), "n_tokens").first()
@@ -359,3 +360,15 @@ def test_quotation_counts_apart():
     scorer = Scorer({"moron": 3.0})
     assert scorer.features("you are a moron !")[0] > 0 and scorer.features("you are a m0ron !")[1] > 0
     assert scorer.features('he "moron " ok')[2] > 0 and scorer.features("she said moron")[2] > 0 and scorer.features("") == [0.0] * 4
+
+
+def test_mixing_spreads_rows_without_keys(spark):
+    from tidegauge.llm.mixing import hashed, mixed
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"{i:05} a b", "s") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    h = docs.select(hashed(F.concat_ws("|", F.lit(""), F.md5("text"))).alias("h"))
+    assert max(r["count"] for r in h.groupBy(F.col("h") % 8).count().collect()) < 3000 / 4
+    out = mixed(docs, part_rows=100)
+    assert out.count() == 3000 and out.agg(F.sum("copies")).first()[0] == 3000  # one source: each once

@@ -72,13 +72,19 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: i
 def mixed(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", size: Column | None = None,
     part_rows: int = PART_ROWS, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix",
+    digest: Column | None = None,
 ) -> DataFrame:
-    """``row`` (all columns of the document), size, source_size, target and copies (how often it is emitted)."""
+    """``row`` (all columns of the document), size, source_size, target and copies (how often it is emitted).
+
+    Rows are dealt to parts by key and text (``digest``: a hash of it that is there already),
+    so rows without a key, or of one key, are spread too.
+    """
     cast = F.col("row")[key].cast("string")
-    sized = docs.select(F.struct("*").alias("row"), (n_words(docs[text]) if size is None else size).alias("size"), sources_key(docs[source]).alias("skey"))
+    digest = F.md5(F.coalesce(docs[text].cast("string"), F.lit(""))) if digest is None else digest
+    sized = docs.select(F.struct("*").alias("row"), (n_words(docs[text]) if size is None else size).alias("size"), sources_key(docs[source]).alias("skey"), digest.alias("digest"))
     spare = F.greatest(F.length(F.bin("size")) - 4, F.lit(0))
     sized = sized.withColumn("bucket", spare * 16 + F.call_function("shiftright", F.col("size"), spare))
-    sized = sized.withColumn("h", hashed(F.coalesce(cast, F.lit(""))))
+    sized = sized.withColumn("h", hashed(F.concat_ws("|", F.coalesce(cast, F.lit("")), "digest"))).drop("digest")
 
     small = sized.select("skey", "size", "bucket", "h")
     buckets = small.groupBy("skey", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))

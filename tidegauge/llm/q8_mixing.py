@@ -15,7 +15,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS skey,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 8) AS BIGINT) AS h
   FROM documents),
 b AS (SELECT *, greatest(length(bin(size)) - 4, 0) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS bucket FROM d),
 p AS (SELECT *, h % CAST(ceil(count(*) OVER (PARTITION BY skey, bucket) / 4096.0) AS BIGINT) AS part FROM b),
@@ -37,8 +37,9 @@ FROM i JOIN r USING (skey)
 
 def copies(docs: DataFrame, **options) -> DataFrame:
     """The operator on narrow rows: sizes are counted once and stored, the text goes no further."""
-    narrow = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("n_words")), "mix-sizes")
-    return mixed(narrow, text="n_words", size=F.col("n_words"), **options)
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias("digest")
+    narrow = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("n_words"), digest), "mix-sizes")
+    return mixed(narrow, text="n_words", size=F.col("n_words"), digest=F.col("digest"), **options)
 
 
 @query("op8_mixing", SQL)
