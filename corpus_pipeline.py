@@ -2,8 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
 but the last return the columns of documents, whatever these are. Rows without a doc_id
-go through under an id made from their text; rows that share a doc_id are one document
-to the near-duplicate and decontamination stages.
+go through under an id made from their text. Of rows that share a doc_id the one whose text
+has the smallest hash keeps it, others go through under an id made from both; equal rows
+are one document.
 """
 
 from __future__ import annotations
@@ -17,13 +18,19 @@ from tidegauge.llm.mixing import mixed
 from tidegauge.llm.q9_token_files import digest
 from tidegauge.llm.quality import judged
 from tidegauge.llm.tables import table
-from tidegauge.session import materialize
+from tidegauge.session import discard, materialize, workspace
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``row`` with all columns, and an id that is never null; made-up ids lie above 2**62."""
-    made = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 62) - 1)
-    return docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("bigint"), made).alias("id"), docs["text"].alias("text"))
+    """``row`` with all columns, and an id that is never null and that no other text has; made-up ids lie above 2**61."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("bigint").alias("doc"), docs["text"].alias("text"), digest.alias("digest"))
+    made = F.lit(1 << 61) + F.xxhash64("doc", "digest").bitwiseAND((1 << 61) - 1)
+    ids = rows.where("doc IS NOT NULL").groupBy(F.col("doc").alias("_doc")).agg(F.min("digest").alias("_first"), F.max("digest").alias("_last"))
+    shared = materialize(ids.where("_first < _last").select("_doc", "_first"), "pipeline-shared-ids")  # ids of two texts
+    met = rows.join(shared, F.col("doc") == F.col("_doc"), "left")
+    own = F.col("doc").isNotNull() & (F.col("_first").isNull() | (F.col("digest") == F.col("_first")))
+    return met.select("row", F.when(own, F.col("doc")).otherwise(made).alias("id"), "text")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = near_duplicates(keyed.select("id", "text"), key="id")
     stay = materialize(groups.where("id = component_id").select("id").distinct(), "pipeline-kept")
     left = keyed.join(stay, "id", "left_semi")
-    again = F.row_number().over(Window.partitionBy("id").orderBy(F.md5("text")))  # rows that share a doc_id
+    again = F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0)))  # equal rows; cut before they are shuffled
     return left.withColumn("again", again).where("again = 1").select("row.*")
 
 
@@ -71,7 +78,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage")
+        folder = workspace(spark, "pipeline-stage")
+        docs = materialize(stage(spark, docs, sf_dir), "pipeline-stage", folder)
+        if before is not None:
+            discard(spark, before)  # only the newest copy of the corpus is kept
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
