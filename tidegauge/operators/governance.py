@@ -226,6 +226,9 @@ def constraint_rules(kind: str, columns: list[str]) -> dict[str, Column]:
         "evidence": ["confidence_contribution"],
     }
     rules = {c: F.col(c).isin(values) for c, values in one_of.get(kind, {}).items() if c in columns}
+    sources = ["capsule_id", "trace_id", "log_sample"]
+    if kind == "evidence" and set(sources) <= set(columns):
+        rules["at_least_one_source"] = F.coalesce(*[F.col(c).cast("string") for c in sources]).isNotNull()
     return rules | {c: F.col(c).between(0, 100) for c in percent.get(kind, []) if c in columns}
 
 

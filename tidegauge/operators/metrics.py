@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.constants import ALERT_RULES, OBJECTIVE_VARIANTS
+from tidegauge.constants import ALERT_RULES, HISTOGRAM_BOUNDS, OBJECTIVE_VARIANTS
 from tidegauge.functions.scoring import breaches, budget_dashboard, budget_rule, budget_simulation
 from tidegauge.operators.quantiles import interpolated_percentiles
 
@@ -49,6 +49,18 @@ def histogram(df: DataFrame, keys: list[str], value: str, bounds: list[float]) -
     return wide.select(*keys, F.inline(F.array(*entries)))
 
 
+def own_histograms(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """``metric, le, n``: cumulative counts of several own metrics over their fixed bounds, all in one pass."""
+    columns, entries = [], []
+    for metric, value in values.items():
+        bounds = HISTOGRAM_BOUNDS[metric]
+        found = [F.count_if(value <= b).alias(f"_{metric}_{i}") for i, b in enumerate(bounds)] + [F.count(value).alias(f"_{metric}_inf")]
+        columns += found
+        names = [f"_{metric}_{i}" for i in range(len(bounds))] + [f"_{metric}_inf"]
+        entries += [F.struct(F.lit(metric).alias("metric"), F.lit(float(b)).alias("le"), F.col(n).alias("n")) for b, n in zip([*bounds, float("inf")], names)]
+    return df.groupBy(*keys).agg(*columns).select(*keys, F.inline(F.array(*entries)))
+
+
 def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, count: str = "n") -> DataFrame:
     """Quantile of cumulative buckets, linear inside the bucket that holds the rank.
 

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scoring import journey_confidence
 from tidegauge.operators import governance as gv
-from tidegauge.plans.ctes import CATALOG
+from tidegauge.plans.ctes import CATALOG, JOURNEYS
 from tidegauge.plans.registry import joined, query, r6
+from tidegauge.plans.traces import found
+from tidegauge.plans.vectors import _LINKS, links
 from tidegauge.sources import adapters
 from tidegauge.sources.tables import table
 
@@ -224,6 +227,27 @@ def constraint_violations(spark, d):
     return out
 
 
+@query("evidence_violations", f"""
+WITH {_LINKS}, e AS (SELECT position > 1 AS capsule, trace_id IS NOT NULL AS trace, position > 2 AS sample, contribution * 1.5 AS c FROM lk)
+SELECT rule, count(*) AS rows FROM (
+  SELECT 'at_least_one_source' AS rule FROM e WHERE NOT capsule AND NOT trace AND NOT sample UNION ALL SELECT 'confidence_contribution' FROM e WHERE c > 100) GROUP BY rule""")
+def evidence_violations(spark, d):
+    """Evidence rows that lost their capsule (first hits) or sample (first two), with weights half as large again."""
+    first = lambda c, n: F.when(F.col("position") > n, F.col(c)).alias(c)
+    rows = links(spark, d)[0].select("sli_id", first("capsule_id", 1), "trace_id", first("log_sample", 2), "redaction_status",
+                                     (F.col("confidence_contribution") * 1.5).alias("confidence_contribution"))
+    return gv.domain_violations(rows, "sli_id", gv.constraint_rules("evidence", rows.columns)).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("journey_violations", f"""
+WITH {JOURNEYS} SELECT entry_point, 'confidence_score' AS rule FROM ranked0 WHERE confidence_score * 2 > 100""")
+def journey_violations(spark, d):
+    """Confidence scores of journeys, doubled, against their range."""
+    rows = found(spark, d).select("entry_point", (journey_confidence(
+        F.col("traffic_volume"), F.size("sample_trace_ids"), F.size("step_sequence")) * 2).alias("confidence_score"))
+    return gv.domain_violations(rows, "entry_point", gv.constraint_rules("journey", rows.columns))
+
+
 @query("catalog_domain_violations", f"""
 WITH {CATALOG} SELECT rule, count(*) AS rows FROM (
   SELECT 'status' AS rule FROM services WHERE status <> 'active' UNION ALL

@@ -87,6 +87,20 @@ def latency_histogram(spark, d):
     return h.select("service", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n")
 
 
+#: Latencies scaled into the range of each of the own metrics.
+_SCALES = {"embedding_seconds": 20, "vector_query_seconds": 50, "vector_query_results": 1, "llm_request_seconds": 4, "analysis_seconds": 1,
+           "sli_confidence": 100, "artifact_validation_seconds": 10, "db_query_seconds": 100, "http_request_seconds": 20}
+
+
+@query("own_histograms", f"""
+WITH {REQ}, b AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {b}::DOUBLE AS le, {s} AS scale" for m, s in _SCALES.items() for b in [*HISTOGRAM_BOUNDS[m], "'Infinity'"])})
+SELECT service, metric, CASE WHEN isinf(le) THEN -1 ELSE le END AS le, count(*) FILTER (latency / scale <= le) AS n FROM req CROSS JOIN b GROUP BY ALL""")
+def own_histograms(spark, d):
+    values = {metric: F.col("latency") / scale for metric, scale in _SCALES.items()}
+    h = mx.own_histograms(adapters.requests(spark, d), ["service"], values)
+    return h.select("service", "metric", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n")
+
+
 def _quantile_sql(q):
     return f"""
 SELECT service, hour, {q} AS q, CASE WHEN isinf(le) THEN low ELSE
