@@ -372,3 +372,14 @@ def test_mixing_spreads_rows_without_keys(spark):
     assert max(r["count"] for r in h.groupBy(F.col("h") % 8).count().collect()) < 3000 / 4
     out = mixed(docs, part_rows=100)
     assert out.count() == 3000 and out.agg(F.sum("copies")).first()[0] == 3000  # one source: each once
+
+
+def test_licence_phrases_word_for_word(spark):
+    from tidegauge.llm.licenses import scan
+
+    whole = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    texts = [whole, "redistribution X use Y source Z binary forms with or without modification are permitted", whole.replace("and use in", "or use in"),
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "the and in or to of is a this for with",
+             "permission is hereby granted free for charge to any person obtaining a copy"]
+    got = {r.doc_id: r.labels for r in rows(scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")))}
+    assert got == {0: "bsd", 1: "", 2: "", 3: "mit-notice", 4: "", 5: ""}

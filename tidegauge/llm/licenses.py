@@ -7,8 +7,10 @@ proposes the place p - j. All index entries of a file that agree on template and
 are intersected there, weighed by IDF; a place counts if the whole key phrase is present
 and the weight of the words found reaches ``least_cover`` of the template.
 
-Words of ``COMMON`` have no postings: they stand in every text and prove nothing. The
-base phrases are templates whose key phrase is the whole phrase, so all their places are found.
+Words of ``COMMON`` stand in every text: they have no weight, propose nothing, and their
+places are kept only in files that hold another licence word. There they are verified as
+the others are, so a key phrase is present word for word. The base phrases are templates
+whose key phrase is the whole phrase, so all their places are found.
 
 Defined results: a null or empty text has no word, no label and score 0; repeated rows are
 scanned each for itself; extra columns are ignored; an empty table gives an empty table.
@@ -63,16 +65,17 @@ COMMON = {"the", "and", "in", "or", "to", "of", "is", "a", "this", "for", "with"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), F.lit(WORD), F.lit(0))
 
 
 def postings(templates: list[Template]) -> list[tuple[int, str, int, bool]]:
-    """(template, word, position, whether it belongs to the key phrase) of all but common words."""
+    """(template, word, position, whether it belongs to the key phrase) of all words."""
     found = []
     for at, template in enumerate(templates):
         text, key = (re.findall(r"[a-z0-9]+", s) for s in (template.text, template.key))
         first = next(i for i in range(len(text)) if text[i:i + len(key)] == key)
-        found += [(at, w, i, first <= i < first + len(key)) for i, w in enumerate(text) if w not in COMMON]
+        found += [(at, w, i, first <= i < first + len(key)) for i, w in enumerate(text)]
     return found
 
 
@@ -86,6 +89,8 @@ def index(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: l
     hits = F.filter(
         F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("pos")))), lambda h: h.isNotNull()
     )
+    rare = F.exists("words", lambda w: w.isin([v for v in vocabulary if v not in COMMON]))
+    hits = F.when(rare, hits).otherwise(F.array().cast("array<struct<word:string,pos:int>>"))
     return materialize(
         listed.select(F.monotonically_increasing_id().alias("row_id"), "key", F.size("words").cast("long").alias("n_words"), hits.alias("hits")),
         "licence-index",
@@ -112,7 +117,7 @@ def scan(
     # as many rows as the templates have words, whatever the corpus
     weighed = materialize(
         listed.join(frequency, "word", "left")
-        .withColumn("idf", F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
+        .withColumn("idf", F.when(F.col("word").isin(sorted(COMMON)), 0.0).otherwise(F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1))
         .withColumn("anchor", F.row_number().over(rarest) == 1)
         .withColumn("weight", F.sum("idf").over(of_template))
         .withColumn("key_words", F.sum(F.col("in_key").cast("int")).over(of_template)).drop("df"),
