@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.words import n_words
+from tidegauge.session import materialize
 
 ONE = 1 << 20
 PART_ROWS = 4096
@@ -86,10 +87,11 @@ def mixed(
     sized = sized.withColumn("bucket", spare * 16 + F.call_function("shiftright", F.col("size"), spare))
     sized = sized.withColumn("h", hashed(F.concat_ws("|", F.coalesce(cast, F.lit("")), "digest"))).drop("digest")
 
-    small = sized.select("skey", "size", "bucket", "h")
+    # sizes are counted once for all sums; the two tables that rows meet are stored, so their size decides how they are joined
+    small = materialize(sized.select("skey", "size", "bucket", "h"), "mix-small")
     buckets = small.groupBy("skey", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     wanted = targets(buckets.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, max_copies)
-    split = buckets.select("skey", "bucket", F.ceil(F.col("n") / part_rows).cast("long").alias("parts"))
+    split = materialize(buckets.select("skey", "bucket", F.ceil(F.col("n") / part_rows).cast("long").alias("parts")), "mix-split")
     counted = (
         small.groupBy("skey", "bucket", "h").agg(F.count("*").alias("n"))  # combined before the shuffle
         .join(split, ["skey", "bucket"]).groupBy("skey", "bucket", (F.col("h") % F.col("parts")).alias("part"), "parts").agg(F.sum("n").alias("n"))
@@ -99,10 +101,11 @@ def mixed(
         counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(wanted, "skey")
         .withColumn("offset", hashed(F.concat(F.lit(seed), "skey")) % ONE)
     )
+    parts = materialize(parts.drop("parts", "n"), "mix-parts")
     within = Window.partitionBy("skey", "bucket", "part").orderBy("size", F.col("row")[key])
     placed = (
         sized.join(split, ["skey", "bucket"]).withColumn("part", F.col("h") % F.col("parts")).drop("parts")
-        .join(parts.drop("parts", "n"), ["skey", "bucket", "part"])
+        .join(parts, ["skey", "bucket", "part"])
         .withColumn("place", F.col("first") + F.row_number().over(within))
     )
     step = lambda place: F.shiftright(place * F.col("rate") + F.col("offset"), 20)
