@@ -86,7 +86,7 @@ class QueryBlocks:
             return
         held, numbers = [], 0
         for path in self.files:
-            system, local = fs.FileSystem.from_uri(path)
+            system, local = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
             with system.open_input_file(local) as source:
                 for block in pq.ParquetFile(source).iter_batches(self.size):
                     numbers += len(block.column("vector").flatten())
