@@ -56,7 +56,9 @@ class Encoder:
             return self._pretoken(" " + chunk)
         if pieces.DISPUTED.search(chunk):
             return self._whole(" " + chunk)
-        return b"".join(map(self.known.__getitem__, pieces.PRETOKENS.findall(" " + chunk)))
+        found = pieces.PRETOKENS.findall(" " + chunk)
+        # a blank and plain letters is a chunk of its own, which is remembered already or will be
+        return b"".join([self.rest[p[1:]] if p[0] == " " and p.isascii() and p[1:].isalpha() else self.known[p] for p in found])
 
     def __call__(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids."""
