@@ -129,4 +129,7 @@ def split_oversize(events: DataFrame, limit: int = OVERSIZE_BYTES) -> tuple[Data
 def with_blobs(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     """Rows with their whole messages again: those that moved to a blob come back by key."""
     stored = blobs.select(F.col("key").alias("raw_blob_s3_key"), F.col("message").alias("_blob")).dropDuplicates(["raw_blob_s3_key"])
-    return rows.join(stored, "raw_blob_s3_key", "left").withColumn("message", F.coalesce("message", "_blob")).select(*rows.columns)
+    # rows without a key meet nothing; in the join they would be one group of one task
+    moved = F.col("raw_blob_s3_key").isNotNull()
+    met = rows.filter(moved).join(stored, "raw_blob_s3_key", "left").withColumn("message", F.coalesce("message", "_blob"))
+    return rows.filter(~moved).unionByName(met.select(*rows.columns))
