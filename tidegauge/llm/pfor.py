@@ -29,28 +29,29 @@ RUN = 256
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """(n, 256) values below 2**width as (n, 8 * width) words."""
-    fields = values.reshape(len(values), 32, LANES).astype(np.uint32)
-    words = np.zeros((len(values), width, LANES), np.uint32)
+    n = len(values)
+    fields = values.astype(np.uint32).reshape(n, 32, LANES).transpose(1, 0, 2).reshape(32, -1)  # a field of all blocks side by side
+    words = np.zeros((width, n * LANES), np.uint32)
     for i in range(32 if width else 0):
         at, shift = divmod(i * width, 32)
-        words[:, at] |= fields[:, i] << np.uint32(shift)
+        words[at] |= fields[i] << np.uint32(shift)
         if shift + width > 32:
-            words[:, at + 1] |= fields[:, i] >> np.uint32(32 - shift)
-    return words.reshape(len(values), -1)
+            words[at + 1] |= fields[i] >> np.uint32(32 - shift)
+    return words.reshape(width, n, LANES).transpose(1, 0, 2).reshape(n, -1)
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words)
-    words = words.reshape(n, width, LANES)
-    out = np.zeros((n, 32, LANES), np.uint32)
+    words = words.reshape(n, width, LANES).transpose(1, 0, 2).reshape(width, -1)
+    out = np.zeros((32, n * LANES), np.uint32)
     mask = np.uint32((1 << width) - 1)
     for i in range(32 if width else 0):
         at, shift = divmod(i * width, 32)
-        part = words[:, at] >> np.uint32(shift)
+        part = words[at] >> np.uint32(shift)
         if shift + width > 32:
-            part |= words[:, at + 1] << np.uint32(32 - shift)
-        out[:, i] = part & mask
-    return out.reshape(n, BLOCK)
+            part |= words[at + 1] << np.uint32(32 - shift)
+        out[i] = part & mask
+    return out.reshape(32, n, LANES).transpose(1, 0, 2).reshape(n, BLOCK)
 
 
 def bits(values: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def encode(values: np.ndarray, percentile: float = 0.9) -> list[bytes]:
     gaps = blocks - low[:, None]
     rank = min(BLOCK - 1, int(percentile * BLOCK))
     widths = bits(np.partition(gaps, rank, axis=1)[:, rank])
-    large = gaps.astype(np.uint64) >> widths.astype(np.uint64)[:, None] > 0
+    large = gaps > ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     counts = large.sum(axis=1)
     packed: list[bytes] = [b""] * len(blocks)
     for width in np.unique(widths):
@@ -73,10 +74,11 @@ def encode(values: np.ndarray, percentile: float = 0.9) -> list[bytes]:
         words = pack(gaps[own] & np.uint32((1 << int(width)) - 1), int(width)).astype("<u4")
         for at, row in zip(own, words):
             packed[at] = row.tobytes()
+    places, excess = np.nonzero(large)[1].astype(np.uint8).tobytes(), gaps[large].astype("<u4").tobytes()
+    ends = np.cumsum(counts).tolist()
     return [
-        struct.pack("<IBBH", int(low[k]), int(widths[k]), 0, int(counts[k])) + packed[k]
-        + (np.flatnonzero(large[k]).astype(np.uint8).tobytes() + gaps[k][large[k]].astype("<u4").tobytes() if counts[k] else b"")
-        for k in range(len(blocks))
+        struct.pack("<IBBH", lowest, width, 0, n) + words + places[end - n:end] + excess[4 * (end - n):4 * end]
+        for lowest, width, n, words, end in zip(low.tolist(), widths.tolist(), counts.tolist(), packed, ends)
     ]
 
 
@@ -90,11 +92,11 @@ def decode(data: bytes, starts: np.ndarray) -> np.ndarray:
     for width in np.unique(widths[widths > 0]):
         own = np.flatnonzero(widths == width)
         size = 4 * LANES * int(width)
-        words = np.ascontiguousarray(raw[(starts[own] + 8)[:, None] + np.arange(size)]).view("<u4").astype(np.uint32)
-        gaps[own] = unpack(words, int(width))
-    for k in np.flatnonzero(counts):
-        at, n = int(starts[k] + 8 + 4 * LANES * widths[k]), int(counts[k])
-        gaps[k][raw[at:at + n]] = np.frombuffer(data, "<u4", n, at + n)
+        words = np.frombuffer(b"".join([data[at:at + size] for at in (starts[own] + 8).tolist()]), "<u4").astype(np.uint32)
+        gaps[own] = unpack(words.reshape(len(own), -1), int(width))
+    places = list(zip((starts + 8 + 4 * LANES * widths).tolist(), counts.tolist()))
+    at = np.frombuffer(b"".join([data[a:a + n] for a, n in places]), np.uint8)
+    gaps[np.repeat(np.arange(len(starts)), counts), at] = np.frombuffer(b"".join([data[a + n:a + 5 * n] for a, n in places]), "<u4")
     return (gaps + low[:, None]).reshape(-1)
 
 
@@ -124,10 +126,11 @@ class Writer:
         values = np.concatenate(self.pending) if self.pending else np.zeros(0, np.uint32)
         self.pending, self.held = [values[n:]], self.held - n
         for at in range(0, n, RUN * BLOCK):
-            for block in encode(values[at:min(n, at + RUN * BLOCK)], self.percentile):
+            blocks = encode(values[at:min(n, at + RUN * BLOCK)], self.percentile)
+            for block in blocks:
                 self.starts.append(self.at)
                 self.at += len(block)
-                self.out.write(block)
+            self.out.write(b"".join(blocks))
 
     def close(self) -> None:
         if self.held:

@@ -12,7 +12,6 @@ text are treated as the tokenizers library does by default.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,47 +24,136 @@ from tidegauge.session import materialize, workspace
 
 #: Chunks that one Python worker remembers.
 REMEMBERED = 1_000_000
+#: Characters of text that are encoded together; a longer text stands alone.
+TOGETHER = 4 << 20
+#: Pre-tokens in one call of the model, and the byte between them.
+PARTED, MARK = 256, b"\xff"
 
 
 class Encoder:
     """Ids of whole texts; chunks that encode alone are encoded once and remembered.
 
-    A chunk whose characters no Unicode version disputes is cut into its pre-tokens, which
-    are remembered too and go to the library's model directly; all others go through the
-    whole library.
+    The chunks of several texts are counted off by Arrow, so that a chunk is looked up once
+    however often it stands there. New chunks whose characters no Unicode version disputes
+    are cut into pre-tokens, which go to the library's model as they are, many in one call; all
+    others go through the whole library.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = pieces.load(path)
-        self.model = self.library.model
-        self.chars = dict(enumerate(pieces.byte_chars()))
+        self.bare = pieces.bare(self.library)
+        chars = pieces.byte_chars()
+        self.chars = np.array([ord(c) for c in chars], "<u2")
         self.special = pieces.special_pattern(pieces.specials(path))
+        #: Id of the byte that UTF-8 never holds; it parts pre-tokens if no merge takes it in.
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.mark = vocabulary.get(chars[255]) if sum(chars[255] in t for t in vocabulary) == 1 else None
+        self.remembered = remembered
         self.first = pieces.Chunks(self._whole, remembered)
-        self.rest = pieces.Chunks(self._chunk, remembered)
-        self.known = pieces.Chunks(self._pretoken, remembered // 4)
+        self._forget()
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+    def _forget(self) -> None:
+        #: Number of a chunk, that is of text behind a space; and of a pre-token without a space.
+        self.rest: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        #: Ids of number k: ids[ends[k]:ends[k + 1]].
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _pretoken(self, text: str) -> bytes:
-        piece = "".join(map(self.chars.__getitem__, text.encode()))
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """New numbers."""
+        first = len(self.ends) - 1
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)))
+        return range(first, len(self.ends) - 1)
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self._pretoken(" " + chunk)
-        if pieces.DISPUTED.search(chunk):
-            return self._whole(" " + chunk)
-        found = pieces.PRETOKENS.findall(" " + chunk)
-        # a blank and plain letters is a chunk of its own, which is remembered already or will be
-        return b"".join([self.rest[p[1:]] if p[0] == " " and p.isascii() and p[1:].isalpha() else self.known[p] for p in found])
+    def _kept(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids behind the numbers, side by side, and how many each has."""
+        import pyarrow as pa
+
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.ids))
+        return lists.take(pa.array(numbers)).values.to_numpy(), self.ends[numbers + 1] - self.ends[numbers]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _pretokens(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens, side by side, and how many each has."""
+        out, sizes, many = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], PARTED if self.mark is not None else 1
+        for at in range(0, len(found), many):
+            raw = np.frombuffer(MARK.join(map(str.encode, found[at:at + many])), np.uint8)
+            piece = self.chars[raw].tobytes().decode("utf-16-le")
+            ids = np.array(self.bare.encode_batch_fast([piece], add_special_tokens=False)[0].ids, np.uint32)
+            marks = ids == self.mark if many > 1 else np.zeros(len(ids), bool)
+            out.append(ids[~marks])
+            sizes.append(np.diff(np.flatnonzero(marks), prepend=-1, append=len(ids)) - 1)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _learn(self, chunks: list[str]) -> list[int]:
+        """Numbers of chunks that have none."""
+        plain, mixed, odd = [], [], []
+        for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha():
+                plain.append(chunk)
+            elif not chunk or chunk != chunk.strip() or pieces.DISPUTED.search(chunk):
+                odd.append(chunk)
+            else:
+                mixed.append(chunk)
+        if odd:
+            ids = [self._whole(" " + chunk) for chunk in odd]
+            self.rest.update(zip(odd, self._keep(np.concatenate(ids), [len(i) for i in ids])))
+        found = pieces.PRETOKENS.findall(" " + " ".join(mixed)) if mixed else []
+        # a chunk has one pre-token that begins with a space, its first, which is a chunk too
+        begins = [p[0] == " " for p in found]
+        heads, inner = [p[1:] for p, first in zip(found, begins) if first], [p for p, first in zip(found, begins) if not first]
+        new_heads = [c for c in dict.fromkeys(plain + heads) if c not in self.rest]
+        new_inner = [p for p in dict.fromkeys(inner) if p not in self.known]
+        numbers = self._keep(*self._pretokens([" " + c for c in new_heads] + new_inner))
+        self.rest.update(zip(new_heads, numbers))
+        self.known.update(zip(new_inner, numbers[len(new_heads):]))
+        if mixed:
+            first, every = np.array(begins), np.zeros(len(found), np.int64)
+            every[first] = list(map(self.rest.__getitem__, heads))
+            every[~first] = list(map(self.known.__getitem__, inner))
+            ids, sizes = self._kept(every)
+            self.rest.update(zip(mixed, self._keep(ids, np.add.reduceat(sizes, np.flatnonzero(first)))))
+        return list(map(self.rest.__getitem__, chunks))
 
-    def __call__(self, text: str) -> np.ndarray:
-        """Unsigned 32-bit ids."""
-        if pieces.has_runs(text) or self.special and self.special.search(text):
-            return np.frombuffer(self._whole(text), np.uint32)
-        head, *tail = text.split(" ")
-        return np.frombuffer(self.first[head] + b"".join(map(self.rest.__getitem__, tail)), np.uint32)
+    def _behind(self, tails: list[str]) -> Iterator[np.ndarray]:
+        """Ids of texts that each stand behind a space."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if max(len(self.rest), 4 * len(self.known), len(self.ids) // 16) >= self.remembered:
+            self._forget()
+        parts = pc.split_pattern(pa.array(tails, pa.string()), " ")
+        coded = pc.dictionary_encode(parts.values)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        chunks = pc.binary_join(whole, " ")[0].as_py().split(" ")
+        numbers = list(map(self.rest.get, chunks))
+        if new := [c for c, known in zip(chunks, numbers) if known is None]:
+            learned = iter(self._learn(new))
+            numbers = [next(learned) if known is None else known for known in numbers]
+        del chunks, whole, new
+        ids, sizes = self._kept(np.array(numbers, np.int32)[coded.indices.to_numpy()])
+        ends = np.concatenate(([0], np.cumsum(sizes)))[parts.offsets.to_numpy()].tolist()
+        return (ids[a:b] for a, b in zip(ends, ends[1:]))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        out, spaced, tails = [], [], []
+        for at, text in enumerate(texts):
+            if pieces.has_runs(text) or self.special and self.special.search(text):
+                out.append(self._whole(text))
+                continue
+            head, space, tail = text.partition(" ")
+            out.append(self.first[head])
+            if space:
+                spaced.append(at)
+                tails.append(tail)
+        if tails:
+            for at, ids in zip(spaced, self._behind(tails)):
+                out[at] = np.concatenate((out[at], ids))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -74,6 +162,19 @@ def shared_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def together(rows: Iterator[tuple], size: int = TOGETHER) -> Iterator[list[tuple]]:
+    """Rows of key and text in lists of at most about so many characters."""
+    held, length = [], 0
+    for row in rows:
+        if held and length + len(row[1]) > size:
+            yield held
+            held, length = [], 0
+        held.append(row)
+        length += len(row[1])
+    if held:
+        yield held
+
+
 def write_ids(
     docs: DataFrame, folder: str, text: str = "text", key: str = "doc_id", tokenizer: str | None = None,
     end_id: int = 0, percentile: float = 0.9, batch: int = 512,
@@ -90,17 +191,18 @@ def write_ids(
         encoder, end = shared_encoder(tokenizer or pieces.default_path()), np.array([end_id], np.uint32)
         path = files.attempt_name(folder, ".pfor")
         rows = ((b.slice(at, batch)) for b in batches for at in range(0, b.num_rows, batch))
-        first = next(rows, None)
+        parts = together((k, t) for part in rows for k, t in zip(part.column("key").to_pylist(), part.column("text").to_pylist()))
+        first = next(parts, None)
         if first is None:
             return
         with files.writing(path) as out:
             writer = pfor.Writer(out, percentile)
             part = first
             while part is not None:
-                keys, texts = part.column("key").to_pylist(), part.column("text").to_pylist()
-                for k, one in zip(keys, texts):
-                    writer.add(k, np.concatenate((encoder(one), end)))
-                part = next(rows, None)
+                keys, texts = zip(*part)
+                for k, ids in zip(keys, encoder(texts)):
+                    writer.add(k, np.concatenate((ids, end)))
+                part = next(parts, None)
             writer.close()
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": pa.array([path]),
