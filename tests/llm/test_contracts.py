@@ -226,6 +226,70 @@ def test_jaccard_on_families(spark, tile_rows, block_rows):
     assert 1 < len({c for _, _, c in want}) < len(items)
 
 
+def common_phrases(rng, docs, length, phrases, each):
+    """Texts of seldom words in which ``each`` of some common phrases stand; every tenth text has a near copy."""
+    word = lambda: f"w{rng.randrange(1 << 30)}"
+    common, items = [" ".join(word() for _ in range(6)) for _ in range(phrases)], []
+    for k in range(docs):
+        text = [word() for _ in range(length)]
+        for phrase in rng.sample(common, each):
+            text.insert(rng.randrange(len(text)), phrase)
+        items.append((len(items), " ".join(text)))
+        if k % 10 == 0:
+            items.append((len(items), " ".join(text) + " " + word()))
+    return items
+
+
+def test_jaccard_of_common_phrases(spark, monkeypatch):
+    """Texts that share a few phrases with many others, but with none of them enough, are not compared as one group."""
+    import random
+
+    from tidegauge.llm import jaccard
+
+    counts, store = {}, jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, purpose, *more: [out := store(df, purpose, *more), counts.update({purpose: out.count()})][0])
+    items = common_phrases(random.Random(3), 150, 60, 15, 2)
+    df = spark.createDataFrame(items, "doc_id bigint, text string").repartition(4)
+    got = rows(jaccard.near_duplicates(df, tile_rows=3, block_rows=4, buckets=16))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(items))
+    assert len({r.component_id for r in got}) == 150
+    assert counts["jaccard-tiles"] < 2 * len(items)
+
+
+@pytest.mark.parametrize("least,most,words,tile_rows,block_rows", [(5, 16, 3, 8, 64), (5, 60, 4, 2, 3), (30, 120, 3, 2, 3)])
+def test_jaccard_of_common_words(spark, least, most, words, tile_rows, block_rows):
+    """Hardly any shingle is seldom: links by large tiles alone, by small and large ones, across blocks of many sizes."""
+    import random
+
+    from tidegauge.llm.jaccard import near_duplicates
+
+    rng, items = random.Random(7), []
+    for k in range(70):
+        text = [f"w{rng.randrange(words)}" for _ in range(rng.randint(least, most))]
+        for _ in range(3):
+            items.append((len(items), " ".join(text)))
+            text[rng.randrange(len(text))] = f"w{rng.randrange(words)}"
+    df = spark.createDataFrame(items, "doc_id bigint, text string").repartition(3)
+    want = components(items)
+    got = rows(near_duplicates(df, tile_rows=tile_rows, block_rows=block_rows, buckets=64))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    assert 1 < len({c for _, _, c in want}) < len(items)
+
+
+def test_large_groups_have_larger_blocks(spark, monkeypatch):
+    """Sets travel once for each block of their group that can hold a link: 16 times, not once per ``block_rows`` classes."""
+    from tidegauge.llm import jaccard
+
+    star = spark.range(1, 4000).selectExpr("0L AS a", "id AS b", "true AS star")
+    tiles = lambda sizes: jaccard.bundles(star, spark.sql(f"SELECT id AS key, {sizes} AS n FROM range(4000)"), 8, 80)
+    alike = tiles("1000L").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert alike <= 17
+    apart = tiles("10L + id").count()
+    assert apart < 4000 * 9  # 10 to 4,009 shingles: most blocks are too far apart
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 20_000)
+    assert tiles("1000L").groupBy("bundle").count().agg({"count": "max"}).first()[0] <= 4 * 20
+
+
 def removed(items, length=50):
     first = {}
     for key, text in items:

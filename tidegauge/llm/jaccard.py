@@ -9,11 +9,12 @@
    Shingles that very many documents share stand last and are emitted only by documents
    that hold hardly anything else.
 3. Classes that share m emitted shingles and lie in one size band are candidates. A tile
-   of up to ``tile_rows`` classes gives pairs, a larger one gives a star whose connected
-   component is compared as a whole. Pairs are bundled by their smallest neighbour, so
-   that a family meets in one place.
+   of up to ``tile_rows`` classes gives pairs, a larger one counts as shared by all pairs of
+   its classes. Classes in m large tiles also give stars, whose connected components are
+   compared as a whole; others can only link through small tiles. Pairs are bundled by
+   their smallest neighbour, so that a family meets in one place.
 4. A bundle of more than ``block_rows`` classes is cut into size-ordered blocks, and each
-   pair of blocks is a tile of its own. In a tile, hashed bitmaps bound the overlap from
+   pair of blocks of sizes that can link is a tile of its own. In a tile, hashed bitmaps bound the overlap from
    above by bit counts; pairs that may link and are not connected yet are checked by
    intersecting the sorted arrays. Links within one component need not all be emitted:
    each tile emits a spanning forest of its links.
@@ -43,6 +44,8 @@ from tidegauge.session import materialize
 WORDS = 5
 PERCENT = 80
 TILE_ROWS, BLOCK_ROWS = 64, 256
+#: A group is cut into more blocks than this only if blocks would hold more shingles than that.
+FEW_BLOCKS, BLOCK_MEMBERS = 16, 1 << 20
 #: Prefixes are longer by up to so many shingles, and candidates of small tiles must share as many.
 MOST_SHARED = 8
 #: Hashed buckets that shingles are counted in. More tell moderately frequent shingles of a larger corpus apart.
@@ -85,11 +88,10 @@ def shared_at_least(n: np.ndarray | int):
 
 
 def rare_first(found: np.ndarray, ranks: np.ndarray, shift: int, percent: int = PERCENT) -> np.ndarray:
-    """The first n - ceil(0.8 n) + m shingles of a set; m of them a linked set emits too."""
+    """The first n - ceil(0.8 n) + m shingles of a set; m of them a linked set emits too. Equal ranks stand in the order of hashes."""
     n = len(found)
     keep = n + (-percent * n // 100) + int(shared_at_least(n))
-    order = (ranks[found >> U(shift)].astype(np.uint64) << U(56)) | (found >> U(8))
-    return found[np.argsort(order, kind="stable")[:keep]]
+    return found[np.argsort(ranks[found >> U(shift)], kind="stable")[:keep]]
 
 
 def _slices(batches: Iterator, rows: int) -> Iterator:
@@ -130,12 +132,17 @@ def measured(docs: DataFrame, buckets: int, words: int) -> DataFrame:
 
 
 def bucket_ranks(stored: DataFrame, buckets: int) -> np.ndarray:
-    """One byte per bucket: the logarithm of its count. As many rows as there are buckets come to the driver."""
-    counted = stored.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count"))
-    rows = counted.select("bucket", F.floor(F.log2(F.col("count") + 1) * 6).cast("short").alias("rank")).toPandas()
-    ranks = np.zeros(buckets, np.uint8)
-    ranks[rows["bucket"].to_numpy()] = np.minimum(rows["rank"].to_numpy(), 255)
-    return ranks
+    """Two bytes per bucket: the place of its count among all counts. As many rows as there are buckets come to the driver.
+
+    Counts are told apart to the last one: in a large corpus a bucket counts thousands of seldom shingles, about as
+    many as its neighbours, and a shingle of a hundred documents shows as a hundred more.
+    """
+    rows = stored.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("count").alias("count")).toPandas()
+    counts = np.zeros(buckets, np.int64)
+    counts[rows["bucket"].to_numpy()] = rows["count"].to_numpy()
+    found, place = np.unique(counts, return_inverse=True)
+    most = np.iinfo(np.uint16).max
+    return (place if len(found) <= most else place * most // (len(found) - 1)).astype(np.uint16)
 
 
 def prefix_rows(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -168,8 +175,8 @@ def prefix_rows(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) ->
     return docs.mapInArrow(run, "shingle bigint, n int, key bigint")
 
 
-def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
-    """(a, b, star): candidate pairs of small tiles and stars of large ones.
+def tile_meetings(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
+    """(a, b, hot, least, tiles): pairs of classes with the number of small tiles they share, and classes b in the large tile of shingle a.
 
     Rows arrive sorted by shingle and size; a tile that outgrows ``tile_rows`` is passed
     on as it comes, so no tile is ever held whole.
@@ -187,29 +194,32 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def edges(a: np.ndarray, b: np.ndarray, least: np.ndarray | None = None):
-            star = least is None
-            ends = np.stack((np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64) if star else least))
-            ends, count = np.unique(ends, axis=1, return_counts=True) if len(a) else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
-            apart = ends[0] != ends[1]
-            ends, count = ends[:, apart], count[apart]
+        def record(a, b, hot: bool, least, tiles):
             return pa.RecordBatch.from_pydict({
-                "a": pa.array(ends[0]), "b": pa.array(ends[1]), "star": pa.array(np.full(ends.shape[1], star)),
-                "least": pa.array(ends[2]), "tiles": pa.array(count.astype(np.int64)),
+                "a": pa.array(a), "b": pa.array(b), "hot": pa.array(np.full(len(a), hot)), "least": pa.array(least), "tiles": pa.array(tiles),
             })
 
+        def met(a: np.ndarray, b: np.ndarray, least: np.ndarray):
+            ends = np.stack((np.minimum(a, b), np.maximum(a, b), least))[:, a != b]
+            ends, count = np.unique(ends, axis=1, return_counts=True) if ends.shape[1] else (ends, np.zeros(0, np.int64))
+            return record(ends[0], ends[1], False, ends[2], count.astype(np.int64))
+
+        def crowd(shingle: int, n: np.ndarray, key: np.ndarray):
+            """A linked set has at least ``percent`` of the size."""
+            return record(np.full(len(key), shingle), key, True, shared_at_least(-(-percent * n.astype(np.int64) // 100)), np.ones(len(key), np.int64))
+
         held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-        hot: tuple[int, int] | None = None  # shingle and centre of the large tile under way
+        hot: int | None = None  # shingle of the large tile under way
 
         def settled(shingle, n, key, last: bool):
             nonlocal hot, held
             new = np.ones(len(shingle), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])  # copies from other tasks
             shingle, n, key = shingle[new], n[new], key[new]
-            if hot and len(shingle):
-                more = int(np.searchsorted(shingle, hot[0], "right"))
+            if hot is not None and len(shingle):
+                more = int(np.searchsorted(shingle, hot, "right"))
                 if more:
-                    yield edges(np.full(more, hot[1]), key[:more])
+                    yield crowd(hot, n[:more], key[:more])
                     shingle, n, key = shingle[more:], n[more:], key[more:]
                 if len(shingle):
                     hot = None
@@ -217,18 +227,18 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
             lengths = np.diff(np.append(starts, len(shingle)))
             if len(starts) and not last:  # the last tile may go on
                 if lengths[-1] > tile_rows:
-                    hot = (int(shingle[-1]), int(key[starts[-1]]))
+                    hot = int(shingle[-1])
                     held = (shingle[:0], n[:0], key[:0])
-                    yield edges(np.full(int(lengths[-1]), hot[1]), key[starts[-1]:])
+                    yield crowd(hot, n[starts[-1]:], key[starts[-1]:])
                 else:
                     held = (shingle[starts[-1]:], n[starts[-1]:], key[starts[-1]:])
                 starts, lengths = starts[:-1], lengths[:-1]
             else:
                 held = (shingle[:0], n[:0], key[:0])
             for s, size in zip(starts[lengths > tile_rows].tolist(), lengths[lengths > tile_rows].tolist()):
-                yield edges(np.full(size, key[s]), key[s:s + size])
+                yield crowd(int(shingle[s]), n[s:s + size], key[s:s + size])
             small = lengths <= tile_rows
-            yield edges(*pairs(key, n, starts[small], lengths[small]))
+            yield met(*pairs(key, n, starts[small], lengths[small]))
 
         for batch in batches:
             shingle, n, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "n", "key"))
@@ -236,13 +246,33 @@ def tile_edges(rows: DataFrame, tile_rows: int, percent: int) -> DataFrame:
         yield from settled(*held, True)
 
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "key")
-    found = dealt.mapInArrow(run, "a bigint, b bigint, star boolean, least bigint, tiles bigint")
-    # a pair that also shares a large tile is compared in that tile's group
-    counted = found.groupBy("a", "b", "star").agg(F.max("least").alias("least"), F.sum("tiles").alias("tiles"))
-    return counted.where("star OR tiles >= least").select("a", "b", "star")
+    found = dealt.mapInArrow(run, "a bigint, b bigint, hot boolean, least bigint, tiles bigint")
+    return found.groupBy("a", "b", "hot").agg(F.max("least").alias("least"), F.sum("tiles").alias("tiles"))
+
 
+def tile_edges(met: DataFrame) -> DataFrame:
+    """(a, b, star): candidate pairs of small tiles and stars of large ones.
 
-def bundles(edges: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
+    Two classes share at most as many large tiles as either is in; what they then lack, small
+    tiles must give. Those that share large tiles alone are in ``least`` of them, and share one
+    of the first but ``least`` - 1 of each in any order; others stay out of the stars.
+    """
+    crowds = met.where("hot").select(F.col("a").alias("shingle"), F.col("b").alias("key"), "least")
+    within = Window.partitionBy("key")
+    ranked = crowds.withColumn("large", F.count("*").over(within)).withColumn("place", F.row_number().over(within.orderBy("shingle")))
+    ranked = materialize(ranked, "jaccard-crowds")
+    large = materialize(ranked.where("place = 1").select("key", "large"), "jaccard-large")
+    of = lambda end: large.select(F.col("key").alias(end), F.col("large").alias(f"large_{end}"))
+    both = met.where("NOT hot").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    most = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    pairs = both.where(F.col("tiles") + most >= F.col("least")).select("a", "b", F.lit(False).alias("star"))
+    first = ranked.where("place <= large - least + 1").select("shingle", "key")
+    centres = first.groupBy("shingle").agg(F.min("key").alias("centre"))
+    stars = first.join(centres, "shingle").where("key > centre").select(F.col("centre").alias("a"), F.col("key").alias("b"), F.lit(True).alias("star"))
+    return pairs.union(stars.distinct())
+
+
+def bundles(edges: DataFrame, sizes: DataFrame, block_rows: int, percent: int) -> DataFrame:
     """(bundle, side, key): side 0 and 1 are compared with each other, side -1 within itself."""
     stars = materialize(components(edges.where("star")), "hot-groups")
     pairs = edges.where("NOT star").select("a", "b")
@@ -258,14 +288,24 @@ def bundles(edges: DataFrame, sizes: DataFrame, block_rows: int) -> DataFrame:
     by_size = members.groupBy("grp", "n").agg(F.count("*").alias("rows"))
     upto = Window.partitionBy("grp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("grp")
-    placed = by_size.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).withColumn("blocks", F.ceil(F.sum("rows").over(whole) / block_rows))
+    # sets travel once per block: a large group has larger ones, as far as their members fit a task
+    most = F.least(F.floor(F.sum("rows").over(whole) / FEW_BLOCKS), F.floor(F.lit(BLOCK_MEMBERS) / F.max("n").over(whole)))
+    placed = by_size.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).withColumn("fill", F.greatest(F.lit(block_rows), most))
+    placed = placed.withColumn("blocks", F.ceil(F.sum("rows").over(whole) / F.col("fill")))
     # documents of one size spread over as many blocks as they fill
-    spread = F.floor((F.col("before") + F.pmod(F.xxhash64("key"), F.col("rows"))) / block_rows)
-    blocked = members.join(placed, ["grp", "n"]).withColumn("block", spread).select("grp", "blocks", "block", "key")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return blocked.select("grp", "block", "key", other).select(
-        F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")).alias("bundle"),
-        F.when(F.col("block") == F.col("other"), -1).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "key",
+    spread = F.floor((F.col("before") + F.pmod(F.xxhash64("key"), F.col("rows"))) / F.col("fill"))
+    blocked = members.join(placed, ["grp", "n"]).withColumn("block", spread).select(F.xxhash64("grp").alias("grp"), "blocks", "block", "n", "key")
+    blocked = materialize(blocked, "jaccard-blocks")
+    many = blocked.where("blocks > 1")
+    sized = many.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = sized.select("grp", *[F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")])
+    # blocks of sizes too far apart hold no links
+    near = sized.join(others, "grp").where((100 * F.col("high") >= percent * F.col("other_low")) & (100 * F.col("other_high") >= percent * F.col("low")))
+    met = blocked.where("blocks = 1").withColumn("other_block", F.col("block")).select("grp", "block", "other_block", "key").union(
+        many.join(near.select("grp", "block", "other_block"), ["grp", "block"]).select("grp", "block", "other_block", "key"))
+    return met.select(
+        F.xxhash64("grp", F.least("block", "other_block"), F.greatest("block", "other_block")).alias("bundle"),
+        F.when(F.col("block") == F.col("other_block"), -1).when(F.col("block") < F.col("other_block"), 0).otherwise(1).alias("side"), "key",
     )
 
 
@@ -396,8 +436,9 @@ def near_duplicates(
         "jaccard-classes",
     )
     ranks = bucket_ranks(stored, buckets)
-    edges = materialize(tile_edges(prefix_rows(source, ranks, words, percent), tile_rows, percent), "jaccard-edges")
-    tiles = materialize(bundles(edges, classes.select("key", "n"), block_rows), "jaccard-tiles")
+    met = materialize(tile_meetings(prefix_rows(source, ranks, words, percent), tile_rows, percent), "jaccard-met")
+    edges = materialize(tile_edges(met), "jaccard-edges")
+    tiles = materialize(bundles(edges, classes.select("key", "n"), block_rows, percent), "jaccard-tiles")
     wanted = tiles.select("key").distinct().join(classes, "key").select(F.col("first").alias("doc_id"), "key")
     links = materialize(tile_links(tiles, needed_sets(source, materialize(wanted, "jaccard-wanted"), words), percent), "jaccard-links")
     # rows that share a doc_id are one document
