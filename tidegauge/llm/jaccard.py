@@ -5,7 +5,7 @@
    a table of hashed buckets of fixed size.
 2. Sets are put in one global order, rare buckets first. Two sets that link share m
    shingles among the first n - ceil(0.8 n) + m of each, with m a tenth of the smaller size
-   between 1 and 8; a second pass emits only those.
+   between 1 and 8, or a twentieth if that is more; a second pass emits only those.
    Shingles that very many documents share stand last and are emitted only by documents
    that hold hardly anything else.
 3. Classes that share m emitted shingles and lie in one size band are candidates. A tile
@@ -46,8 +46,8 @@ PERCENT = 80
 TILE_ROWS, BLOCK_ROWS = 64, 256
 #: A group is cut into more blocks than this only if blocks would hold more shingles than that.
 FEW_BLOCKS, BLOCK_MEMBERS = 16, 1 << 20
-#: Prefixes are longer by up to so many shingles, and candidates of small tiles must share as many.
-MOST_SHARED = 8
+#: Prefixes are longer by up to so many shingles, or by that part of long sets, and candidates must share as many.
+MOST_SHARED, SHARED_PART = 8, 20
 #: Hashed buckets that shingles are counted in. More tell moderately frequent shingles of a larger corpus apart.
 BUCKETS = 1 << 18
 
@@ -84,7 +84,8 @@ def set_key(found: np.ndarray) -> int | None:
 
 def shared_at_least(n: np.ndarray | int):
     """How many of the emitted shingles two linked sets share, by the size of the smaller one."""
-    return np.clip(np.asarray(n) // 10, 1, MOST_SHARED).astype(np.int64)
+    n = np.asarray(n)
+    return np.clip(n // 10, 1, np.maximum(MOST_SHARED, n // SHARED_PART)).astype(np.int64)
 
 
 def rare_first(found: np.ndarray, ranks: np.ndarray, shift: int, percent: int = PERCENT) -> np.ndarray:
